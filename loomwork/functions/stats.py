@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def erf(x: pd.Series) -> pd.Series:
     """Error function, for which neither Spark nor numpy has a built-in."""
     return pd.Series([math.erf(v) for v in x.to_numpy(dtype=float)], dtype="float64")

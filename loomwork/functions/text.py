@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+_BLANK = r"[\s\x1c-\x1f]"
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"^[\s\x1c-\x1f]+", ""), r"[\s\x1c-\x1f]+$", "")
+    front = F.regexp_replace(text, f"(?U)^{_BLANK}+", "")
+    return F.regexp_replace(front, f"(?U){_BLANK}+$", "")
 
 
 def lines(text: Column) -> Column:

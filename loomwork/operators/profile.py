@@ -71,79 +71,62 @@ def _unpivot(wide: DataFrame, by: list[str], cells: dict[tuple[str, str], Column
     return wide.select(*by, F.inline(entries))
 
 
-def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None
+def _bracketed(
+    data: DataFrame, cols: list[str], probs: list[float], by: list[str]
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles: rows (by..., column, prob, value).
+    """Add to every row the bounds around each wanted rank and a median-like centre.
 
-    The sketch gives bounds around each wanted rank; rows below a bracket are only counted,
-    rows inside it are counted by value. A frequent value is one row after map-side combining.
+    Column i gets `__lo_i_j` and `__hi_i_j` for probability j, and `__mid_i`. One pass over
+    bounded sketches; without grouping the bounds are a single row of numbers.
     """
-    by = by or []
-    data = _numbers(df, by, cols)
-    edges = [
-        (p, width, max(p - width, 0.0), min(p + width, 1.0))
-        for p in probs
-        for width, _ in BRACKETS
-    ]
-    wanted = [e for _, _, lo, hi in edges for e in (lo, hi)]
+    widths = [(p, w) for p in probs for w, _ in BRACKETS]
+    wanted = [e for p, w in widths for e in (max(p - w, 0.0), min(p + w, 1.0))]
+    accuracy = SKETCH_ACCURACY if probs else 100
     sketched = data.groupBy(*by).agg(
         *[
-            F.percentile_approx(c, [0.0, 1.0, *wanted], SKETCH_ACCURACY).alias(f"__q_{i}")
+            F.percentile_approx(c, [0.0, 0.5, 1.0, *wanted], accuracy).alias(f"__q_{i}")
             for i, c in enumerate(cols)
         ],
         *[F.count(c).alias(f"__n_{i}") for i, c in enumerate(cols)],
     )
-    bounds = {}
+    bounds = []
     for i in range(len(cols)):
         q, n = F.col(f"__q_{i}"), F.col(f"__n_{i}")
-        for j, p in enumerate(probs):
-            lo, hi = q[0], q[1]
+        bounds.append(q[1].alias(f"__mid_{i}"))
+        for j in range(len(probs)):
+            lo, hi = q[0], q[2]
             for k, (_, rows) in reversed(list(enumerate(BRACKETS))):
-                at = 2 + 2 * (j * len(BRACKETS) + k)
+                at = 3 + 2 * (j * len(BRACKETS) + k)
                 lo = F.when(n >= rows, q[at]).otherwise(lo)
                 hi = F.when(n >= rows, q[at + 1]).otherwise(hi)
-            bounds[i, j] = (lo.alias(f"__lo_{i}_{j}"), hi.alias(f"__hi_{i}_{j}"))
-    limits = sketched.select(
-        *by, *[f"__n_{i}" for i in range(len(cols))], *[b for lh in bounds.values() for b in lh]
-    )
+            bounds += [lo.alias(f"__lo_{i}_{j}"), hi.alias(f"__hi_{i}_{j}")]
+    limits = sketched.select(*by, *bounds)
     if by:
-        placed = data.join(limits, by)
-    else:
-        row = limits.first()  # one row of 2 * columns * probabilities numbers
-        placed = data.select(
-            "*", *[F.lit(v).alias(name) for name, v in row.asDict().items()]
-        )
-    below = placed.groupBy(*by).agg(
+        return data.join(limits, by)
+    row = limits.first()  # one row of columns * (2 * probabilities + 1) numbers
+    return data.select(
+        "*", *[F.lit(v).cast("double").alias(name) for name, v in row.asDict().items()]
+    )
+
+
+def _ranks(
+    placed: DataFrame, totals: DataFrame, cols: list[str], probs: list[float], by: list[str]
+) -> DataFrame:
+    """Interpolated quantiles from rows inside the brackets and counts `__b_i_j` below them."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(len(probs))]
+    hits = F.array(
         *[
-            F.count_if(F.col(cols[i]) < F.col(f"__lo_{i}_{j}")).alias(f"__b_{i}_{j}")
-            for i, j in bounds
-        ],
-        *[F.first(f"__n_{i}").alias(f"__n_{i}") for i in range(len(cols))],
+            F.when(
+                F.col(cols[i]).between(F.col(f"__lo_{i}_{j}"), F.col(f"__hi_{i}_{j}")),
+                F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(cols[i]).alias("v")),
+            )
+            for i, j in pairs
+        ]
     )
     inside = placed.select(
-        *by,
-        F.explode(
-            F.filter(
-                F.array(
-                    *[
-                        F.when(
-                            F.col(cols[i]).between(
-                                F.col(f"__lo_{i}_{j}"), F.col(f"__hi_{i}_{j}")
-                            ),
-                            F.struct(
-                                F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                F.col(cols[i]).alias("v"),
-                            ),
-                        )
-                        for i, j in bounds
-                    ]
-                ),
-                lambda s: s.isNotNull(),
-            )
-        ).alias("cell"),
+        *by, F.explode(F.filter(hits, lambda s: s.isNotNull())).alias("cell")
     ).groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("rows"))
-    below_long = below.select(
+    below = totals.select(
         *by,
         F.inline(
             F.array(
@@ -152,7 +135,7 @@ def exact_quantiles(
                         F.lit(i).alias("i"), F.lit(j).alias("j"),
                         F.col(f"__b_{i}_{j}").alias("below"), F.col(f"__n_{i}").alias("n"),
                     )
-                    for i, j in bounds
+                    for i, j in pairs
                 ]
             )
         ),
@@ -167,7 +150,7 @@ def exact_quantiles(
     name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1)
     target = prob * (F.col("n") - 1)
     lower = F.floor(target)
-    located = ranked.join(below_long, [*by, "i", "j"]).select(
+    located = ranked.join(below, [*by, "i", "j"]).select(
         *by, name.alias("column"), prob.alias("prob"), "v", "next",
         target.alias("target"), lower.alias("lower"),
         (F.col("below") + F.col("upto") - F.col("rows")).alias("start"),
@@ -180,6 +163,28 @@ def exact_quantiles(
     return located.select(*by, "column", "prob", value.alias("value"))
 
 
+def _rank_counts(cols: list[str], probs: list[float]) -> list[Column]:
+    return [
+        F.count_if(F.col(c) < F.col(f"__lo_{i}_{j}")).alias(f"__b_{i}_{j}")
+        for i, c in enumerate(cols)
+        for j in range(len(probs))
+    ] + [F.count(c).alias(f"__n_{i}") for i, c in enumerate(cols)]
+
+
+def exact_quantiles(
+    df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None
+) -> DataFrame:
+    """Exact linearly interpolated quantiles: rows (by..., column, prob, value).
+
+    The sketch gives bounds around each wanted rank; rows below a bracket are only counted,
+    rows inside it are counted by value. A frequent value is one row after map-side combining.
+    """
+    by = by or []
+    placed = _bracketed(_numbers(df, by, cols), cols, probs, by)
+    totals = placed.groupBy(*by).agg(*_rank_counts(cols, probs))
+    return _ranks(placed, totals, cols, probs, by)
+
+
 def numeric_column_stats(
     df: DataFrame,
     cols: list[str] | None = None,
@@ -192,33 +197,57 @@ def numeric_column_stats(
     nulls='omit' leaves missing cells out; nulls='propagate' makes every statistic of a column
     with a missing cell NaN, the way plain array reductions do. quantiles: 'exact', 'approx'
     or 'skip'.
+
+    Moments are sums of powers around the sketched median. A median is within one standard
+    deviation of the mean, so the sums do not cancel, and they compile to far less code than
+    separate deviation, skewness and kurtosis aggregates.
     """
     by = by or []
     cols = cols or column_kinds(df, tuple(by))["numeric"]
+    probs = [0.25, 0.5, 0.75]
     data = _numbers(df, by, cols)
-    aggregates, cells = [], {}
+    placed = _bracketed(data, cols, probs if quantiles == "exact" else [], by)
+    aggregates = [F.count(F.lit(1)).alias("__rows")]
+    aggregates += _rank_counts(cols, probs if quantiles == "exact" else [])
+    cells = {}
     for i, c in enumerate(cols):
         v = F.col(c)
+        d = v - F.col(f"__mid_{i}")
         aggregates += [
-            F.count(v).alias(f"__n_{i}"),
-            F.avg(v).alias(f"__avg_{i}"),
-            F.avg(F.when(v > 0, F.ln(v))).alias(f"__ln_{i}"),
+            F.sum(F.when(v > 0, F.ln(v))).alias(f"__ln_{i}"),
             F.min(v).alias(f"__min_{i}"),
             F.max(v).alias(f"__max_{i}"),
-            F.stddev_pop(v).alias(f"__std_{i}"),
-            F.skewness(v).alias(f"__skew_{i}"),
-            F.kurtosis(v).alias(f"__kurt_{i}"),
+            F.sum(d).alias(f"__s1_{i}"),
+            F.sum(d * d).alias(f"__s2_{i}"),
+            F.sum(d * d * d).alias(f"__s3_{i}"),
+            F.sum(d * d * d * d).alias(f"__s4_{i}"),
             F.count_if(v != 0).alias(f"__nz_{i}"),
-            F.avg(v.isNull().cast("double")).alias(f"__miss_{i}"),
+            F.first(f"__mid_{i}").alias(f"__mid_{i}"),
         ]
         if quantiles == "approx":
             aggregates.append(
-                F.percentile_approx(v, [0.25, 0.5, 0.75], SKETCH_ACCURACY).alias(f"__pct_{i}")
+                F.percentile_approx(v, probs, SKETCH_ACCURACY).alias(f"__pct_{i}")
             )
-        n, lo, hi, std, avg = (F.col(f"__{k}_{i}") for k in ("n", "min", "max", "std", "avg"))
+    wide = placed.groupBy(*by).agg(*aggregates)
+    means = {}
+    for i in range(len(cols)):
+        for k in range(1, 5):
+            means[f"__a{k}_{i}"] = F.try_divide(F.col(f"__s{k}_{i}"), F.col(f"__n_{i}"))
+    derived = wide.withColumns(means)
+    centred = {}
+    for i in range(len(cols)):
+        a1, a2, a3, a4 = (F.col(f"__a{k}_{i}") for k in range(1, 5))
+        centred[f"__v_{i}"] = F.greatest(a2 - a1 * a1, F.lit(0.0))
+        centred[f"__m3_{i}"] = a3 - 3 * a1 * a2 + 2 * a1 * a1 * a1
+        centred[f"__m4_{i}"] = a4 - 4 * a1 * a3 + 6 * a1 * a1 * a2 - 3 * a1 * a1 * a1 * a1
+    derived = derived.withColumns(centred)
+    for i, c in enumerate(cols):
+        n, lo, hi, var = (F.col(f"__{k}_{i}") for k in ("n", "min", "max", "v"))
+        avg = F.col(f"__mid_{i}") + F.col(f"__a1_{i}")
+        std = F.sqrt(var)
         gmean = (
             F.when(lo < 0, F.lit(math.nan)).when(lo == 0, F.lit(0.0))
-            .otherwise(F.exp(F.col(f"__ln_{i}")))
+            .otherwise(F.exp(F.try_divide(F.col(f"__ln_{i}"), n)))
         )
         values = {
             "mean": avg,
@@ -231,13 +260,15 @@ def numeric_column_stats(
             "min": lo,
             # an all-zero column does not enter the average over columns
             "count_nonzero": F.nullif(F.col(f"__nz_{i}"), F.lit(0)).cast("double"),
-            "skew": F.coalesce(F.col(f"__skew_{i}"), F.lit(0.0)),
-            "kurtosis": F.coalesce(F.col(f"__kurt_{i}"), F.lit(-3.0)),
+            "skew": F.coalesce(F.try_divide(F.col(f"__m3_{i}"), var * std), F.lit(0.0)),
+            "kurtosis": F.coalesce(
+                F.try_divide(F.col(f"__m4_{i}"), var * var) - 3, F.lit(-3.0)
+            ),
         }
         if quantiles == "approx":
             pct = F.col(f"__pct_{i}")
             values["median"], values["iqr"] = pct[1], pct[2] - pct[0]
-        missing = F.col(f"__miss_{i}")
+        missing = 1 - F.try_divide(n.cast("double"), F.col("__rows"))
         for stat, value in values.items():
             # zscore and count_nonzero keep their null: those columns leave the average
             known = F.when(n > 0, value)
@@ -245,19 +276,19 @@ def numeric_column_stats(
                 known = F.when(missing > 0, F.lit(math.nan)).otherwise(known)
             cells[c, stat] = known
         cells[c, "missing"] = missing
-    result = _unpivot(data.groupBy(*by).agg(*aggregates), by, cells)
+    result = _unpivot(derived, by, cells)
     if quantiles == "exact":
-        wide = exact_quantiles(df, cols, [0.25, 0.5, 0.75], by).groupBy(*by, "column").agg(
+        spread = _ranks(placed, wide, cols, probs, by).groupBy(*by, "column").agg(
             *[
                 F.max(F.when(F.col("prob") == p, F.col("value"))).alias(a)
-                for a, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))
+                for a, p in zip(("q1", "q2", "q3"), probs)
             ]
         )
         pairs = F.array(
             F.struct(F.lit("median").alias("stat"), F.col("q2").alias("value")),
             F.struct(F.lit("iqr").alias("stat"), (F.col("q3") - F.col("q1")).alias("value")),
         )
-        exact = wide.select(*by, "column", F.inline(pairs))
+        exact = spread.select(*by, "column", F.inline(pairs))
         if nulls == "propagate":
             gaps = result.filter((F.col("stat") == "missing") & (F.col("value") > 0))
             exact = exact.join(

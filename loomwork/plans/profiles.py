@@ -186,7 +186,7 @@ def _scaled(spark: SparkSession, sf: str) -> DataFrame:
 # erf by Simpson's rule on 200 intervals, independent of the library's erf
 _ERF = """(2 / sqrt(pi()) * {z} / 600 * list_sum(list_transform(range(0, 201),
   lambda k: (case when k = 0 or k = 200 then 1 when k % 2 = 1 then 4 else 2 end)
-    * exp(-(({z}) * k / 200) ** 2))))"""
+    * exp(0 - power(({z}) * k / 200, 2)))))"""
 
 
 @registry.add(
