@@ -20,7 +20,7 @@ def _chunked(df: DataFrame, order: str, chunk_rows: int) -> DataFrame:
     return df.withColumn(_CHUNK, F.floor(F.col(order) / F.lit(chunk_rows)).cast("long"))
 
 
-def _carry(summary: DataFrame, keys: list[str]) -> Window:
+def _before(keys: list[str]):
     return (
         Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -34,17 +34,18 @@ def running(
     minima: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    exclusive: bool = False,
 ) -> DataFrame:
-    """Add running sums, minima and last non-null values, each including the current row.
+    """Add running sums, minima and last non-null values, including the current row.
 
-    Nulls do not contribute; a running sum with no value so far is 0.
+    exclusive=True leaves the current row out. Nulls do not contribute; a running sum with no value so far is 0.
     """
     sums, minima, lasts = sums or {}, minima or {}, lasts or {}
     base = _chunked(df, order, chunk_rows)
     inside = (
         Window.partitionBy(*keys, _CHUNK)
         .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
     )
     summary = base.groupBy(*keys, _CHUNK).agg(
         *[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()],
@@ -55,7 +56,7 @@ def running(
             for n, c in lasts.items()
         ],
     )
-    before = _carry(summary, keys)
+    before = _before(keys)
     carried = summary.select(
         *keys,
         _CHUNK,

@@ -80,7 +80,9 @@ def reachable(
     Semi-naive: each round extends only the pairs the previous round found, and a pair that
     is known already is not followed again, so cycles end.
     """
-    hops = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("__next"))
+    hops = cut_lineage(
+        edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("__next"))
+    )
     at = [*keys, "seed", "node"]
 
     def step(frontier: DataFrame) -> DataFrame:

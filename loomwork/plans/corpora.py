@@ -510,7 +510,8 @@ def clean_corpus_report(spark: SparkSession, sf: str) -> DataFrame:
 @registry.add(
     "sampled_edit_distances",
     """
-with top as (select item_id, regexp_replace(text, '[^\x00-\x7f]', '?', 'g') as text, row_number() over (order by md5('1:' || item_id), item_id) - 1
+with top as (select item_id, regexp_replace(text, '[^[:ascii:]]', '?', 'g') as text,
+    row_number() over (order by md5('1:' || item_id), item_id) - 1
     as r from benchmark),
 b as (select item_id, text, (r // 10)::int as batch from top where r < 40)
 select x.batch, x.item_id as i, y.item_id as j, levenshtein(x.text, y.text)::int as distance
