@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("profiles", "corpora", "traces")
+MODULES = ("profiles", "corpora", "traces", "sources_code", "search", "automl")
 
 
 def registries():
