@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("profiles", "corpora", "traces", "sources_code", "search", "automl")
+MODULES = (
+    "profiles", "corpora", "traces", "sources_code", "search", "automl", "streams",
+)
 
 
 def registries():
