@@ -68,22 +68,57 @@ def merge_sets(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _shortcuts(hops: DataFrame, keys: list[str], doublings: int, growth: int) -> DataFrame:
+    """Add the pairs two hops apart, up to `doublings` times.
+
+    The number of pairs is known beforehand from the degrees; a doubling that would yield more
+    than `growth` pairs per hop (many calls meeting in one node) is not done.
+    """
+    for _ in range(doublings):
+        total = hops.count()
+        into = hops.groupBy(*keys, F.col("__next").alias("node")).agg(
+            F.count(F.lit(1)).alias("i"))
+        out = hops.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("o"))
+        pairs = into.join(out, [*keys, "node"]).agg(F.sum(F.col("i") * F.col("o"))).first()[0]
+        if not pairs or pairs > growth * total:
+            break
+        second = hops.select(*keys, "node", F.col("__next").alias("__mid")).join(
+            hops.select(*keys, F.col("node").alias("__mid"), "__next"), [*keys, "__mid"]
+        )
+        hops = cut_lineage(
+            hops.unionByName(second.select(*keys, "node", "__next")).distinct()
+        )
+    return hops
+
+
+def hop_table(
+    edges: DataFrame, keys: list[str], doublings: int = 3, growth: int = 6
+) -> DataFrame:
+    """(keys..., node, __next): the edges, stored, with shortcuts where they stay cheap."""
+    hops = cut_lineage(
+        edges.select(
+            *keys, F.col("src").alias("node"), F.col("dst").alias("__next")
+        ).distinct()
+    )
+    return _shortcuts(hops, keys, doublings, growth)
+
+
 def reachable(
     seeds: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | None,
     keys: list[str],
     max_rounds: int = 10_000,
+    hops: DataFrame | None = None,
 ) -> DataFrame:
     """(keys..., seed, node) for all nodes reachable over one or more edges.
 
     seeds has (keys..., seed, node) where node is the start; edges has (keys..., src, dst).
     Semi-naive: each round extends only the pairs the previous round found, and a pair that
-    is known already is not followed again, so cycles end.
+    is known already is not followed again, so cycles end. Pass `hops` from `hop_table` to
+    walk the same edges again.
     """
-    hops = cut_lineage(
-        edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("__next"))
-    )
     at = [*keys, "seed", "node"]
+    hops = hop_table(edges, keys) if hops is None else hops
 
     def step(frontier: DataFrame) -> DataFrame:
         return (

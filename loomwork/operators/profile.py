@@ -59,16 +59,19 @@ def _numbers(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     )
 
 
-def _unpivot(wide: DataFrame, by: list[str], cells: dict[tuple[str, str], Column]) -> DataFrame:
-    """Rows (by..., column, stat, value) from one wide row per entity."""
-    entries = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), F.lit(s).alias("stat"),
-                     v.cast("double").alias("value"))
-            for (c, s), v in cells.items()
-        ]
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _unpivot(wide: DataFrame, by: list[str], cells: dict[tuple[str, str], str]) -> DataFrame:
+    """Rows (by..., column, stat, value) from one wide row per entity; cells are SQL."""
+    text = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    entries = ", ".join(
+        f"{text(c)}, {text(s)}, cast({v} as double)" for (c, s), v in cells.items()
+    )
+    return wide.selectExpr(
+        *[_q(k) for k in by], f"stack({len(cells)}, {entries}) as (column, stat, value)"
     )
-    return wide.select(*by, F.inline(entries))
 
 
 def _bracketed(
@@ -82,25 +85,29 @@ def _bracketed(
     widths = [(p, w) for p in probs for w, _ in BRACKETS]
     wanted = [e for p, w in widths for e in (max(p - w, 0.0), min(p + w, 1.0))]
     accuracy = SKETCH_ACCURACY if probs else 100
+    at = ", ".join(f"{v!r}d" for v in [0.0, 0.5, 1.0, *wanted])
     sketched = data.groupBy(*by).agg(
         *[
-            F.percentile_approx(c, [0.0, 0.5, 1.0, *wanted], accuracy).alias(f"__q_{i}")
+            F.expr(f"percentile_approx({_q(c)}, array({at}), {accuracy}) as __q_{i}")
             for i, c in enumerate(cols)
         ],
-        *[F.count(c).alias(f"__n_{i}") for i, c in enumerate(cols)],
+        *[F.expr(f"count({_q(c)}) as __n_{i}") for i, c in enumerate(cols)],
     )
     bounds = []
     for i in range(len(cols)):
-        q, n = F.col(f"__q_{i}"), F.col(f"__n_{i}")
-        bounds.append(q[1].alias(f"__mid_{i}"))
+        bounds.append(f"__q_{i}[1] as __mid_{i}")
         for j in range(len(probs)):
-            lo, hi = q[0], q[2]
-            for k, (_, rows) in reversed(list(enumerate(BRACKETS))):
-                at = 3 + 2 * (j * len(BRACKETS) + k)
-                lo = F.when(n >= rows, q[at]).otherwise(lo)
-                hi = F.when(n >= rows, q[at + 1]).otherwise(hi)
-            bounds += [lo.alias(f"__lo_{i}_{j}"), hi.alias(f"__hi_{i}_{j}")]
-    limits = sketched.select(*by, *bounds)
+            # the tightest bracket the row count allows, else the whole range
+            for side, name, whole in ((0, "lo", 0), (1, "hi", 2)):
+                cases = " ".join(
+                    f"when __n_{i} >= {rows} then "
+                    f"__q_{i}[{3 + 2 * (j * len(BRACKETS) + k) + side}]"
+                    for k, (_, rows) in enumerate(BRACKETS)
+                )
+                bounds.append(
+                    f"case {cases} else __q_{i}[{whole}] end as __{name}_{i}_{j}"
+                )
+    limits = sketched.selectExpr(*[_q(k) for k in by], *bounds)
     if by:
         return data.join(limits, by)
     row = limits.first()  # one row of columns * (2 * probabilities + 1) numbers
@@ -114,31 +121,18 @@ def _ranks(
 ) -> DataFrame:
     """Interpolated quantiles from rows inside the brackets and counts `__b_i_j` below them."""
     pairs = [(i, j) for i in range(len(cols)) for j in range(len(probs))]
-    hits = F.array(
-        *[
-            F.when(
-                F.col(cols[i]).between(F.col(f"__lo_{i}_{j}"), F.col(f"__hi_{i}_{j}")),
-                F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(cols[i]).alias("v")),
-            )
-            for i, j in pairs
-        ]
+    keys = [_q(k) for k in by]
+    hits = ", ".join(
+        f"case when {_q(cols[i])} between __lo_{i}_{j} and __hi_{i}_{j} "
+        f"then named_struct('i', {i}, 'j', {j}, 'v', {_q(cols[i])}) end"
+        for i, j in pairs
     )
-    inside = placed.select(
-        *by, F.explode(F.filter(hits, lambda s: s.isNotNull())).alias("cell")
+    inside = placed.selectExpr(
+        *keys, f"explode(array_compact(array({hits}))) as cell"
     ).groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("rows"))
-    below = totals.select(
-        *by,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("i"), F.lit(j).alias("j"),
-                        F.col(f"__b_{i}_{j}").alias("below"), F.col(f"__n_{i}").alias("n"),
-                    )
-                    for i, j in pairs
-                ]
-            )
-        ),
+    counts = ", ".join(f"{i}, {j}, __b_{i}_{j}, __n_{i}" for i, j in pairs)
+    below = totals.selectExpr(
+        *keys, f"stack({len(pairs)}, {counts}) as (i, j, below, n)"
     )
     order = Window.partitionBy(*by, "i", "j").orderBy("v")
     ranked = inside.select(*by, "cell.i", "cell.j", "cell.v", "rows").select(
@@ -165,10 +159,10 @@ def _ranks(
 
 def _rank_counts(cols: list[str], probs: list[float]) -> list[Column]:
     return [
-        F.count_if(F.col(c) < F.col(f"__lo_{i}_{j}")).alias(f"__b_{i}_{j}")
+        F.expr(f"count_if({_q(c)} < __lo_{i}_{j}) as __b_{i}_{j}")
         for i, c in enumerate(cols)
         for j in range(len(probs))
-    ] + [F.count(c).alias(f"__n_{i}") for i, c in enumerate(cols)]
+    ] + [F.expr(f"count({_q(c)}) as __n_{i}") for i, c in enumerate(cols)]
 
 
 def exact_quantiles(
@@ -209,73 +203,57 @@ def numeric_column_stats(
     placed = _bracketed(data, cols, probs if quantiles == "exact" else [], by)
     aggregates = [F.count(F.lit(1)).alias("__rows")]
     aggregates += _rank_counts(cols, probs if quantiles == "exact" else [])
-    cells = {}
+    means, centred, cells = [], [], {}
     for i, c in enumerate(cols):
-        v = F.col(c)
-        d = v - F.col(f"__mid_{i}")
-        aggregates += [
-            F.sum(F.when(v > 0, F.ln(v))).alias(f"__ln_{i}"),
-            F.min(v).alias(f"__min_{i}"),
-            F.max(v).alias(f"__max_{i}"),
-            F.sum(d).alias(f"__s1_{i}"),
-            F.sum(d * d).alias(f"__s2_{i}"),
-            F.sum(d * d * d).alias(f"__s3_{i}"),
-            F.sum(d * d * d * d).alias(f"__s4_{i}"),
-            F.count_if(v != 0).alias(f"__nz_{i}"),
-            F.first(f"__mid_{i}").alias(f"__mid_{i}"),
-        ]
+        v, d = _q(c), f"({_q(c)} - __mid_{i})"
+        sums = {
+            "ln": f"sum(case when {v} > 0 then ln({v}) end)",
+            "min": f"min({v})", "max": f"max({v})", "nz": f"count_if({v} <> 0)",
+            "mid": f"first(__mid_{i})",
+            **{f"s{k}": f"sum({' * '.join([d] * k)})" for k in range(1, 5)},
+        }
         if quantiles == "approx":
-            aggregates.append(
-                F.percentile_approx(v, probs, SKETCH_ACCURACY).alias(f"__pct_{i}")
-            )
-    wide = placed.groupBy(*by).agg(*aggregates)
-    means = {}
-    for i in range(len(cols)):
-        for k in range(1, 5):
-            means[f"__a{k}_{i}"] = F.try_divide(F.col(f"__s{k}_{i}"), F.col(f"__n_{i}"))
-    derived = wide.withColumns(means)
-    centred = {}
-    for i in range(len(cols)):
-        a1, a2, a3, a4 = (F.col(f"__a{k}_{i}") for k in range(1, 5))
-        centred[f"__v_{i}"] = F.greatest(a2 - a1 * a1, F.lit(0.0))
-        centred[f"__m3_{i}"] = a3 - 3 * a1 * a2 + 2 * a1 * a1 * a1
-        centred[f"__m4_{i}"] = a4 - 4 * a1 * a3 + 6 * a1 * a1 * a2 - 3 * a1 * a1 * a1 * a1
-    derived = derived.withColumns(centred)
-    for i, c in enumerate(cols):
-        n, lo, hi, var = (F.col(f"__{k}_{i}") for k in ("n", "min", "max", "v"))
-        avg = F.col(f"__mid_{i}") + F.col(f"__a1_{i}")
-        std = F.sqrt(var)
-        gmean = (
-            F.when(lo < 0, F.lit(math.nan)).when(lo == 0, F.lit(0.0))
-            .otherwise(F.exp(F.try_divide(F.col(f"__ln_{i}"), n)))
-        )
+            at = ", ".join(f"{p!r}d" for p in probs)
+            sums["pct"] = f"percentile_approx({v}, array({at}), {SKETCH_ACCURACY})"
+        aggregates += [F.expr(f"{e} as __{k}_{i}") for k, e in sums.items()]
+        means += [f"try_divide(__s{k}_{i}, __n_{i}) as __a{k}_{i}" for k in range(1, 5)]
+        a1, a2, a3, a4 = (f"__a{k}_{i}" for k in range(1, 5))
+        centred += [
+            f"greatest({a2} - {a1} * {a1}, 0.0d) as __v_{i}",
+            f"{a3} - 3 * {a1} * {a2} + 2 * {a1} * {a1} * {a1} as __m3_{i}",
+            f"{a4} - 4 * {a1} * {a3} + 6 * {a1} * {a1} * {a2} "
+            f"- 3 * {a1} * {a1} * {a1} * {a1} as __m4_{i}",
+        ]
+        lo, hi, var = f"__min_{i}", f"__max_{i}", f"__v_{i}"
+        avg, std = f"(__mid_{i} + {a1})", f"sqrt({var})"
         values = {
             "mean": avg,
-            "geometric_mean": gmean,
-            "min_zscore": F.try_divide(lo - avg, std),
-            "max_zscore": F.try_divide(hi - avg, std),
-            "zscore": F.when(std > 0, F.lit(0.0)),
+            "geometric_mean": f"case when {lo} < 0 then double('NaN') when {lo} = 0 then 0.0d "
+                              f"else exp(try_divide(__ln_{i}, __n_{i})) end",
+            "min_zscore": f"try_divide({lo} - {avg}, {std})",
+            "max_zscore": f"try_divide({hi} - {avg}, {std})",
+            "zscore": f"case when {std} > 0 then 0.0d end",
             "std": std,
             "max": hi,
             "min": lo,
             # an all-zero column does not enter the average over columns
-            "count_nonzero": F.nullif(F.col(f"__nz_{i}"), F.lit(0)).cast("double"),
-            "skew": F.coalesce(F.try_divide(F.col(f"__m3_{i}"), var * std), F.lit(0.0)),
-            "kurtosis": F.coalesce(
-                F.try_divide(F.col(f"__m4_{i}"), var * var) - 3, F.lit(-3.0)
-            ),
+            "count_nonzero": f"nullif(__nz_{i}, 0)",
+            "skew": f"coalesce(try_divide(__m3_{i}, {var} * {std}), 0.0d)",
+            "kurtosis": f"coalesce(try_divide(__m4_{i}, {var} * {var}) - 3, -3.0d)",
         }
         if quantiles == "approx":
-            pct = F.col(f"__pct_{i}")
-            values["median"], values["iqr"] = pct[1], pct[2] - pct[0]
-        missing = 1 - F.try_divide(n.cast("double"), F.col("__rows"))
+            values["median"] = f"__pct_{i}[1]"
+            values["iqr"] = f"__pct_{i}[2] - __pct_{i}[0]"
+        missing = f"(1 - try_divide(double(__n_{i}), __rows))"
         for stat, value in values.items():
             # zscore and count_nonzero keep their null: those columns leave the average
-            known = F.when(n > 0, value)
+            known = f"case when __n_{i} > 0 then {value} end"
             if nulls == "propagate" and stat != "count_nonzero":
-                known = F.when(missing > 0, F.lit(math.nan)).otherwise(known)
+                known = f"case when {missing} > 0 then double('NaN') else {known} end"
             cells[c, stat] = known
         cells[c, "missing"] = missing
+    wide = placed.groupBy(*by).agg(*aggregates)
+    derived = wide.selectExpr("*", *means).selectExpr("*", *centred)
     result = _unpivot(derived, by, cells)
     if quantiles == "exact":
         spread = _ranks(placed, wide, cols, probs, by).groupBy(*by, "column").agg(
@@ -347,12 +325,12 @@ def boolean_features(df: DataFrame, cols: list[str], by: list[str] | None = None
     wide = df.groupBy(*by).agg(
         *[F.avg(F.col(c).cast("double")).alias(f"__t_{i}") for i, c in enumerate(cols)]
     )
-    fractions = F.array(*[F.col(f"__t_{i}") for i in range(len(cols))])
-    total = F.aggregate(fractions, F.lit(0.0), lambda s, x: s + x)
+    names = [f"__t_{i}" for i in range(len(cols))]
+    fractions, total = f"array({', '.join(names)})", " + ".join(names)
     cells = {
-        ("", "colwise_max_fraction_true"): F.array_max(fractions),
-        ("", "colwise_min_fraction_true"): F.array_min(fractions),
-        ("", "colwise_avg_fraction_true"): total / len(cols),
+        ("", "colwise_max_fraction_true"): f"array_max({fractions})",
+        ("", "colwise_min_fraction_true"): f"array_min({fractions})",
+        ("", "colwise_avg_fraction_true"): f"({total}) / {len(cols)}",
     }
     return _features(_unpivot(wide, by, cells), by, F.col("stat"), F.col("value"))
 
@@ -378,9 +356,9 @@ def nominal_column_stats(
         ),
         by,
         {
-            **{(c, "colwise_missing_nominal"): F.col(f"__m_{i}") for i, c in enumerate(cols)},
+            **{(c, "colwise_missing_nominal"): f"__m_{i}" for i, c in enumerate(cols)},
             **(
-                {(c, "size_domain_nominal"): F.col(f"__d_{i}") for i, c in enumerate(cols)}
+                {(c, "size_domain_nominal"): f"__d_{i}" for i, c in enumerate(cols)}
                 if approx else {}
             ),
         },
@@ -467,7 +445,7 @@ def distribution_features(
             flat = data.select(*by, F.explode(F.array(*cols)).alias("cell"))
             keep = cell_cap / (rows * len(cols))
             data, cols = flat.sample(False, keep, seed), ["cell"]
-            sizes["matrixwise_numeric_distribution_num_rows_sampled"] = F.col("__cells")
+            sizes["matrixwise_numeric_distribution_num_rows_sampled"] = "__cells"
     totals = {}
     for name, (pdf, cdf) in DISTRIBUTIONS.items():
         for curve, fn in (("pdf", pdf), ("cdf", cdf)):
@@ -487,7 +465,7 @@ def distribution_features(
         ],
         reduce(lambda a, b: a + b, [F.count(c) for c in cols]).alias("__cells"),
     )
-    cells = {("", k): F.try_divide(F.col(k), F.col("__cells")) for k in totals}
+    cells = {("", k): f"try_divide({k}, __cells)" for k in totals}
     cells.update({("", k): v for k, v in sizes.items()})
     return _features(_unpivot(wide, by, cells), by, F.col("stat"), F.col("value"))
 
@@ -542,9 +520,9 @@ def shape_features(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     letters = {"numeric": "f", "nominal": "O", "boolean": "b"}
     kinds = column_kinds(df, tuple(by))
     counts = {
-        ("", f"count_column_type_{letters[k]}"): F.lit(len(c)) for k, c in kinds.items() if c
+        ("", f"count_column_type_{letters[k]}"): str(len(c)) for k, c in kinds.items() if c
     }
-    counts["", "num_rows"] = F.col("__n")
+    counts["", "num_rows"] = "__n"
     wide = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 0")
     numbers = _features(_unpivot(wide, by, counts), by, F.col("stat"), F.col("value"))
     label = wide.select(
@@ -645,10 +623,10 @@ def sparse_features(entries: DataFrame, rows: int, width: int) -> DataFrame:
         (F.sum("missing") / w).alias("missing"),
     )
     cells = {
-        ("", f"colwise_avg_{s}"): F.col(s)
+        ("", f"colwise_avg_{s}"): s
         for s in ("mean", "std", "skew", "count_nonzero", "missing")
     }
-    cells["", "colwise_avg_sparse_spread_stats"] = F.col("skew")
+    cells["", "colwise_avg_sparse_spread_stats"] = "skew"
     long = _unpivot(wide, [], cells).filter(F.col("value").isNotNull())
     return _features(long, [], F.col("stat"), F.col("value"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwork.functions.ordered import running
 from loomwork.functions.text import last_segment
-from loomwork.operators.graph import reachable
+from loomwork.operators.graph import hop_table, reachable
 from loomwork.session import cut_lineage
 
 TRANSFORM, MODEL, EVAL, OTHER = "T", "M", "E", "O"
@@ -146,7 +146,8 @@ def propagate(named: DataFrame) -> tuple[DataFrame, DataFrame]:
         "script", F.col("call_id").alias("seed"), F.col("call_id").alias("node")
     )
     seeds = models.select("*", F.explode(F.array(F.lit("b"), F.lit("f"))).alias("way"))
-    reach = reachable(seeds, back.unionByName(forward), ["script", "way"])
+    hops = hop_table(back.unionByName(forward), ["script", "way"])
+    reach = reachable(seeds, None, ["script", "way"], hops=hops)
     # of equal model ids the backward direction counts first, as 'b' < 'f'
     first = reach.groupBy("script", F.col("node").alias("call_id")).agg(
         F.min(F.struct("seed", "way")).alias("first")
@@ -166,7 +167,8 @@ def propagate(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     passing = reach.filter("way = 'f'").join(evaluating, ["script", "node"], "left_semi")
     passed = reachable(
-        passing.select("script", "seed", "node"), back.drop("way"), ["script"]
+        passing.select("script", "seed", "node"), None, ["script"],
+        hops=hops.filter("way = 'b'").drop("way"),
     )
     pairs = (
         models.select("script", "seed", "node")

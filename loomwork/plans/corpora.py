@@ -376,7 +376,7 @@ clean as (select doc_id from remaining where doc_id not in (select node from com
 
 
 def _scripts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(
+    docs = table(spark, sf, "documents", heavy=True).select(
         F.col("doc_id").alias("id"), "lang", "source", F.col("text").alias("script")
     )
     linked = previous(
@@ -406,7 +406,7 @@ select sum(len(list_filter({_LINES_SQL}, lambda s: left(s, 1) not in ('''', '"',
 from (select text from documents union all select html as text from pages)""",
 )
 def count_loc(spark: SparkSession, sf: str) -> DataFrame:
-    sources = table(spark, sf, "documents").select("text").unionByName(
+    sources = table(spark, sf, "documents", heavy=True).select("text").unionByName(
         table(spark, sf, "pages").select(F.col("html").alias("text"))
     )
     return corpus.count_loc(sources)
@@ -417,7 +417,9 @@ def count_loc(spark: SparkSession, sf: str) -> DataFrame:
     f"with {_ITEMS_SQL} select doc_id as id, md5(text) as digest, length(text) as len from items",
 )
 def standardize(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = table(spark, sf, "documents", heavy=True).select(
+        F.col("doc_id").alias("id"), "text"
+    )
     return corpus.standardize(docs, "text").select(
         "id", F.md5("text").alias("digest"), F.length("text").alias("len")
     )

@@ -63,7 +63,7 @@ def scripts(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, source); one document in 17 does not parse."""
     body = F.array_join(F.transform(F.split("text", "\n"), _statement), "\n")
     broken = F.when(F.col("doc_id") % 17 == 0, F.lit("\ndef (")).otherwise("")
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", heavy=True).select(
         "doc_id", F.concat(F.lit(HEADER + "\n"), body, broken).alias("source")
     )
 

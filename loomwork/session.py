@@ -12,6 +12,8 @@ LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # call-site capture costs several driver round trips per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -51,3 +53,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def at_most(df: DataFrame, rows: int) -> bool:
     """True when df has no more than `rows` rows; reads at most rows + 1 of them."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over as many tasks as the session has cores.
+
+    For work that is heavy per row, on inputs that arrive as one or two small files; a scan
+    with enough splits of its own is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
