@@ -6,12 +6,15 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (
+    CountVectorizerModel, StringIndexer, VectorAssembler, VectorSizeHint,
+)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from loomwork.operators import catalog, profile as pf, sequences as sq
 from loomwork.operators.tagging import MODEL, TRANSFORM
+from loomwork.session import cut_lineage
 
 MAX_VOCABULARY = 1 << 20
 
@@ -71,8 +74,6 @@ class Vectorizer:
             parts.append("__numbers")
         joined = VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="keep")
         if "__numbers" in parts:
-            from pyspark.ml.feature import VectorSizeHint
-
             hint = VectorSizeHint(
                 inputCol="__numbers", size=len(self.numbers), handleInvalid="optimistic"
             )
@@ -95,7 +96,7 @@ class RoleModel:
         data = self.vectorizer.transform(tokens_and_numbers(rows, keys))
         scored = self.model.transform(data).select(
             *keys, F.posexplode(vector_to_array("probability")).alias("idx", "p")
-        )
+        ).filter(F.col("idx") < len(self.classes))  # a lone class still has two slots
         names = F.array(*[F.lit(c) for c in self.classes])
         log_prob = F.when(F.col("p") > 0, F.ln("p")).otherwise(F.lit(float("-inf")))
         return scored.select(
@@ -127,7 +128,7 @@ def fit_role_model(
     arg_features: DataFrame | None = None,
 ) -> RoleModel:
     """Model of the observations of one role; classifier=None keeps only the classes."""
-    rows = obs.filter(F.col("role") == role)
+    rows = cut_lineage(obs.filter(F.col("role") == role))
     if classifier is None:
         found = rows.select("component").distinct().limit(MAX_VOCABULARY).collect()
         return RoleModel(role, sorted(r[0] for r in found), None, None)
