@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 
 _BLANK = r"[\s\x1c-\x1f]"
@@ -23,19 +26,14 @@ def standard_text(text: Column) -> Column:
     return F.array_join(lines(text), "\n")
 
 
-def char_counts(text: Column) -> Column:
+@F.pandas_udf(T.MapType(T.StringType(), T.IntegerType()))
+def char_counts(texts: pd.Series) -> pd.Series:
     """Map from each character (code point) to how often it occurs.
 
-    One pass finds the distinct characters; each is then counted by a native replace, so the
-    work per text is its length times the size of its alphabet, all inside the JVM.
+    One linear pass per text. Built-in expressions need a pass per distinct character, or a
+    row per character; both were measured to be several times slower.
     """
-    chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: F.length(c) > 0))
-    return F.map_from_arrays(
-        chars,
-        F.transform(
-            chars, lambda c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
-        ),
-    )
+    return texts.map(lambda text: None if text is None else dict(Counter(text)))
 
 
 def shared_chars(a: Column, b: Column) -> Column:

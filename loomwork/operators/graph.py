@@ -61,13 +61,6 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
     )
 
 
-def merge_sets(pairs: DataFrame) -> DataFrame:
-    """Overlapping pairs (src, dst) merged until stable: (component, members)."""
-    return connected_components(pairs).groupBy("component").agg(
-        F.sort_array(F.collect_list("node")).alias("members")
-    )
-
-
 def _shortcuts(hops: DataFrame, keys: list[str], doublings: int, growth: int) -> DataFrame:
     """Add the pairs two hops apart, up to `doublings` times.
 

@@ -386,7 +386,9 @@ def _scripts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.with_char_counts(corpus.standardize(_scripts(spark, sf)), "script")
+    return cut_lineage(
+        similarity.with_char_counts(corpus.standardize(_scripts(spark, sf)), "script")
+    )
 
 
 @registry.add(
@@ -443,7 +445,7 @@ def fork_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _remaining(spark: SparkSession, sf: str) -> DataFrame:
-    items = cut_lineage(_items(spark, sf))
+    items = _items(spark, sf)
     return items.join(corpus.fork_duplicates(items), "id", "left_anti")
 
 

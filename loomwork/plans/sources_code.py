@@ -1,7 +1,7 @@
 """Source-text queries (group P, code mode of D, notebooks of S).
 
 The tables hold prose, so each document becomes a script whose statements follow from the
-lengths of its lines, and each conversation becomes a notebook whose cells are its turns.
+lengths of its lines, and a notebook with one cell per line.
 """
 
 from __future__ import annotations
@@ -157,34 +157,29 @@ def standardize_code(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- notebooks
 
-# the i-th turn is a code cell unless it comes from the system; one conversation in three has
-# the old layout; empty cells carry no text
-_CELLS_SQL = """cells as (select conv_id, turn, role, row_number() over (
-    partition by conv_id order by turn) - 1 as cell,
-  case when turn % 4 = 3 then '' else 'x' || turn || ' = max(' || length(text) || ', '
-    || turn || ')' end as source
-  from conversations),
-code as (select * from cells where role <> 'system' and source <> '')"""
+# line i of a document is a code cell unless its length is 4 modulo 5; one document in three
+# has the old layout; some cells carry no text
+_CELLS_SQL = """cells as (select doc_id, i as cell, length(line) % 5 <> 4 as is_code,
+  case when length(line) % 4 = 3 then '' else 'x' || i || ' = max(' || length(line) || ', '
+    || i || ')' end as source
+  from (select doc_id, unnest(string_split(text, chr(10))) as line,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents)),
+code as (select * from cells where is_code and source <> '')"""
 
 
 def notebooks(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.when(F.col("turn") % 4 == 3, F.lit("")).otherwise(
-        F.concat(F.lit("x"), "turn", F.lit(" = max("), F.length("text"), F.lit(", "), "turn",
-                 F.lit(")"))
-    )
-    kind = F.when(F.col("role") == "system", "markdown").otherwise("code")
-    # one notebook is one document, so its cells belong in one row
-    docs = table(spark, sf, "conversations").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", kind.alias("kind"), text.alias("text"))))
-        .alias("turns")
+    kind = lambda s: F.when(F.length(s) % 5 == 4, "markdown").otherwise("code")
+    code = lambda s, i: F.when(F.length(s) % 4 == 3, F.lit("")).otherwise(
+        F.concat(F.lit("x"), i, F.lit(" = max("), F.length(s), F.lit(", "), i, F.lit(")"))
     )
     outputs = F.array(F.struct(F.lit("out").alias("text")))
-    new = F.transform("turns", lambda t: F.struct(
-        t["kind"].alias("cell_type"), t["text"].alias("source"), outputs.alias("outputs"),
+    lines = F.split("text", "\n")
+    new = F.transform(lines, lambda s, i: F.struct(
+        kind(s).alias("cell_type"), code(s, i).alias("source"), outputs.alias("outputs"),
         F.struct(F.lit(True).alias("collapsed")).alias("metadata"),
     ))
-    old = F.transform("turns", lambda t: F.struct(
-        t["kind"].alias("cell_type"), t["text"].alias("input"), outputs.alias("outputs"),
+    old = F.transform(lines, lambda s, i: F.struct(
+        kind(s).alias("cell_type"), code(s, i).alias("input"), outputs.alias("outputs"),
         F.lit(7).alias("prompt_number"),
     ))
     modern = F.to_json(F.struct(
@@ -196,14 +191,14 @@ def notebooks(spark: SparkSession, sf: str) -> DataFrame:
         F.array(F.struct(old.alias("cells"))).alias("worksheets"),
         F.struct(F.lit("s").alias("signature")).alias("metadata"),
     ))
-    return docs.select(
-        F.col("conv_id").alias("script_id"),
-        F.when(F.col("conv_id") % 3 == 0, legacy).otherwise(modern).alias("raw"),
+    return table(spark, sf, "documents", heavy=True).select(
+        F.col("doc_id").alias("script_id"),
+        F.when(F.col("doc_id") % 3 == 0, legacy).otherwise(modern).alias("raw"),
     )
 
 
 @registry.add(
-    "notebook_cells", f"with {_CELLS_SQL} select conv_id as script_id, cell, source from code"
+    "notebook_cells", f"with {_CELLS_SQL} select doc_id as script_id, cell, source from code"
 )
 def notebook_cells(spark: SparkSession, sf: str) -> DataFrame:
     return nb.notebook_cells(notebooks(spark, sf))
@@ -212,10 +207,10 @@ def notebook_cells(spark: SparkSession, sf: str) -> DataFrame:
 @registry.add(
     "notebook_to_script",
     f"""with {_CELLS_SQL}
-select conv_id as script_id, coalesce(code, '') as code, 'Python' as language, 'py' as ext from (
-  select distinct conv_id from conversations) left join (
-  select conv_id, string_agg(source, chr(10) || chr(10) order by cell) as code from code
-  group by conv_id) using (conv_id)""",
+select doc_id as script_id, coalesce(code, '') as code, 'Python' as language, 'py' as ext
+from documents left join (
+  select doc_id, string_agg(source, chr(10) || chr(10) order by cell) as code from code
+  group by doc_id) using (doc_id)""",
 )
 def notebook_to_script(spark: SparkSession, sf: str) -> DataFrame:
     return nb.notebook_to_script(notebooks(spark, sf))
@@ -223,8 +218,8 @@ def notebook_to_script(spark: SparkSession, sf: str) -> DataFrame:
 
 @registry.add(
     "strip_notebook_outputs",
-    """select conv_id as script_id, false as signature, 0 as outputs, 0 as prompts,
-  conv_id % 3 <> 0 as kernel from conversations group by conv_id""",
+    """select doc_id as script_id, false as signature, 0 as outputs, 0 as prompts,
+  doc_id % 3 <> 0 as kernel from documents""",
 )
 def strip_notebook_outputs(spark: SparkSession, sf: str) -> DataFrame:
     """What is left of signature, outputs, prompt numbers and other keys."""
@@ -242,8 +237,8 @@ def strip_notebook_outputs(spark: SparkSession, sf: str) -> DataFrame:
 
 @registry.add(
     "extract_notebook_calls",
-    f"""with {_CELLS_SQL} select conv_id as script_id,
-  row_number() over (partition by conv_id order by cell) - 1 as cell, 0 as seq, 'max' as qualname
+    f"""with {_CELLS_SQL} select doc_id as script_id,
+  row_number() over (partition by doc_id order by cell) - 1 as cell, 0 as seq, 'max' as qualname
 from code""",
 )
 def extract_notebook_calls(spark: SparkSession, sf: str) -> DataFrame:
