@@ -21,6 +21,7 @@ from loomwork.operators import ensemble, evaluate
 from loomwork.operators.column_loop import ColumnLoop, ModelStep, TableStep, width
 from loomwork.operators.tagging import MODEL, TRANSFORM
 from loomwork.schemas import SEARCH_LOG
+from loomwork.session import cut_lineage
 
 MAX_ROWS = 10_000
 MAX_COLS_LOOP = 3000
@@ -282,18 +283,19 @@ class AutoPipeline:
             seconds: float = 60.0) -> AutoPipeline:
         """df has row_id, label and feature columns. The search runs on capped rows, the
         final fit on all of them."""
-        capped = cap_rows(df, self.max_rows).persist()
+        # stored once: a sample drawn again after a lost executor could differ
+        capped = cut_lineage(cap_rows(df, self.max_rows))
+        train, val = (part.persist() for part in train_val_split(capped, share))
+        metric = "macro_f1" if self.task == "classification" else None
+        self.search = Search(
+            self.predictor, train, val, depth, beam, seconds, self.task, metric, self.threads,
+        )
         try:
-            train, val = train_val_split(capped, share)
-            metric = "macro_f1" if self.task == "classification" else None
-            self.search = Search(
-                self.predictor, train.persist(), val.persist(), depth, beam, seconds,
-                self.task, metric, self.threads,
-            )
             found = self.search.run()
             self.candidates = self.search.prune_ill(found, df)
         finally:
-            capped.unpersist()
+            train.unpersist()
+            val.unpersist()
         return self
 
     def votes(self, df: DataFrame) -> DataFrame:

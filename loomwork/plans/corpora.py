@@ -466,21 +466,21 @@ def similar_components(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.similar_components(_remaining(spark, sf), ["lang", "source"])
 
 
+# every line links its order to a later order of the same ten, or to itself
 @registry.add(
     "merge_overlapping_sets",
     """
-with recursive pairs as (select l_orderkey % 9973 as a, 100000 + l_partkey % 9973 as b
-    from lineitem where l_linenumber % 7 = 0),
+with recursive pairs as (select distinct l_orderkey as a, l_orderkey + l_linenumber as b
+    from lineitem where l_orderkey % 10 + l_linenumber < 10),
 sym as (select a, b from pairs union select b, a from pairs),
-lab as (select a as node, min(least(a, b)) as low from sym group by a),
 reach as (select a as node, a as seen from sym union
   select r.node, s.b from reach r join sym s on s.a = r.seen)
 select node, min(seen) as component from reach group by node""",
 )
 def merge_overlapping_sets(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = table(spark, sf, "lineitem").filter("l_linenumber % 7 = 0").select(
-        (F.col("l_orderkey") % 9973).alias("src"),
-        (100000 + F.col("l_partkey") % 9973).alias("dst"),
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    pairs = table(spark, sf, "lineitem").select(
+        key.alias("src"), F.when(key % 10 + line < 10, key + line).otherwise(key).alias("dst")
     )
     return graph.connected_components(pairs)
 
