@@ -17,7 +17,7 @@ _CHUNK = "__chunk"
 
 
 def _chunked(df: DataFrame, order: str, chunk_rows: int) -> DataFrame:
-    return df.withColumn(_CHUNK, F.floor(F.col(order) / F.lit(chunk_rows)).cast("long"))
+    return df.withColumn(_CHUNK, F.expr(f"`{order}` div {chunk_rows}"))
 
 
 def _before(keys: list[str]):

@@ -45,7 +45,9 @@ _COLUMN_SQL = _sql_numeric_stats("lineitem", LINE_NUMBERS)
     f'select "column", stat, round(v, 4) + 0.0 as value from ({_COLUMN_SQL}) where v is not null',
 )
 def profile_numeric_columns(spark: SparkSession, sf: str) -> DataFrame:
-    rows = p.numeric_column_stats(table(spark, sf, "lineitem"), LINE_NUMBERS)
+    rows = p.numeric_column_stats(
+        table(spark, sf, "lineitem", heavy=True), LINE_NUMBERS
+    )
     return rows.select("column", "stat", neat(F.col("value"), 4).alias("value"))
 
 
@@ -59,7 +61,9 @@ select 'table', 'colwise_avg_zscore_stats', round(v, 4) + 0.0 from t where stat
 
 @registry.add("profile_numeric_features", _NUMERIC_SQL)
 def profile_numeric_features(spark: SparkSession, sf: str) -> DataFrame:
-    rows = p.numeric_features(table(spark, sf, "lineitem"), LINE_NUMBERS)
+    rows = p.numeric_features(
+        table(spark, sf, "lineitem", heavy=True), LINE_NUMBERS
+    )
     return rows.select("entity", "feature", neat(F.col("num"), 4).alias("num"))
 
 
@@ -80,7 +84,7 @@ group by all
 )
 def profile_numeric_by_group(spark: SparkSession, sf: str) -> DataFrame:
     rows = p.numeric_features(
-        table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"],
+        table(spark, sf, "lineitem", heavy=True), ["l_quantity", "l_extendedprice"],
         by=["l_returnflag", "l_linestatus"], compat=False,
     )
     wanted = [f"colwise_avg_{s}" for s in ("mean", "median", "std", "iqr", "missing")]
