@@ -14,7 +14,8 @@ from loomwork.plans.common import Registry, table
 
 registry = Registry()
 
-CENTS = F.round(F.col("value") * 100).cast("long")
+def cents():
+    return F.round(F.col("value") * 100).cast("long")
 
 # ---------------------------------------------------------------- recorded events
 
@@ -69,7 +70,7 @@ deps as (select script, reader as seq, list_sort(list(distinct origin)) as d fro
 def raw_events(spark: SparkSession, sf: str) -> DataFrame:
     t, c = F.col("event_type"), F.col("cents")
     a, b = c % 7, F.floor(c / 7) % 7
-    return table(spark, sf, "events").withColumn("cents", CENTS).select(
+    return table(spark, sf, "events").withColumn("cents", cents()).select(
         F.col("user_id").cast("string").alias("script"), F.col("event_id").alias("seq"),
         F.when(t == "signup", "enter").when(t == "error", "exit").when(t == "purchase", "dep")
         .otherwise("call").alias("kind"),
@@ -187,7 +188,7 @@ select script, call_id, arg, f.feature, f.num from args join (
 )
 def attach_arg_features(spark: SparkSession, sf: str) -> DataFrame:
     profile = (
-        table(spark, sf, "events").groupBy((CENTS % 7).alias("value_id"))
+        table(spark, sf, "events").groupBy((cents() % 7).alias("value_id"))
         .agg(F.count(F.lit(1)).cast("double").alias("num_rows"),
              neat(F.avg("value")).alias("mean"))
     )
@@ -264,7 +265,7 @@ tagged as (select t.script, t.call_id, component, coalesce(spread, 'O') as tag,
 
 def trace_calls(spark: SparkSession, sf: str) -> DataFrame:
     base = table(spark, sf, "events").withColumns(
-        {"script": F.col("user_id").cast("string"), "c": CENTS}
+        {"script": F.col("user_id").cast("string"), "c": cents()}
     )
     counted = running(
         base, ["script"], "event_id", sums={"n": F.lit(1).cast("long")}
