@@ -71,7 +71,7 @@ def profile_numeric_features(spark: SparkSession, sf: str) -> DataFrame:
     "profile_numeric_by_group",
     """
 select l_returnflag || '|' || l_linestatus as entity, 'colwise_avg_' || stat as feature,
-  round(avg(v), 4) + 0.0 as num
+  round(avg(v), 5) + 0.0 as num
 from (
   select l_returnflag, l_linestatus, unnest(['mean','median','std','iqr','missing']) as stat,
     unnest([avg(x), quantile_cont(x, 0.5), stddev_pop(x),
@@ -89,7 +89,7 @@ def profile_numeric_by_group(spark: SparkSession, sf: str) -> DataFrame:
     )
     wanted = [f"colwise_avg_{s}" for s in ("mean", "median", "std", "iqr", "missing")]
     return rows.filter(F.col("feature").isin(wanted)).select(
-        "entity", "feature", neat(F.col("num"), 4).alias("num")
+        "entity", "feature", neat(F.col("num"), 5).alias("num")
     )
 
 
