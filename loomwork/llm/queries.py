@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from loomwork.llm import common, quality, sharding
+import uuid
+
+from loomwork.llm import common, packing, quality, sharding, token_counts
 from loomwork.plans.common import Registry
+from loomwork.session import checkpoint_folder
 
 registry = Registry()
 
@@ -12,6 +15,11 @@ def registries():
     return [registry]
 
 
+def stage_folder(spark, name: str) -> str:
+    """A new folder for a written table, in the shared folder of the session."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 QUALITY_SQL = "with docs as (select doc_id, text from documents)," + quality.SQL
 
 
@@ -23,3 +31,15 @@ def op8(spark, sf_dir):
 @registry.add("op4_sharding", sharding.sql())
 def op4(spark, sf_dir):
     return sharding.assign_shards(common.documents(spark, sf_dir))
+
+
+@registry.add("op6_packed_ids")
+def op6(spark, sf_dir):
+    path = stage_folder(spark, "packed")
+    packing.write_packed(common.documents(spark, sf_dir), path)
+    return packing.read_digests(spark, path)
+
+
+@registry.add("op7_token_counts")
+def op7(spark, sf_dir):
+    return token_counts.count_tokens(common.documents(spark, sf_dir))
