@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from loomwork.llm import common, packing, quality, sharding, token_counts
+from loomwork.llm import common, langid, packing, quality, sharding, token_counts
 from loomwork.plans.common import Registry
 from loomwork.session import checkpoint_folder
 
@@ -43,3 +43,12 @@ def op6(spark, sf_dir):
 @registry.add("op7_token_counts")
 def op7(spark, sf_dir):
     return token_counts.count_tokens(common.documents(spark, sf_dir))
+
+
+@registry.add("op3_language_id")
+def op3(spark, sf_dir):
+    docs = common.documents(spark, sf_dir)
+    held_out = common.remainder("doc_id", 4) == 2
+    model = langid.fit(docs.filter(~held_out))
+    predicted = langid.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

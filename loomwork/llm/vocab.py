@@ -139,3 +139,49 @@ class Memo:
         total = int(ends[-1]) if len(ends) else 0
         shift = np.repeat(self.starts[at] - (ends - lengths), lengths)
         return self.ids[shift + np.arange(total)]
+
+
+class Vectors:
+    """One vector for each word, looked up and summed by text; `learn(list of words)` makes new ones."""
+
+    def __init__(self, learn, width: int) -> None:
+        self.make, self.width = learn, width
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict = {}
+        self.rows = np.zeros((1 << 12, self.width))
+
+    def learn(self, words) -> None:
+        words = list(words)
+        if len(self.index) + len(words) > MEMO_WORDS:
+            self.clear()
+        n, need = len(self.index), len(self.index) + len(words)
+        if need > len(self.rows):
+            grown = np.zeros((max(need, 2 * len(self.rows)), self.width))
+            grown[:n] = self.rows[:n]
+            self.rows = grown
+        if words:
+            self.rows[n:need] = self.make(words)
+        self.index.update(zip(words, range(n, need), strict=True))
+
+    def of(self, words: list) -> np.ndarray:
+        try:
+            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            distinct = set(words)
+            new = distinct.difference(self.index)
+            self.learn(distinct if len(self.index) + len(new) > MEMO_WORDS else new)
+            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        return self.rows[at]
+
+    def sums(self, lists: list[list]) -> np.ndarray:
+        """The sum of vectors of each list."""
+        out = np.zeros((len(lists), self.width))
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        full = np.flatnonzero(lengths)
+        if len(full):
+            starts = np.cumsum(lengths[full]) - lengths[full]
+            flat = self.of(list(chain.from_iterable(lists)))
+            out[full] = np.add.reduceat(flat, starts, axis=0)
+        return out
