@@ -111,12 +111,12 @@ def base_counts(docs: DataFrame) -> DataFrame:
     ).drop("_text", "_counts", "_dup")
 
 
-def order_rules(counted: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
+def order_rules(docs: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejected rows per second on a sample of the documents that passed the base test."""
-    total = counted.count()
+    total = docs.count()
     if not total:
         return list(rules)
-    sample = counted.sample(min(1.0, rows / total), seed=7).filter(~F.col("base_failed"))
+    sample = base_counts(docs.sample(min(1.0, rows / total), seed=7)).filter(~F.col("base_failed"))
     sample = sample.persist()
     try:
         sample.count()
@@ -147,9 +147,8 @@ def verdict(rules) -> Column:
 
 def judge(docs: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents with base counts and `kept`."""
-    counted = base_counts(docs)
-    ordered = order_rules(counted, rules, sample_rows)
-    return counted.withColumn("kept", verdict(ordered))
+    ordered = order_rules(docs, rules, sample_rows)
+    return base_counts(docs).withColumn("kept", verdict(ordered))
 
 
 #: SELECT of doc_id, the base counts and kept for a relation `docs` of (doc_id, text)
