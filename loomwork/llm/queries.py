@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from loomwork.llm import common, langid, packing, quality, sharding, token_counts
+from loomwork.llm import common, langid, packing, quality, sharding, token_counts, toxicity
 from loomwork.plans.common import Registry
 from loomwork.session import checkpoint_folder
 
@@ -52,3 +52,13 @@ def op3(spark, sf_dir):
     model = langid.fit(docs.filter(~held_out))
     predicted = langid.predict(docs.select("doc_id", "text"), model)
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@registry.add("op2_toxicity")
+def op2(spark, sf_dir):
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held_out = common.remainder("doc_id", 3) == 1
+    learned = docs.join(labels.filter(~held_out), "doc_id")
+    scored = toxicity.score(docs, toxicity.fit(learned))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
