@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from loomwork.llm import common, langid, packing, quality, sharding, token_counts, toxicity
+from loomwork.llm import common, langid, near_duplicates, packing, quality, sharding, token_counts, toxicity
 from loomwork.plans.common import Registry
 from loomwork.session import checkpoint_folder
 
@@ -62,3 +62,9 @@ def op2(spark, sf_dir):
     learned = docs.join(labels.filter(~held_out), "doc_id")
     scored = toxicity.score(docs, toxicity.fit(learned))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@registry.add("op5_ngram_jaccard_join")
+def op5(spark, sf_dir):
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return near_duplicates.classes(docs).select("doc_id", "class_id", "n_links")
