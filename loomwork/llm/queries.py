@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from loomwork.llm import common, langid, near_duplicates, packing, quality, sharding, token_counts, toxicity
+from loomwork.llm import common, langid, lm_scoring, near_duplicates, packing, quality, sharding, token_counts, toxicity
 from loomwork.plans.common import Registry
 from loomwork.session import checkpoint_folder
 
@@ -68,3 +68,10 @@ def op2(spark, sf_dir):
 def op5(spark, sf_dir):
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     return near_duplicates.classes(docs).select("doc_id", "class_id", "n_links")
+
+
+@registry.add("op10_lm_scoring")
+def op10(spark, sf_dir):
+    docs = common.documents(spark, sf_dir)
+    held_out = common.remainder("doc_id", 7) == 2
+    return lm_scoring.score(docs, held_out, stage_folder(spark, "lm"))
