@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from loomwork.llm import vocab
 
 ORDER = 4
-MAX_CONTEXTS = 20_000
+MAX_CONTEXTS = 40_000
 BLOCK_BYTES = 16 << 20
 #: symbols: bytes and the end of a document, which also fills the contexts before its start
 END = 256
@@ -120,69 +120,71 @@ def train(docs: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS)
     return pickle.dumps((order, *columns))
 
 
+def _distributions(states: np.ndarray, counts: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each symbol after each of the contexts, with exclusion."""
+    out = np.zeros((len(states), SYMBOLS))
+    excluded = np.zeros((len(states), SYMBOLS), bool)
+    escape = np.zeros(len(states))
+    at, going = states.copy(), np.ones(len(states), bool)
+    while going.any():
+        c = np.where(excluded | ~going[:, None], 0.0, counts[at])
+        seen = c > 0
+        kinds = seen.sum(axis=1)
+        # without a symbol left to escape to, the seen ones share everything
+        more = kinds + excluded.sum(axis=1) < SYMBOLS
+        total = c.sum(axis=1) + np.where(more, kinds, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.log10(c / total[:, None])
+            out = np.where(seen, escape[:, None] + share, out)
+            escape = np.where((kinds > 0) & more, escape + np.log10(kinds / total), escape)
+        excluded |= seen
+        going &= at > 0
+        at = suffix[at]
+    rest = (~excluded).sum(axis=1)
+    uniform = escape - np.log10(np.maximum(rest, 1))
+    return np.where(excluded, out, uniform[:, None]).astype(np.float32)
+
+
 class Trie:
     """Code lengths and next states of every (context, symbol)."""
 
     def __init__(self, content: bytes) -> None:
         order, k, context, symbol, n = pickle.loads(content)
         self.order = order
-        rank = np.lexsort((symbol, context, k))
-        k, context, symbol, n = k[rank], context[rank], symbol[rank], n[rank]
-        names = list(zip(k.tolist(), context.tolist(), strict=True))
-        states: dict[tuple[int, int], int] = {(0, 0): 0}
-        for name in names:
-            states.setdefault(name, len(states))
-        counts = np.zeros((len(states), SYMBOLS), np.float64)
-        counts[[states[name] for name in names], symbol] = n
+        names = sorted({(0, 0), *zip(k.tolist(), context.tolist(), strict=True)})
+        states = {name: state for state, name in enumerate(names)}
         self.states = states
-        self.logs = np.zeros((len(states), SYMBOLS), np.float32)
-        self.next = np.zeros((len(states), SYMBOLS), np.int32)
-        mask = [(1 << (BITS * j)) - 1 for j in range(order + 1)]
-        all_symbols = np.arange(SYMBOLS)
-        start = self._longest(order, sum(END << (BITS * j) for j in range(order)), mask)
-        for (length, code), state in states.items():
-            self.logs[state] = self._distribution(counts, length, code, mask)
-            for j in range(min(order, length + 1), -1, -1):
-                # targets of symbols whose longer contexts are not kept
-                targets = ((code << BITS) | all_symbols) & mask[j]
-                found = np.array([states.get((j, t), -1) for t in targets.tolist()], np.int32)
-                missing = self.next[state] == 0
-                self.next[state] = np.where(missing & (found >= 0), found, self.next[state])
-                if j <= 1 or (self.next[state] != 0).all():
-                    break
-            self.next[state, END] = start
-        self.start = start
-
-    def _longest(self, length: int, code: int, mask: list[int]) -> int:
-        for j in range(length, -1, -1):
-            state = self.states.get((j, code & mask[j]))
+        length = np.array([name[0] for name in names])
+        counts = np.zeros((len(names), SYMBOLS))
+        counts[[states[x] for x in zip(k.tolist(), context.tolist(), strict=True)], symbol] = n
+        suffix = np.array([self._longest(j - 1, code) for j, code in names])
+        self.logs = np.concatenate(
+            [
+                _distributions(np.arange(at, min(at + 2048, len(names))), counts, suffix)
+                for at in range(0, len(names), 2048)
+            ]
+        )
+        # a symbol leads to the context it lengthens, or to where the next shorter one leads
+        self.next = np.zeros((len(names), SYMBOLS), np.int32)
+        parent = np.array([states.get((j - 1, code >> BITS), -1) for j, code in names])
+        last = np.array([code & ((1 << BITS) - 1) for _, code in names])
+        for j in range(order + 1):
+            own = np.flatnonzero(length == j)
+            if j:
+                self.next[own] = self.next[suffix[own]]
+            longer = np.flatnonzero((length == j + 1) & (parent >= 0))
+            self.next[parent[longer], last[longer]] = longer
+        self.start = self._longest(order, sum(END << (BITS * j) for j in range(order)))
+        self.next[:, END] = self.start
+
+    def _longest(self, length: int, code: int) -> int:
+        """The state of the longest kept suffix of up to `length` symbols."""
+        for j in range(length, 0, -1):
+            state = self.states.get((j, code & ((1 << (BITS * j)) - 1)))
             if state is not None:
                 return state
         return 0
 
-    def _distribution(self, counts, length: int, code: int, mask) -> np.ndarray:
-        """log10 of the probability of each symbol after a context, with exclusion."""
-        out = np.zeros(SYMBOLS)
-        excluded = np.zeros(SYMBOLS, bool)
-        escape = 0.0
-        for j in range(length, -1, -1):
-            state = self.states.get((j, code & mask[j]))
-            if state is None:
-                continue
-            c = np.where(excluded, 0.0, counts[state])
-            seen = c > 0
-            kinds = int(seen.sum())
-            if kinds:
-                total = c.sum() + (kinds if kinds + excluded.sum() < SYMBOLS else 0)
-                out[seen] = escape + np.log10(c[seen] / total)
-                excluded |= seen
-                if excluded.all():
-                    return out
-                escape += math.log10(kinds / total)
-        rest = ~excluded
-        out[rest] = escape - math.log10(rest.sum())
-        return out
-
     def score(self, texts: list[bytes], stretch: int = STRETCH) -> np.ndarray:
         """log10 probability of each text with its end."""
         flat, lengths = symbols(texts)
