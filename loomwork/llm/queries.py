@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from loomwork.llm import common, langid, lm_scoring, near_duplicates, packing, quality, sharding, token_counts, toxicity
+from loomwork.llm import (
+    common, decontamination, langid, lm_scoring, near_duplicates, packing, quality, sharding,
+    token_counts, toxicity,
+)
 from loomwork.plans.common import Registry
 from loomwork.session import checkpoint_folder
 
@@ -75,3 +78,9 @@ def op10(spark, sf_dir):
     docs = common.documents(spark, sf_dir)
     held_out = common.remainder("doc_id", 7) == 2
     return lm_scoring.score(docs, held_out, stage_folder(spark, "lm"))
+
+
+@registry.add("op9_decontamination")
+def op9(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.leaks(common.documents(spark, sf_dir), items).drop("h")
