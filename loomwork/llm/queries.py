@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from loomwork.llm import (
-    common, decontamination, langid, lm_scoring, near_duplicates, packing, quality, sharding,
+    common, decontamination, langid, lm_scoring, near_duplicates, packing, pieces, quality, sharding,
     token_counts, toxicity,
 )
 from loomwork.plans.common import Registry
@@ -84,3 +84,15 @@ def op10(spark, sf_dir):
 def op9(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.leaks(common.documents(spark, sf_dir), items).drop("h")
+
+
+@registry.add("op1_sentencepiece")
+def op1(spark, sf_dir):
+    return pieces.digests(common.documents(spark, sf_dir))
+
+
+@registry.add("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
