@@ -472,10 +472,10 @@ def encode(
     size = F.coalesce(F.length("text"), F.lit(0))
     small = rest.filter(size <= giant).mapInArrow(run, f"{schema}, ids array<int>, n_chunks int")
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text"))
-    large = rest.filter(size > giant).withColumn("_key", key)
-    distinct = large.groupBy("_key").agg(F.first("text").alias("text"))
+    large = rest.filter(size > giant).select(F.struct("*").alias("_row"), key.alias("_key"))
+    distinct = large.groupBy("_key").agg(F.first("_row.text").alias("text"))
     ids = _giant_ids(distinct, shared, chunk)
-    return small.unionByName(large.join(ids, "_key").drop("_key"))
+    return small.unionByName(large.join(ids, "_key").select("_row.*", "ids", "n_chunks"))
 
 
 def decode(encoded: DataFrame, file: str = FILE) -> DataFrame:

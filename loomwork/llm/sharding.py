@@ -102,7 +102,7 @@ def assign_shards(
     shard = F.when(F.col("depth") == 0, "").otherwise(bits_text)
     placed = rows.join(found, "h").withColumn("shard", shard)
     # a shard above the limit holds one key only: pages of half the limit take its smaller rows
-    half = limit // 2
+    half = max(1, limit // 2)
     small = F.when(F.col("n_bytes") <= half, F.col("n_bytes") * F.col("copies")).otherwise(0)
     large = F.when(F.col("n_bytes") > half, F.col("copies")).otherwise(0)
     before = Window.partitionBy("h").orderBy("n_bytes", "_key").rowsBetween(
@@ -128,7 +128,7 @@ def assign_shards(
 
 
 def sql(limit: int = LIMIT) -> str:
-    half = limit // 2
+    half = max(1, limit // 2)
     return f"""
     with h as (select doc_id, coalesce(strlen(text), 0)::bigint as n_bytes,
         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as h,
