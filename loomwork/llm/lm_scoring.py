@@ -35,7 +35,7 @@ from loomwork.llm import vocab
 
 ORDER = 4
 MAX_CONTEXTS = 40_000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: symbols: bytes and the end of a document, which also fills the contexts before its start
 END = 256
 SYMBOLS = 257
@@ -155,7 +155,7 @@ class Trie:
         states = {name: state for state, name in enumerate(names)}
         self.states = states
         length = np.array([name[0] for name in names])
-        counts = np.zeros((len(names), SYMBOLS))
+        counts = np.zeros((len(names), SYMBOLS), np.float32)
         counts[[states[x] for x in zip(k.tolist(), context.tolist(), strict=True)], symbol] = n
         suffix = np.array([self._longest(j - 1, code) for j, code in names])
         self.logs = np.concatenate(
@@ -207,23 +207,20 @@ class Trie:
         return np.add.reduceat(values, np.cumsum(lengths) - lengths)
 
 
-def _words(texts: list[bytes]) -> list[list[bytes]]:
-    return [t.split() for t in texts]
-
-
-def _lowered(table: pa.Table) -> list[bytes]:
+def _lowered(table) -> list[bytes]:
     return [(t or "").encode().lower() for t in table.column("text").to_pylist()]
 
 
 def _block_words(table: pa.Table) -> pa.Table:
     """Distinct words of a block and how often its training documents have them."""
     seen: Counter = Counter()
-    held = table.column("held_out").to_pylist()
-    for words, out in zip(_words(_lowered(table)), held, strict=True):
-        if out:
-            seen.update(dict.fromkeys(words, 0))
-        else:
-            seen.update(words)
+    for batch in table.to_batches(max_chunksize=256):
+        held = batch.column("held_out").to_pylist()
+        for text, out in zip(_lowered(batch), held, strict=True):
+            if out:
+                seen.update(dict.fromkeys(text.split(), 0))
+            else:
+                seen.update(text.split())
     block = table.column("block")[0].as_py()
     return pa.table(
         {
@@ -244,7 +241,7 @@ def _scorer(shared, id_type: pa.DataType):
         sums, known = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         tokens, scores = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for start, end in vocab.steps(texts):
-            lists = _words(texts[start:end])
+            lists = [t.split() for t in texts[start:end]]
             lengths = np.fromiter(map(len, lists), np.int64, len(lists))
             total = int(lengths.sum())
             at = np.fromiter(map(index.__getitem__, chain.from_iterable(lists)), np.int64, total)

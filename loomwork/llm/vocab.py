@@ -32,11 +32,12 @@ def shipped(spark: SparkSession, name: str):
 
 
 def once(shared, build):
-    """build(bytes), kept for the tasks of this Python worker."""
-    key = (shared.value, build)
-    if key not in _loaded:
-        _loaded[key] = build(shared.value)
-    return _loaded[key]
+    """build(bytes), kept for the tasks of this Python worker until other bytes are asked for."""
+    content = shared.value
+    if build not in _loaded or _loaded[build][0] != content:
+        _loaded.pop(build, None)  # the old one goes before the new one is made
+        _loaded[build] = (content, build(content))
+    return _loaded[build][1]
 
 
 def tokenizer(content: bytes):
