@@ -18,13 +18,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from loomwork.operators import ensemble, evaluate
-from loomwork.operators.column_loop import ColumnLoop, ModelStep, TableStep, width
+from loomwork.operators.column_loop import ColumnLoop, ModelStep, TableStep
 from loomwork.operators.tagging import MODEL, TRANSFORM
 from loomwork.schemas import SEARCH_LOG
 from loomwork.session import cut_lineage
 
 MAX_ROWS = 10_000
-MAX_COLS_LOOP = 3000
 FINAL_FIT_SECONDS = 120
 SCORE_FLOOR = 0.0
 
@@ -35,8 +34,17 @@ def cap_rows(df: DataFrame, n: int = MAX_ROWS, seed: int = 42) -> DataFrame:
     if total <= n:
         return df
     spare = 1.0 + 6.0 / math.sqrt(n)
-    drawn = df.sample(True, min(n * spare / total, 1.0), seed)
-    return drawn.orderBy(F.rand(seed)).limit(n)
+    while True:
+        # with replacement a share above 1 is fine; stored, so that no retry draws again
+        drawn = cut_lineage(df.sample(True, n * spare / total, seed).orderBy(F.rand(seed)).limit(n))
+        if drawn.count() == n:
+            return drawn
+        spare *= 2
+
+
+def check_runs(data: DataFrame) -> None:
+    """Compute every column of every row: a transform that cannot run fails here."""
+    data.write.format("noop").mode("overwrite").save()
 
 
 def train_val_split(
@@ -88,7 +96,7 @@ class Candidate:
         data = self.data
         if step.role == TRANSFORM:
             data = model.transform(self.data)
-            data.limit(1).count()  # a transform that cannot run is found now
+            check_runs(data)
         return replace(
             self, data=data, steps=[*self.steps, step], fitted=[*self.fitted, model],
             log_prob=self.log_prob + step.log_prob, score=None,
@@ -209,8 +217,7 @@ class Search:
                 ranked = self.predictor.predict_transforms(
                     self.spark, [s.component for s in candidate.steps], candidate.data
                 )
-                wraps = [False, True] if width(candidate.data) < MAX_COLS_LOOP else [False]
-                options = [Step(TRANSFORM, t, w, p) for t, p in ranked for w in wraps]
+                options = [Step(TRANSFORM, t, w, p) for t, p in ranked for w in (False, True)]
                 need = None if self.beam is None else 2 * self.beam
                 fresh += self._extend(candidate, options, need)
             working = self.prune(fresh)

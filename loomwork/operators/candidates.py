@@ -12,9 +12,6 @@ from loomwork.functions.ordered import dense_index
 from loomwork.operators.tagging import MODEL, TRANSFORM
 from loomwork.schemas import CANDIDATES
 
-MAX_CATALOG = 10_000
-
-
 def empty_candidate(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, [], 0.0, 0, None)], CANDIDATES)
 
@@ -83,8 +80,6 @@ def enumerate_configs(
     The catalog is a short list of names, so every level is an explode of a literal array
     and stays distributed; the empty sequence of transforms is not included.
     """
-    if max(len(transforms), len(models)) > MAX_CATALOG:
-        raise ValueError("catalog too large to enumerate")
     choices = F.array(
         *[
             F.struct(F.lit(TRANSFORM).alias("role"), F.lit(t).alias("component"),

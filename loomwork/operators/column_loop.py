@@ -18,7 +18,6 @@ from loomwork.operators.profile import NUMERIC
 
 RESERVED = ("row_id", "label", "rawPrediction", "probability", "prediction")
 FEATURES = "features"
-COLUMN_LOOP_LIMIT = 1000
 SMUDGE = "__"
 
 
@@ -66,14 +65,12 @@ def width(df: DataFrame) -> int:
     )
 
 
-def split_vectors(df: DataFrame, limit: int = COLUMN_LOOP_LIMIT) -> DataFrame:
+def split_vectors(df: DataFrame) -> DataFrame:
     """Vector features as one numeric column per slot."""
     types = _types(df)
     for c in feature_columns(df):
         if isinstance(types[c], VectorUDT):
             n = vector_width(df, c)
-            if n > limit:
-                raise ValueError(f"{n} columns are too many for a column loop")
             cells = vector_to_array(c)
             df = df.select(
                 *[k for k in df.columns if k != c],
@@ -177,16 +174,14 @@ class ColumnLoop(Estimator):
     Components that handle slots alone, or many columns at once, are fitted in one job.
     """
 
-    def __init__(self, component: str, limit: int = COLUMN_LOOP_LIMIT):
+    def __init__(self, component: str):
         super().__init__()
-        self.component, self.limit = component, limit
+        self.component = component
 
     def _fit(self, dataset: DataFrame) -> ColumnLoopModel:
         part = catalog.resolve(self.component)
-        df = split_vectors(dataset, self.limit)
+        df = split_vectors(dataset)
         cols = feature_columns(df)
-        if len(cols) > self.limit:
-            raise ValueError(f"{len(cols)} columns are too many for a column loop")
         types = _types(df)
         numbers = [c for c in cols if _is_number(types[c])]
         strings = [c for c in cols if isinstance(types[c], T.StringType)]

@@ -17,7 +17,6 @@ from loomwork.session import cut_lineage
 # fixed values: libraries whose calls are recorded by default
 RELEVANT_MODULES = ("sklearn", "xgboost")
 UNKNOWN = -1
-MAX_ROUNDS = 64
 
 
 def number_calls(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -127,7 +126,7 @@ def resolve_dependencies(numbered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> D
         ).distinct()
     )
     state = cut_lineage(links)
-    for _ in range(MAX_ROUNDS):
+    while True:
         open_links = state.filter("next is not null")
         if open_links.isEmpty():
             break
@@ -142,8 +141,6 @@ def resolve_dependencies(numbered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> D
         state = cut_lineage(
             state.filter("next is null").unionByName(moved).distinct()
         )
-    else:
-        raise RuntimeError("copy chains did not settle")
     sets = state.groupBy("script", F.col("reader").alias("seq")).agg(
         F.sort_array(F.collect_set("origin")).alias("dependencies")
     )

@@ -11,9 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomwork.session import cut_lineage
 
-MAX_ROUNDS = 100
-
-
 def _state(edges: DataFrame) -> tuple:
     """Size and an order-free hash sum, enough to see that a round changed nothing."""
     row = edges.agg(
@@ -23,7 +20,7 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of an undirected edge table (src, dst).
 
     component is the smallest node of the component. Alternating large-star and small-star
@@ -36,7 +33,7 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
         .distinct()
     )
     before = _state(e)
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("low"))
         large = (
@@ -54,8 +51,6 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
@@ -100,7 +95,6 @@ def reachable(
     seeds: DataFrame,
     edges: DataFrame | None,
     keys: list[str],
-    max_rounds: int = 10_000,
     hops: DataFrame | None = None,
 ) -> DataFrame:
     """(keys..., seed, node) for all nodes reachable over one or more edges.
@@ -121,9 +115,8 @@ def reachable(
 
     frontier = cut_lineage(step(seeds.select(*at)))
     found = frontier
-    for _ in range(max_rounds):
+    while True:
         if frontier.isEmpty():
             return found
         frontier = cut_lineage(step(frontier).join(found, at, "left_anti"))
         found = found.unionByName(frontier)
-    raise RuntimeError(f"reachability did not settle in {max_rounds} rounds")

@@ -16,7 +16,6 @@ from loomwork.operators import catalog, profile as pf, sequences as sq
 from loomwork.operators.tagging import MODEL, TRANSFORM
 from loomwork.session import cut_lineage
 
-MAX_VOCABULARY = 1 << 20
 
 
 def default_classifier(rows: int) -> LogisticRegression:
@@ -50,9 +49,7 @@ class Vectorizer:
         named = sq.encoded_names(rows).select(
             "name", F.col("str").isNotNull().alias("text")
         ).distinct()
-        found = named.limit(MAX_VOCABULARY + 1).collect()
-        if len(found) > MAX_VOCABULARY:
-            raise ValueError("feature vocabulary too large")
+        found = named.collect()  # the names of a model's features, not rows
         return cls(
             sorted(r["name"] for r in found if r["text"]),
             sorted(r["name"] for r in found if not r["text"]),
@@ -130,12 +127,12 @@ def fit_role_model(
     """Model of the observations of one role; classifier=None keeps only the classes."""
     rows = cut_lineage(obs.filter(F.col("role") == role))
     if classifier is None:
-        found = rows.select("component").distinct().limit(MAX_VOCABULARY).collect()
+        found = rows.select("component").distinct().collect()
         return RoleModel(role, sorted(r[0] for r in found), None, None)
     data, vectorizer = featurize(rows, keys, arg_features)
     data = data.select("features", "label", "component").persist()
     try:
-        found = data.select("component").distinct().limit(MAX_VOCABULARY).collect()
+        found = data.select("component").distinct().collect()
         estimator = classifier(data.count())
         model = Pipeline(stages=[estimator]).fit(data)
     finally:

@@ -25,11 +25,7 @@ NOMINAL = (T.StringType, T.BinaryType)
 SKETCH_ACCURACY = 20000
 # bracket half-widths with the row counts from which they surely hold the wanted rank
 BRACKETS = ((2e-4, 60000), (1e-2, 2000))
-CORR_MAX_ROWS = 1000
-CORR_MAX_COLS = 100
 NOMINAL_SAMPLE_ROWS = 100
-CELL_SAMPLE_FROM = 2_000_000
-CELL_SAMPLE_SIZE = 100_000
 COLUMN_STATS = (
     "mean", "geometric_mean", "median", "min_zscore", "max_zscore", "zscore", "iqr", "std",
     "max", "min", "count_nonzero", "skew", "kurtosis", "missing",
@@ -337,7 +333,12 @@ def boolean_features(df: DataFrame, cols: list[str], by: list[str] | None = None
 
 def hash_sample(df: DataFrame, key: list[str], rows: int, seed: int) -> DataFrame:
     """The `rows` rows with the smallest key hash: a reproducible sample, taken as a top-n."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(rows)
+    return df.orderBy(_key_hash(key, seed), *key).limit(rows)
+
+
+def _key_hash(key: list[str], seed: int) -> Column:
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
 def nominal_column_stats(
@@ -400,7 +401,7 @@ def nominal_features(
     """`colwise_avg_<stat>` over the string columns; exact unless a sample cap is asked for."""
     by = by or []
     sampled = None
-    if cap is not None and df.limit(cap + 1).count() > cap:
+    if cap is not None:
         df = hash_sample(df, cap_key or cols, cap, seed)
         sampled = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     long = nominal_column_stats(df, cols, by, approx)
@@ -429,23 +430,30 @@ def distribution_features(
     cols: list[str],
     by: list[str] | None = None,
     curves: tuple[str, ...] = ("pdf", "cdf"),
-    cell_cap: int | None = None,
+    cell_share: float | None = None,
+    cell_key: list[str] | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """Mean density and mean cumulative probability over all cells of the matrix.
 
-    Sums per column are taken in one pass and divided by the number of cells.
+    Sums per column are taken in one pass and divided by the number of cells. With `cell_share`
+    that share of the cells is used, chosen by a hash of the row's key and the column's place,
+    for any size of table.
     """
     by = by or []
     data = _numbers(df, by, cols)
     sizes = {}
-    if cell_cap is not None:
-        rows = data.count()
-        if rows * len(cols) > CELL_SAMPLE_FROM:
-            flat = data.select(*by, F.explode(F.array(*cols)).alias("cell"))
-            keep = cell_cap / (rows * len(cols))
-            data, cols = flat.sample(False, keep, seed), ["cell"]
-            sizes["matrixwise_numeric_distribution_num_rows_sampled"] = "__cells"
+    if cell_share is not None:
+        cells = [F.col(c).cast("double") for c in cols]
+        flat = df.select(
+            *by, _key_hash(cell_key or cols, seed).alias("__h"), F.posexplode(F.array(*cells))
+        )
+        slot = F.conv(
+            F.substring(F.md5(F.concat_ws("|", "__h", F.col("pos").cast("string"))), 1, 8), 16, 10
+        ).cast("long")
+        kept = flat.filter(slot < int(cell_share * (1 << 32))).withColumnRenamed("col", "cell")
+        data, cols = _numbers(kept, by, ["cell"]), ["cell"]
+        sizes["matrixwise_numeric_distribution_num_rows_sampled"] = "__cells"
     totals = {}
     for name, (pdf, cdf) in DISTRIBUTIONS.items():
         for curve, fn in (("pdf", pdf), ("cdf", cdf)):
@@ -471,48 +479,97 @@ def distribution_features(
 
 
 def correlation_features(
-    df: DataFrame, cols: list[str], by: list[str] | None = None
+    df: DataFrame,
+    cols: list[str],
+    by: list[str] | None = None,
+    extremes: bool = False,
+    tile_rows: int = 1000,
 ) -> DataFrame:
-    """Largest, smallest and mean Pearson correlation between rows.
+    """Mean Pearson correlation between rows; with `extremes` the largest and smallest too.
 
-    Only entities with at most 1000 rows and 2 to 99 columns have these features, so a task
-    holds at most 1000 x 99 numbers; larger entities are dropped before any grouping.
+    With unit rows z the correlation of two rows is their product, so the mean over all pairs
+    is (|sum z|^2 - n) / (n (n - 1)): one aggregate for any number of rows. The extremes need
+    every pair of different rows and are computed by pairs of tiles, only when asked for. A row
+    that is constant or has a missing value has no correlation and makes the results NaN.
     """
     by = by or []
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in by]
-        + ["stat string", "value double"]
-    )
-    if not 1 < len(cols) < CORR_MAX_COLS:
+    if len(cols) < 2:
         empty = df.select(*by, F.lit("").alias("stat"), F.lit(0.0).alias("value")).limit(0)
         return _features(empty, by, F.col("stat"), F.col("value"))
-    order = sorted(by, key=[f.name for f in df.schema.fields].index)
-    data = _numbers(df, by, cols)
-    if by:
-        small = data.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(
-            F.col("__n") <= CORR_MAX_ROWS
-        )
-        data = data.join(small.drop("__n"), by, "left_semi")
-    else:
-        if data.limit(CORR_MAX_ROWS + 1).count() > CORR_MAX_ROWS:
-            data = data.limit(0)
-
-    def correlate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        with np.errstate(all="ignore"):
-            corr = np.corrcoef(pdf[cols].to_numpy(dtype=float))
-        upper = np.atleast_2d(corr)[np.triu_indices_from(np.atleast_2d(corr), 1)]
-        if not upper.size:
-            return pd.DataFrame({c: [] for c in [*order, "stat", "value"]})
-        values = {"max": upper.max(), "min": upper.min(), "avg": upper.mean()}
-        known = dict(zip(by, key))
-        return pd.DataFrame(
-            [{**known, "stat": f"matrixwise_{k}_corr", "value": v} for k, v in values.items()]
-        )[[*order, "stat", "value"]]
-
-    long = data.groupBy(*by).applyInPandas(correlate, schema)
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    mean = F.aggregate("__x", F.lit(0.0), lambda a, v: a + v) / len(cols)
+    centred = _numbers(df, by, cols).select(*by, x.alias("__x")).withColumn("__mean", mean)
+    centred = centred.withColumn("__d", F.transform("__x", lambda v: v - F.col("__mean")))
+    norm = F.sqrt(F.aggregate("__d", F.lit(0.0), lambda a, v: a + v * v))
+    units = centred.withColumn("__norm", norm).select(
+        *by, F.transform("__d", lambda v: F.try_divide(v, F.col("__norm"))).alias("__z"),
+        (F.col("__norm") > 0).alias("__ok"),
+    )
+    usable = F.coalesce(F.col("__ok"), F.lit(False)) & ~F.isnan(F.col("__z")[0])
+    units = units.withColumn("__ok", F.coalesce(usable, F.lit(False)))
+    sums = units.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.min("__ok").alias("ok"),
+        *[F.sum(F.col("__z")[i]).alias(f"s{i}") for i in range(len(cols))],
+    ).filter("n > 1")
+    square = reduce(lambda a, b: a + b, [F.col(f"s{i}") * F.col(f"s{i}") for i in range(len(cols))])
+    average = (square - F.col("n")) / (F.col("n") * (F.col("n") - 1))
+    value = F.when(F.col("ok"), average).otherwise(F.lit(float("nan")))
+    long = sums.select(*by, F.lit("matrixwise_avg_corr").alias("stat"), value.alias("value"))
+    if extremes:
+        long = long.unionByName(_extreme_correlations(units, sums.select(*by, "ok"), by, tile_rows))
     return _features(long, by, F.col("stat"), F.col("value"))
 
 
+def _extreme_correlations(
+    units: DataFrame, entities: DataFrame, by: list[str], tile_rows: int
+) -> DataFrame:
+    """(by..., stat, value) of the largest and smallest correlation, from pairs of tiles."""
+    # equal rows are one row with a number of copies, so that no tile grows with them
+    rows = units.filter("__ok").groupBy(*by, "__z").agg(F.count(F.lit(1)).alias("__copies"))
+    tiles = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("__t"))
+    entity = F.struct(*by) if by else F.struct(F.lit(0).alias("__all"))
+    rows = rows.withColumn("__e", entity).drop(*by)
+    tiles = tiles.select(entity.alias("__e"), "__t")
+    own = F.pmod(F.xxhash64("__z"), F.col("__t")).cast("int")
+    placed = rows.join(tiles, "__e").withColumn("__own", own).select(
+        "__e", "__z", "__copies", "__own",
+        F.explode(F.sequence(F.lit(0), F.col("__t") - 1)).alias("__with"),
+    )
+    placed = placed.select(
+        "__e", "__z", "__copies", "__own",
+        F.least("__own", "__with").alias("__a"), F.greatest("__own", "__with").alias("__b"),
+    )
+
+    def pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        z = np.stack(pdf["__z"].to_numpy())
+        a = (pdf["__own"] == key[-2]).to_numpy()
+        if key[-2] == key[-1]:
+            found = (z @ z.T)[np.triu_indices(len(z), 1)]
+        else:
+            found = (z[a] @ z[~a].T).ravel()
+        if (pdf["__copies"] > 1).any():
+            found = np.append(found, 1.0)
+        low, high = (found.min(), found.max()) if found.size else (None, None)
+        return pd.DataFrame({"__k": [pdf["__k"].iloc[0]], "low": [low], "high": [high]})
+
+    named = placed.withColumn("__k", F.to_json("__e"))
+    found = named.drop("__e").groupBy("__k", "__a", "__b").applyInPandas(
+        pair, "__k string, low double, high double"
+    ).groupBy("__k").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    known = entities.withColumn("__k", F.to_json(entity)).join(found, "__k", "left")
+    nan = F.lit(float("nan"))
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(f"matrixwise_{k}_corr").alias("stat"),
+                F.when(F.col("ok"), F.col(v)).otherwise(nan).alias("value"),
+            )
+            for k, v in (("max", "high"), ("min", "low"))
+        ]
+    )
+    return known.select(*by, F.inline(entries))
+
+
 def shape_features(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Row count, columns per kind and the argument type."""
     by = by or []
@@ -548,7 +605,8 @@ def profile(
     nulls: str = "omit",
     quantiles: str = "exact",
     nominal_cap: int | None = None,
-    cell_cap: int | None = None,
+    cell_share: float | None = None,
+    extremes: bool = False,
     keep_bad: bool = False,
 ) -> DataFrame:
     """All features of a table, or of each group of it when `by` is given.
@@ -565,8 +623,8 @@ def profile(
     if kinds["numeric"]:
         parts += [
             numeric_features(df, kinds["numeric"], by, nulls, quantiles),
-            distribution_features(df, kinds["numeric"], by, cell_cap=cell_cap),
-            correlation_features(df, kinds["numeric"], by),
+            distribution_features(df, kinds["numeric"], by, cell_share=cell_share),
+            correlation_features(df, kinds["numeric"], by, extremes),
         ]
     if kinds["nominal"]:
         parts.append(nominal_features(df, kinds["nominal"], by, cap=nominal_cap))

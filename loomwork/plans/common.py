@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.session import spread
+from loomwork.session import ship_package, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +21,7 @@ class Registry:
         def register(fn: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is registered twice")
-            self.queries[name] = fn
+            self.queries[name] = shipped(fn)
             if oracle is not None:
                 self.oracles[name] = oracle
             return fn
@@ -28,6 +29,17 @@ class Registry:
         return register
 
 
+def shipped(fn: Query) -> Query:
+    """The query with this package on the executors first."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
     """One driver table; heavy=True spreads a small scan over all cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

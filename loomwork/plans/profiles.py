@@ -149,7 +149,15 @@ def profile_nominal(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("entity", "feature", neat(F.col("num")).alias("num"))
 
 
-@registry.add("profile_nominal_sampled")
+_SAMPLED_PART = "(select * from part order by md5('0|' || p_partkey), p_partkey limit 100)"
+
+
+@registry.add(
+    "profile_nominal_sampled",
+    f"""select 'table' as entity, 'colwise_avg_' || stat as feature, round(avg(v), 6) as num
+from ({_NOMINAL_SQL.replace("from part", "from " + _SAMPLED_PART)}) group by stat
+union all select 'table', 'num_rows_sampled', count(*)::double from {_SAMPLED_PART}""",
+)
 def profile_nominal_sampled(spark: SparkSession, sf: str) -> DataFrame:
     rows = p.nominal_features(
         table(spark, sf, "part"), PART_STRINGS, cap=p.NOMINAL_SAMPLE_ROWS,
@@ -210,24 +218,42 @@ def profile_distributions_cumulative(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("entity", "feature", neat(F.col("num"), 6).alias("num"))
 
 
+_SAMPLED_ERF = """(case when {z} > 6 then 1.0 else %s end)""" % _ERF
+
+
 @registry.add(
     "profile_distributions_sampled",
+    f"""
+with r as (select md5('0|' || l_orderkey || '|' || l_linenumber) as h,
+    [l_orderkey::double, l_partkey::double, l_suppkey::double, l_quantity / 10] as v from lineitem),
+c as (select h, unnest(v) as x, generate_subscripts(v, 1) - 1 as pos from r),
+s as (select x from c
+  where ('0x' || substr(md5(h || '|' || pos), 1, 8))::bigint < (0.05 * 4294967296)::bigint),
+f as (select x, unnest(['norm_pdf', 'chi2_pdf', 'expon_pdf', 'gamma_pdf', 'norm_cdf', 'chi2_cdf',
+    'expon_cdf', 'gamma_cdf']) as k,
+  unnest([exp(-x * x / 2) / sqrt(2 * pi()), exp(-x / 2) / sqrt(2 * pi() * x), exp(-x), exp(-x),
+    (1 + {_SAMPLED_ERF.format(z='(x / sqrt(2))')}) / 2, {_SAMPLED_ERF.format(z='sqrt(x / 2)')},
+    1 - exp(-x), 1 - exp(-x)]) as y from s)
+select 'table' as entity, 'matrixwise_avg_dist_' || k as feature, round(avg(y), 6) as num
+from f group by k
+union all
+select 'table', 'matrixwise_numeric_distribution_num_rows_sampled', count(*)::double from s
+""",
 )
 def profile_distributions_sampled(spark: SparkSession, sf: str) -> DataFrame:
-    cols = ["l_orderkey", "l_partkey", "l_suppkey", *LINE_NUMBERS]
+    data = table(spark, sf, "lineitem").withColumn("tens", F.col("l_quantity") / 10)
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "tens"]
     return p.distribution_features(
-        table(spark, sf, "lineitem"), cols, cell_cap=p.CELL_SAMPLE_SIZE
+        data, cols, cell_share=0.05, cell_key=["l_orderkey", "l_linenumber"]
     ).select("entity", "feature", neat(F.col("num")).alias("num"))
 
 
 @registry.add(
     "profile_row_correlation",
     """
-with small as (select c_nationkey from customer group by c_nationkey
-  having count(*) <= 1000),
-r as (select c_nationkey as g, c_custkey as id,
+with r as (select c_nationkey as g, c_custkey as id,
     [c_custkey::double, c_nationkey::double, c_acctbal, c_acctbal * (c_custkey % 7)] as v
-  from customer where c_nationkey in (select c_nationkey from small)),
+  from customer),
 z as (select g, id, list_transform(v, lambda x: x - list_avg(v)) as d from r),
 n as (select g, id, d, sqrt(list_sum(list_transform(d, lambda x: x * x))) as len from z),
 c as (select a.g, list_dot_product(a.d, b.d) / (a.len * b.len) as r
@@ -243,7 +269,7 @@ def profile_row_correlation(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("c_acctbal") * (F.col("c_custkey") % 7)).alias("mixed"),
     )
     rows = p.correlation_features(
-        base, ["c_custkey", "nation", "c_acctbal", "mixed"], by=["c_nationkey"]
+        base, ["c_custkey", "nation", "c_acctbal", "mixed"], by=["c_nationkey"], extremes=True
     )
     return rows.select("entity", "feature", neat(F.col("num"), 5).alias("num"))
 

@@ -121,10 +121,9 @@ def static_types(spark: SparkSession, sf: str) -> DataFrame:
 @registry.add(
     "def_use_events",
     f"""with {_LINES_SQL}
-select doc_id, sum(case k when 0 then 1 when 4 then 0 else 2 end)::bigint as calls,
-  sum(case k when 0 then 2 when 1 then 3 when 4 then 0 when 5 then 3 else 2 end)::bigint as deps
-from lines group by doc_id
-having sum(case when k = 4 then 0 else 1 end) > 0""",
+select doc_id, sum(case k when 0 then 1 else 2 end)::bigint as calls,
+  sum(case k when 1 then 3 when 5 then 3 else 2 end)::bigint as deps
+from lines group by doc_id""",
 )
 def def_use_events(spark: SparkSession, sf: str) -> DataFrame:
     rows = parsing.def_use_events(scripts(spark, sf), "doc_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,13 +35,20 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf) -> SparkS
     return spark
 
 
+_shipped: set[str] = set()
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is set."""
+    """The shared folder the session names; in local mode a temporary one where none is set."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.split("[")[0] == "local":
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a folder that the driver and all executors share"
+        )
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomwork-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -50,9 +59,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True when df has no more than `rows` rows; reads at most rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that functions inside it load there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="loomwork-package-"), "loomwork.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(top):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(archive)  # read by the driver only, which serves it to the executors
+    _shipped.add(context.applicationId)
 
 
 def spread(df: DataFrame) -> DataFrame:

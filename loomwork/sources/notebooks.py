@@ -69,12 +69,20 @@ def strip_notebook_outputs(raw: pd.Series) -> pd.Series:
             nb = json.loads(text)
         except (TypeError, ValueError):
             return None
-        nb.get("metadata", {}).pop("signature", None)
-        if nb.get("nbformat", 4) < 4:
-            cells = [c for w in nb.get("worksheets", []) for c in w.get("cells", [])]
-        else:
-            cells = nb.get("cells", [])
+        if not isinstance(nb, dict):
+            return None  # JSON, but no notebook
+        if isinstance(nb.get("metadata"), dict):
+            nb["metadata"].pop("signature", None)
+        version = nb.get("nbformat", 4)
+        sheets = [nb]
+        if isinstance(version, (int, float)) and version < 4:
+            sheets = nb.get("worksheets") or []
+        cells = [
+            c for sheet in sheets if isinstance(sheet, dict) for c in sheet.get("cells") or []
+        ]
         for cell in cells:
+            if not isinstance(cell, dict):
+                continue
             if "outputs" in cell:
                 cell["outputs"] = []
             if "prompt_number" in cell:

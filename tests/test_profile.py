@@ -118,15 +118,53 @@ def test_boolean(spark):
     }
 
 
-def test_row_correlation_and_guard(spark):
+@pytest.mark.parametrize("tile_rows", [7, 1000])
+def test_row_correlation(spark, tile_rows):
     local = np.random.default_rng(0).normal(size=(40, 5))
     df = spark.createDataFrame(local.tolist(), ", ".join(f"c{i} double" for i in range(5)))
-    got = features(p.correlation_features(df, df.columns))
+    got = features(p.correlation_features(df, df.columns, extremes=True, tile_rows=tile_rows))
     upper = np.corrcoef(local)[np.triu_indices(40, 1)]
     assert got["matrixwise_max_corr"] == pytest.approx(upper.max())
+    assert got["matrixwise_min_corr"] == pytest.approx(upper.min())
     assert got["matrixwise_avg_corr"] == pytest.approx(upper.mean())
-    big = spark.range(1001).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
-    assert features(p.correlation_features(big, ["a", "b"])) == {}
+    assert list(features(p.correlation_features(df, df.columns))) == ["matrixwise_avg_corr"]
+
+
+def test_row_correlation_has_no_size_limit(spark):
+    x = F.col("id").cast("double")
+    big = spark.range(1500).select(
+        (F.col("id") % 2).alias("g"), F.sin(x).alias("a"), F.cos(x * 3).alias("b"), (x % 7).alias("c")
+    )
+    local = big.toPandas()
+    for key, part in local.groupby("g"):
+        upper = np.corrcoef(part[["a", "b", "c"]].to_numpy())[np.triu_indices(len(part), 1)]
+        got = {
+            r["feature"]: r["num"]
+            for r in p.correlation_features(big, ["a", "b", "c"], ["g"], extremes=True)
+            .filter(F.col("entity") == str(key)).collect()
+        }
+        assert got["matrixwise_avg_corr"] == pytest.approx(upper.mean())
+        assert got["matrixwise_max_corr"] == pytest.approx(upper.max())
+        assert got["matrixwise_min_corr"] == pytest.approx(upper.min())
+
+
+def test_equal_rows_correlate_fully(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 4.0)] * 5, "a double, b double, c double")
+    got = features(p.correlation_features(df, df.columns, extremes=True, tile_rows=2))
+    assert {k: round(v, 9) for k, v in got.items()} == {
+        "matrixwise_avg_corr": 1, "matrixwise_max_corr": 1, "matrixwise_min_corr": 1,
+    }
+
+
+def test_cells_are_sampled_at_any_size(spark):
+    df = spark.range(400).select("id", (F.col("id") / 100).alias("a"), (F.col("id") / 50).alias("b"))
+    got = features(p.distribution_features(df, ["a", "b"], cell_share=0.25, cell_key=["id"]))
+    count = got["matrixwise_numeric_distribution_num_rows_sampled"]
+    assert 140 < count < 260
+    again = features(
+        p.distribution_features(df.repartition(5), ["a", "b"], cell_share=0.25, cell_key=["id"])
+    )
+    assert again == pytest.approx(got)
 
 
 def test_erf(spark):

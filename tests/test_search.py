@@ -102,8 +102,6 @@ def test_column_loop_in_place_and_appended(spark):
     assert wide.columns[:2] == ["row_id", "s"] and cl.width(wide.drop("s")) == 4
     _, coded = automl.transform_step(df, "pyspark.ml.feature.StringIndexer", wrap=True)
     assert rows(coded.select("s")) == [(0.0,), (1.0,)]
-    with pytest.raises(ValueError):
-        cl.ColumnLoop(SCALER, limit=1).fit(df)
 
 
 def test_fitted_loop_applies_to_other_rows(spark):
@@ -126,6 +124,22 @@ def test_cap_rows(spark):
     assert automl.cap_rows(df, 5000).count() == 5000
 
 
+@pytest.mark.parametrize("seed", [1, 2, 42])
+def test_cap_rows_just_above_the_cap(spark, seed):
+    capped = automl.cap_rows(spark.range(10_001), 10_000, seed)
+    assert capped.count() == 10_000
+    assert rows(capped) == rows(capped)
+
+
+def test_a_failing_transform_is_found_by_the_trial(spark, points):
+    bad = points.withColumn(
+        "x_bad", F.when(F.col("row_id") >= 0, F.raise_error(F.lit("cannot run")).cast("double"))
+    )
+    candidate = automl.Candidate(bad)
+    with pytest.raises(Exception, match="cannot run"):
+        automl.check_runs(candidate.data)
+
+
 def test_split_is_stable(spark, points):
     train, val = automl.train_val_split(points)
     assert train.count() + val.count() == 400

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomwork import schemas
@@ -91,6 +92,37 @@ def test_def_use_events(spark):
     ]
 
 
+def test_def_use_events_keep_wrapper_calls(spark):
+    text = "from joblib import Parallel, delayed\ny = Parallel(n_jobs=2)(delayed(f)(x) for x in z)\n"
+    got = [
+        (r["kind"], r["func_name"], r["value_ids"], r["lhs_ids"])
+        for r in parsing.def_use_events(script(spark, text)).orderBy("seq").collect()
+    ]
+    # two calls, and y depends on the second one
+    assert got == [
+        ("call", "Parallel", [-1, -1], None), ("dep", None, None, [0]),
+        ("call", "Parallel", [-1, -1], None), ("dep", None, None, [1]),
+        ("dep", None, [1], [2]),
+    ]
+
+
+def test_results_of_classes_resolve_in_def_use_events(spark):
+    text = "from lib import Est\nEst(1).fit(2)\nm = Est()\nm.fit(3)\n"
+    got = [
+        r["func_name"]
+        for r in parsing.def_use_events(script(spark, text)).orderBy("seq").collect()
+        if r["kind"] == "call"
+    ]
+    assert got == ["Est", "Est.fit", "Est", "Est.fit"]
+
+
+@pytest.mark.parametrize("raw", ["[1]", "3", "null", '{"metadata": null}', '{"cells": [1]}', "{"])
+def test_notebooks_of_other_shapes_do_not_fail_the_job(spark, raw):
+    df = spark.createDataFrame([(1, raw)], "script_id int, raw string")
+    got = df.select(nb.strip_notebook_outputs("raw").alias("t")).first()["t"]
+    assert got is None or isinstance(json.loads(got), dict)
+
+
 def test_notebook_layouts(spark):
     new = {"nbformat": 4, "metadata": {"signature": "s", "k": 1}, "cells": [
         {"cell_type": "markdown", "source": "t"},
