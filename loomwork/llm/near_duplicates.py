@@ -62,7 +62,6 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,10 +72,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the n-grams of all texts, one text after the other, and their numbers."""
+    hashes = vocab.held(_Hashes)
     words = [t.encode().split() for t in texts]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.concatenate(
-        [np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w)) for w in words]
+        [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in words]
         or [np.zeros(0, np.uint64)]
     )
     counts = np.where(lengths >= n, lengths - n + 1, np.minimum(lengths, 1))

@@ -278,7 +278,7 @@ class Model:
                 found = self.parts.get(part)
                 if found is None:
                     found = self.to_ids(self.short_path(part))
-                    if len(self.parts) > vocab.MEMO_WORDS:
+                    if len(self.parts) > vocab.MEMO_WORDS // 2:
                         self.parts.clear()
                     if len(part) <= vocab.MEMO_CHARS:
                         self.parts[part] = found
@@ -313,8 +313,8 @@ class Model:
         middle = self.encode_between_cuts(text[cuts[0] : cuts[1]])
         return np.concatenate([np.array(head, np.int32), middle, np.array(tail, np.int32)])
 
-    def decode(self, ids) -> str:
-        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        text = b"".join(map(self.spelled.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -462,11 +462,17 @@ def encode(
     def run(batches):
         model = vocab.once(shared, Model)
         for batch in batches:
-            found = [model.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, pa.list_(pa.int32())), pa.array([1] * len(found), pa.int32())],
-                [*batch.schema.names, "ids", "n_chunks"],
-            )
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for start, end in vocab.steps(texts):
+                found = [model.encode(t) for t in texts[start:end]]
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *part.columns, pa.array(found, pa.list_(pa.int32())),
+                        pa.array([1] * len(found), pa.int32()),
+                    ],
+                    [*batch.schema.names, "ids", "n_chunks"],
+                )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     size = F.coalesce(F.length("text"), F.lit(0))
@@ -478,6 +484,11 @@ def encode(
     return small.unionByName(large.join(ids, "_key").select("_row.*", "ids", "n_chunks"))
 
 
+def _row(ids: pa.ListScalar) -> np.ndarray:
+    """The ids of one row; no ids for a missing list."""
+    return ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32)
+
+
 def decode(encoded: DataFrame, file: str = FILE) -> DataFrame:
     """The rows with `decoded`, the text of `ids`."""
     shared = vocab.shipped(encoded.sparkSession, file)
@@ -486,8 +497,7 @@ def decode(encoded: DataFrame, file: str = FILE) -> DataFrame:
     def run(batches):
         model = vocab.once(shared, Model)
         for batch in batches:
-            column = batch.column("ids")
-            texts = [model.decode(x or []) for x in column.to_pylist()]
+            texts = [model.decode(_row(x)) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"]
             )
@@ -498,24 +508,25 @@ def decode(encoded: DataFrame, file: str = FILE) -> DataFrame:
 
 def digests(docs: DataFrame, file: str = FILE) -> DataFrame:
     """doc_id, n_tokens, n_chunks, ids_crc32 and round_trip (decoded ids give the text)."""
-    rows = decode(encode(docs.select("doc_id", "text"), file), file)
+    encoded = encode(docs.select("doc_id", "text"), file)
+    shared = vocab.shipped(docs.sparkSession, file)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        model = vocab.once(shared, Model)
         for batch in batches:
-            column = batch.column("ids")
-            flat = column.values.to_numpy().astype("<u4")
-            at = column.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            rows = [_row(x) for x in batch.column("ids")]
+            texts = batch.column("text")
+            same = [model.decode(r) == (t.as_py() or "") for r, t in zip(rows, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)),
-                    batch.column("n_chunks"), pa.array(crc, pa.int64()), batch.column("same"),
+                    batch.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()),
+                    batch.column("n_chunks"),
+                    pa.array([zlib.crc32(r.astype("<u4")) for r in rows], pa.int64()), pa.array(same),
                 ],
                 ["doc_id", "n_tokens", "n_chunks", "ids_crc32", "round_trip"],
             )
 
-    same = F.coalesce("text", F.lit("")) == F.col("decoded")
-    return rows.select("doc_id", "n_chunks", "ids", same.alias("same")).mapInArrow(
+    return encoded.mapInArrow(
         run, f"doc_id {kind}, n_tokens long, n_chunks int, ids_crc32 long, round_trip boolean"
     )

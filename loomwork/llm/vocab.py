@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import SparkSession
 
 #: words kept in a task's memory at most, and the longest word that is kept
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 500_000
 MEMO_CHARS = 64
 #: characters of text handled at a time
 STEP_CHARS = 2_000_000
@@ -31,13 +31,21 @@ def shipped(spark: SparkSession, name: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def held(build, content: bytes | None = None):
+    """build() or build(content), kept by this Python worker until something else is asked for.
+
+    Workers are reused by later tasks of other operators; one thing at a time bounds their memory.
+    """
+    if _loaded.get("of") != (build, content):
+        _loaded.clear()  # the old one goes before the new one is made
+        _loaded["it"] = build() if content is None else build(content)
+        _loaded["of"] = (build, content)
+    return _loaded["it"]
+
+
 def once(shared, build):
-    """build(bytes), kept for the tasks of this Python worker until other bytes are asked for."""
-    content = shared.value
-    if build not in _loaded or _loaded[build][0] != content:
-        _loaded.pop(build, None)  # the old one goes before the new one is made
-        _loaded[build] = (content, build(content))
-    return _loaded[build][1]
+    """build(bytes of a broadcast), kept for the tasks of this Python worker."""
+    return held(build, shared.value)
 
 
 def tokenizer(content: bytes):
