@@ -72,6 +72,29 @@ def ingest(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{base}/target").select("link", "user", "votes", "language")
 
 
+@registry.add(
+    "ingest_stream_contents",
+    f"""with {CRAWLED_SQL}
+select md5(code) as code_md5, count(distinct code)::bigint as records from crawled
+where code is not null and language is not null group by 1""",
+)
+def ingest_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """As above, with records refused whose code came under another link; one is left of each."""
+    base = _folder(spark)
+    for _ in range(2):
+        crawled_rows(spark, sf).write.mode("append").parquet(f"{base}/in")
+    stream = (
+        spark.readStream.schema(schemas.CRAWLED).option("maxFilesPerTrigger", 2)
+        .parquet(f"{base}/in")
+    )
+    ingest_stream(
+        stream, f"{base}/target", f"{base}/failed", f"{base}/state", contents=True
+    ).awaitTermination()
+    return spark.read.parquet(f"{base}/target").groupBy(F.md5("code").alias("code_md5")).agg(
+        F.count(F.lit(1)).alias("records")
+    )
+
+
 @registry.add(
     "latest_status_stream",
     """select event_id % 4001 as script_id, arg_max(user_id % 5, event_id) as status

@@ -19,10 +19,12 @@ from loomwork.operators.events import RELEVANT_MODULES, UNKNOWN
 
 OUTPUT = (
     "script STRING, seq BIGINT, call_id BIGINT, static_instr_id INT, static_loop_id INT, "
-    "func_module STRING, func_name STRING, dependencies ARRAY<BIGINT>"
+    "caller_type_module STRING, caller_type_name STRING, func_module STRING, func_name STRING, "
+    "dependencies ARRAY<BIGINT>"
 )
-_INPUT = ["seq", "kind", "static_instr_id", "loop_id", "func_module", "func_name", "value_ids",
-          "lhs_ids"]
+_CALLER = ["caller_type_module", "caller_type_name"]
+_INPUT = ["seq", "kind", "static_instr_id", "loop_id", *_CALLER, "func_module", "func_name",
+          "value_ids", "lhs_ids"]
 
 
 class _Script:
@@ -61,13 +63,16 @@ class _Script:
         return False
 
     def step(self, event: list, modules) -> tuple | None:
-        kind, site, loop, module, name, values, lhs = event
+        kind, site, loop, owner_module, owner, module, name, values, lhs = event
         if kind == "call":
             self.call_id += 1
             relevant = modules is False or str(module).split(".")[0] in modules
             if relevant and not self.repeats(site):
                 current = self.stack[-1] if self.stack else None
-                return (self.call_id, site, current, module, name, self.sources(values or []))
+                return (
+                    self.call_id, site, current, owner_module, owner, module, name,
+                    self.sources(values or []),
+                )
         elif kind == "dep":
             known = [self.call_id] if values is None else self.sources(values)
             self.deps.update({str(v): known for v in lhs or []})
@@ -95,7 +100,10 @@ def _plain(value):
 
 
 def reduce_events_stream(events: DataFrame, modules=RELEVANT_MODULES) -> DataFrame:
-    """Recorded calls of a stream of raw events."""
+    """Recorded calls of a stream of raw events; callers are null where events have none."""
+    for column in _CALLER:
+        if column not in events.columns:
+            events = events.withColumn(column, F.lit(None).cast("string"))
     chosen = modules if modules is False else frozenset(modules)
 
     def advance(

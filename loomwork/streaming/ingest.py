@@ -14,10 +14,11 @@ class IngestSink:
 
     Every batch owns one folder per table and overwrites it, and compares only with earlier
     batches; a batch that runs again after a lost driver or executor gives the same rows.
+    With `contents` a record whose code is stored already under another key is left out too.
     """
 
-    def __init__(self, target: str, failed: str, by: str = "link"):
-        self.target, self.failed, self.by = target, failed, by
+    def __init__(self, target: str, failed: str, by: str = "link", contents: bool = False):
+        self.target, self.failed, self.by, self.contents = target, failed, by, contents
 
     def _before(self, spark: SparkSession, path: str, batch: int) -> DataFrame:
         schema = f"{schemas.CRAWLED}, batch_id BIGINT"
@@ -41,7 +42,14 @@ class IngestSink:
         fresh = fresh.select("row.*").persist()
         try:
             good = F.col("code").isNotNull() & F.col("language").isNotNull()
-            for path, rows in ((self.target, fresh.filter(good)),
+            stored = fresh.filter(good)
+            if self.contents:
+                code = F.sha2("code", 256).alias("__code")
+                seen = self._before(spark, self.target, batch_id).select(code).distinct()
+                stored = stored.groupBy(code).agg(F.min(row).alias("row")).join(
+                    seen, "__code", "left_anti"
+                ).select("row.*")
+            for path, rows in ((self.target, stored),
                                (self.failed, fresh.filter(~good))):
                 rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
         finally:
@@ -50,11 +58,11 @@ class IngestSink:
 
 def ingest_stream(
     crawled: DataFrame, target: str, failed: str, checkpoint: str, by: str = "link",
-    **trigger,
+    contents: bool = False, **trigger,
 ) -> StreamingQuery:
     """Start ingesting a stream of crawled rows; trigger defaults to what is available now."""
     return (
-        crawled.writeStream.foreachBatch(IngestSink(target, failed, by))
+        crawled.writeStream.foreachBatch(IngestSink(target, failed, by, contents))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )

@@ -130,6 +130,25 @@ def test_stream_equals_batch_and_drops_state(spark, tmp_path):
     assert kept[-1] == 0
 
 
+def test_stream_keeps_callers(spark, tmp_path):
+    schema = EVENT + ", caller_type_module string, caller_type_name string"
+    events = [
+        ("s", 0, "call", 0, None, "sklearn.svm", "SVC", [], None, None, None),
+        ("s", 1, "call", 1, None, "sklearn.svm", "fit", [], None, "sklearn.svm", "SVC"),
+    ]
+    spark.createDataFrame(events, schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    reduce_events_stream(stream).writeStream.format("parquet").option(
+        "path", str(tmp_path / "out")
+    ).option("checkpointLocation", str(tmp_path / "state")).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(got.select("call_id", "caller_type_module", "caller_type_name")) == [
+        (0, None, None), (1, "sklearn.svm", "SVC"),
+    ]
+
+
 CALL = (
     "script string, call_id long, func_module string, func_name string, "
     "caller_type_module string, caller_type_name string, dependencies array<long>"
