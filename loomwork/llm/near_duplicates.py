@@ -43,6 +43,26 @@ TILE = 512
 CELLS = 8_000_000
 
 
+#: all links of five-word n-grams by an inverted join, and classes as their closure
+SQL = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) >= 5 then
+    list_transform(generate_series(1, len(ws) - 4), lambda k: array_to_string(ws[k:k + 4], ' '))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as i, b.doc_id as j, count(*) as c from s a join s b
+    on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select i, j from p join n x on x.doc_id = i join n y on y.doc_id = j
+    where 5 * c >= 4 * (x.n + y.n - c)),
+r as (select doc_id as i, doc_id as j from documents
+    union select r.i, l.j from r join l on r.j = l.i),
+k as (select i, count(*) as links from l group by i)
+select r.i as doc_id, min(r.j) as class_id, coalesce(max(k.links), 0)::bigint as n_links
+from r left join k on k.i = r.i group by r.i
+"""
+
+
 def bands_and_rows(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
     """The most selective (bands, rows) within `most` hashes that reach the recall."""
     best = (most, 1)

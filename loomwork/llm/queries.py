@@ -67,7 +67,7 @@ def op2(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-@registry.add("op5_ngram_jaccard_join")
+@registry.add("op5_ngram_jaccard_join", near_duplicates.SQL)
 def op5(spark, sf_dir):
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     return near_duplicates.classes(docs).select("doc_id", "class_id", "n_links")
