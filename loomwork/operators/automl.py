@@ -51,7 +51,8 @@ def train_val_split(
     df: DataFrame, share: float = 0.2, seed: int = 42, key: str = "row_id"
 ) -> tuple[DataFrame, DataFrame]:
     """Split by a hash of the key: the same rows each time, also after recomputation."""
-    slot = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000))
+    text = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    slot = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 10_000
     held = slot < int(share * 10_000)
     return df.filter(~held), df.filter(held)
 

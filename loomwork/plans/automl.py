@@ -41,7 +41,12 @@ def cap_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@registry.add("train_val_split")
+@registry.add(
+    "train_val_split",
+    """select c_custkey as row_id, case when
+  ('0x' || substr(md5('42|' || c_custkey), 1, 8))::bigint % 10000 < 2000 then 'val' else 'train'
+  end as part from customer""",
+)
 def train_val_split(spark: SparkSession, sf: str) -> DataFrame:
     train, val = automl.train_val_split(customers(spark, sf))
     return train.select("row_id", F.lit("train").alias("part")).unionByName(

@@ -194,7 +194,7 @@ def extract_links(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract_links(table(spark, sf, "pages"), BASE)
 
 
-@registry.add("extract_links_html")
+@registry.add("extract_links_html", f"with {_LINKS_SQL} select link from links")
 def extract_links_html(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract_links_html(table(spark, sf, "pages"), BASE)
 
