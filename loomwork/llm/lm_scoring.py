@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from loomwork.llm import vocab
 
 ORDER = 4
-MAX_CONTEXTS = 40_000
+MAX_CONTEXTS = 24_000
 BLOCK_BYTES = 8 << 20
 #: symbols: bytes and the end of a document, which also fills the contexts before its start
 END = 256
@@ -42,6 +42,9 @@ SYMBOLS = 257
 BITS = 9
 #: symbols of one stretch of the walk
 STRETCH = 512
+#: characters handled at a time; different n-grams a task holds before it merges and before it sends
+STEP_CHARS = 500_000
+MERGE_AT, SEND_AT = 1_500_000, 750_000
 
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,15 +85,15 @@ def train(docs: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS)
 
         for batch in batches:
             texts = [(t or "").encode().lower() for t in batch.column("text").to_pylist()]
-            for start, end in vocab.steps(texts):
+            for start, end in vocab.steps(texts, STEP_CHARS):
                 code, times = gram_counts(texts[start:end], order)
                 codes.append(code)
                 counts.append(times)
                 held += len(code)
-                if held > 4_000_000:
+                if held > MERGE_AT:
                     code, times = _merged(codes, counts)
                     codes, counts, held = [code], [times], len(code)
-                    if held > 2_000_000:
+                    if held > SEND_AT:
                         yield rows()
                         codes, counts, held = [], [], 0
         if held:
@@ -191,7 +194,7 @@ class Trie:
         if not len(flat):
             return np.zeros(0)
         parts = -(-len(flat) // stretch)
-        padded = np.full(parts * stretch + self.order, END, np.int64)
+        padded = np.full(parts * stretch + self.order, END, np.int16)
         padded[self.order : self.order + len(flat)] = flat
         grid = np.lib.stride_tricks.sliding_window_view(padded, stretch + self.order)[::stretch]
         grid = np.ascontiguousarray(grid.T)
@@ -199,7 +202,7 @@ class Trie:
         logs, following = self.logs.reshape(-1), self.next.reshape(-1)
         out = np.zeros((stretch, parts), np.float32)
         for t in range(stretch + self.order):
-            at = state * SYMBOLS + grid[t]
+            at = state * SYMBOLS + grid[t].astype(np.int64)
             if t >= self.order:
                 out[t - self.order] = logs[at]
             state = following[at].astype(np.int64)
@@ -240,7 +243,7 @@ def _scorer(shared, id_type: pa.DataType):
         texts = _lowered(docs)
         sums, known = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         tokens, scores = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        for start, end in vocab.steps(texts):
+        for start, end in vocab.steps(texts, STEP_CHARS):
             lists = [t.split() for t in texts[start:end]]
             lengths = np.fromiter(map(len, lists), np.int64, len(lists))
             total = int(lengths.sum())
