@@ -178,36 +178,49 @@ def propagate(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     return spread, pairs
 
 
-def tag_entries(calls: DataFrame) -> DataFrame:
-    """Calls with component, tag, source_tag and model_ids (sorted; [-1] when none)."""
+def tag_calls(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls with component, tag and source_tag, and (script, call_id, model_id) in long form."""
     named = cut_lineage(name_based_tags(calls))
     spread, pairs = propagate(named)
+    tagged = named.join(
+        spread.withColumnRenamed("tag", "__spread"), ["script", "call_id"], "left"
+    ).withColumns(
+        {
+            "tag": F.coalesce("tag", "__spread", F.lit(OTHER)),
+            "source_tag": F.coalesce("source_tag", F.lit("set")),
+        }
+    ).drop("__spread")
+    return tagged, pairs
+
+
+def tag_entries(calls: DataFrame) -> DataFrame:
+    """Calls with component, tag, source_tag and model_ids (sorted; [-1] when none)."""
+    tagged, pairs = tag_calls(calls)
     ids = pairs.groupBy("script", "call_id").agg(
         F.sort_array(F.collect_set("model_id")).alias("model_ids")
     )
-    return (
-        named.join(spread.withColumnRenamed("tag", "__spread"), ["script", "call_id"], "left")
-        .join(ids, ["script", "call_id"], "left")
-        .withColumns(
-            {
-                "tag": F.coalesce("tag", "__spread", F.lit(OTHER)),
-                "source_tag": F.coalesce("source_tag", F.lit("set")),
-                "model_ids": F.coalesce(
-                    "model_ids", F.array(F.lit(UNKNOWN).cast("long"))
-                ),
-            }
-        ).drop("__spread")
+    unknown = F.array(F.lit(UNKNOWN).cast("long"))
+    return tagged.join(ids, ["script", "call_id"], "left").withColumn(
+        "model_ids", F.coalesce("model_ids", unknown)
     )
 
 
-def linearize(tagged: DataFrame) -> DataFrame:
+def linearize(tagged: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Rows (script, prog, pos, call columns...): one program per model id, in call order.
 
+    `pairs` gives the model ids in long form, as `tag_calls` does; without it they are read from
+    the column model_ids.
     Programs with the same calls collapse. Sets are compared by size and two hash sums,
     built with map-side combining, so no program is collected. A call without a model is a
     program of its own.
     """
-    member = tagged.withColumn("model_id", F.explode("model_ids"))
+    if pairs is None:
+        member = tagged.withColumn("model_id", F.explode("model_ids"))
+    else:
+        pairs = cut_lineage(pairs)
+        member = tagged.join(pairs, ["script", "call_id"], "left").withColumn(
+            "model_id", F.coalesce("model_id", F.lit(UNKNOWN).cast("long"))
+        )
     linked = member.filter(F.col("model_id") != UNKNOWN)
     prints = linked.groupBy("script", "model_id").agg(
         F.count(F.lit(1)).alias("n"),

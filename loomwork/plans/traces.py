@@ -406,8 +406,8 @@ prog as (select u.script, 'm' || u.m as prog, call_id,
     f"with recursive {_PROGRAM_SQL} select script, prog, pos, call_id from prog",
 )
 def linearize(spark: SparkSession, sf: str) -> DataFrame:
-    tagged = tg.tag_entries(trace_calls(spark, sf))
-    return tg.linearize(tagged).select("script", "prog", "pos", "call_id")
+    tagged, pairs = tg.tag_calls(trace_calls(spark, sf))
+    return tg.linearize(tagged, pairs).select("script", "prog", "pos", "call_id")
 
 
 @registry.add(

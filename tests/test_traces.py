@@ -170,6 +170,10 @@ def test_example_tags_and_program(spark):
         2: ("M", "name_based", [1, 2]), 3: ("E", "set", [1, 2]),
     }
     progs = tg.linearize(tagged)
+    plain, pairs = tg.tag_calls(spark.createDataFrame(EXAMPLE, CALL))
+    assert rows(tg.linearize(plain, pairs).select("script", "prog", "pos", "call_id")) == rows(
+        progs.select("script", "prog", "pos", "call_id")
+    )
     assert [(r["prog"], r["call_id"]) for r in progs.orderBy("pos").collect()] == [
         ("m1", i) for i in range(4)
     ]
