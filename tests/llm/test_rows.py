@@ -166,6 +166,17 @@ def test_toxicity_of_held_out_and_disguised_texts(spark):
     assert max(scorer.score(["", "then there", "book head", "1 2 3"])) < 0.5
 
 
+def test_labelled_sample(spark):
+    docs = frame(spark, corpus() + messy(), clash=True)
+    labels = [(i, 1, i % 2) for i in range(50)] + [(3, 0, 0), (None, 1, 1), (4, 1, None), (9_999, 1, 1)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.labelled_sample(docs, table).collect()
+    assert {r.doc_id: r.toxic for r in got} == {i: i % 2 for i in range(50)}
+    drawn = toxicity.labelled_sample(docs, table, sample_docs=5)
+    assert {"doc_id", "text", "toxic"} == set(drawn.columns) and 0 < drawn.count() < 40
+    assert toxicity.labelled_sample(docs, table.limit(0)).count() == 0
+
+
 def test_toxicity_defined_cases(spark):
     df = spark.createDataFrame(labelled(60), "doc_id long, text string, toxic int")
     none = toxicity.fit(df.limit(0))
