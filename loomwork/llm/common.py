@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space; words of the operators are runs of anything else
-SPACE = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

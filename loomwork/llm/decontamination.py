@@ -203,6 +203,7 @@ def leaks(docs: DataFrame, items: DataFrame, part_items: int = PART_ITEMS) -> Da
     (doc_id, h) names a row of `docs`; `items` has item_id and text.
     """
     spark = docs.sparkSession
+    vocab.small_batches(spark)
     rows = items.filter(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id", "text")
     listed = [(r["item_id"], r["text"]) for r in rows.collect()]  # the test items, not the corpus
     listed = [x for x in listed if len(words_of(x[1])) >= MIN_WORDS]

@@ -32,6 +32,8 @@ from loomwork.llm.common import hashed_share
 SAMPLE_DOCS = 3_000
 MAX_TERMS = 60_000
 LONGEST = 5
+#: different words a task holds before it sends their counts
+HELD_WORDS = 150_000
 UNDEFINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -48,33 +50,42 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def _counts(batches):
+    """(lang, n, term, count) of words (n = 0) and n-grams; sent whenever many are held."""
+    vocab.release()
+    found: dict[str, Counter] = {}
+
+    def rows():
+        for lang, terms in found.items():
+            counts = [terms] + [Counter() for _ in range(LONGEST)]
+            for word, times in terms.items():
+                for n in range(1, LONGEST + 1):
+                    for gram in grams(word, n):
+                        counts[n][gram] += times
+            for n, c in enumerate(counts):
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "lang": pa.array([lang] * len(c), pa.string()),
+                        "n": pa.array([n] * len(c), pa.int32()),
+                        "term": pa.array(list(c), pa.string()),
+                        "count": pa.array(list(c.values()), pa.int64()),
+                    }
+                )
+        found.clear()
+
     for batch in batches:
-        found: dict[str, tuple[Counter, Counter]] = {}
         for lang, text in zip(
             batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True
         ):
-            terms = found.setdefault(lang, Counter())
             for piece in vocab.pieces(text):
-                terms.update(words_of(piece))
-        for lang, terms in found.items():
-            pieces: Counter = Counter()
-            for word, times in terms.items():
-                for n in range(1, LONGEST + 1):
-                    for gram in grams(word, n):
-                        pieces[gram, n] += times
-            rows = [(0, w, c) for w, c in terms.items()] + [(n, g, c) for (g, n), c in pieces.items()]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "lang": pa.array([lang] * len(rows), pa.string()),
-                    "n": pa.array([r[0] for r in rows], pa.int32()),
-                    "term": pa.array([r[1] for r in rows], pa.string()),
-                    "count": pa.array([r[2] for r in rows], pa.int64()),
-                }
-            )
+                found.setdefault(lang, Counter()).update(words_of(piece))
+        if sum(map(len, found.values())) > HELD_WORDS:
+            yield from rows()
+    yield from rows()
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_terms: int = MAX_TERMS) -> bytes:
     """A model from the documents of a known language; n = 0 marks whole words."""
+    vocab.small_batches(docs.sparkSession)
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     languages = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     names = sorted(languages)
@@ -154,6 +165,7 @@ class Predictor:
 
 def predict(docs: DataFrame, model: bytes) -> DataFrame:
     """The documents with lang_pred and score."""
+    vocab.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_TERMS
     rest = docs.drop("lang_pred", "score")
 

@@ -77,6 +77,7 @@ def train(docs: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS)
     """The trie of the documents' texts as (contexts, symbols, counts)."""
 
     def count(batches):
+        vocab.release()
         codes, counts, held = [], [], 0
 
         def rows():
@@ -99,6 +100,7 @@ def train(docs: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS)
         if held:
             yield rows()
 
+    vocab.small_batches(docs.sparkSession)
     grams = docs.select("text").mapInArrow(count, "gram long, n long")
     grams = grams.groupBy("gram").agg(F.sum("n").alias("n")).persist()
     try:
@@ -216,6 +218,7 @@ def _lowered(table) -> list[bytes]:
 
 def _block_words(table: pa.Table) -> pa.Table:
     """Distinct words of a block and how often its training documents have them."""
+    vocab.release()
     seen: Counter = Counter()
     for batch in table.to_batches(max_chunksize=256):
         held = batch.column("held_out").to_pylist()

@@ -142,6 +142,7 @@ def signatures(
 
 def sign(docs: DataFrame, threshold: float, recall: float, n: int) -> DataFrame:
     """doc_id, h (hash of the text), key, size and bands of every row."""
+    vocab.small_batches(docs.sparkSession)
     bands, rows = bands_and_rows(threshold, recall)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -9,11 +12,14 @@ from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: words kept in a task's memory at most, and the longest word that is kept
 MEMO_WORDS = 500_000
 MEMO_CHARS = 64
+#: rows of an Arrow batch
+BATCH_ROWS = 1_000
 #: characters of text handled at a time
 STEP_CHARS = 2_000_000
 
@@ -26,18 +32,36 @@ _loaded: dict = {}
 
 def shipped(spark: SparkSession, name: str):
     """A tokenizer file as a broadcast; its size is that of a vocabulary, not of data."""
+    small_batches(spark)
     path = name if os.path.sep in name else public_tokenizers.path(name)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
 
+def release() -> None:
+    """Give back what this worker holds, before work that needs memory of its own."""
+    if _loaded:
+        _loaded.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts reach Python few at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def held(build, content: bytes | None = None):
     """build() or build(content), kept by this Python worker until something else is asked for.
 
     Workers are reused by later tasks of other operators; one thing at a time bounds their memory.
     """
     if _loaded.get("of") != (build, content):
-        _loaded.clear()  # the old one goes before the new one is made
+        release()  # the old one goes before the new one is made
         _loaded["it"] = build() if content is None else build(content)
         _loaded["of"] = (build, content)
     return _loaded["it"]
