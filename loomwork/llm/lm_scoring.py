@@ -1,21 +1,22 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-The model is a trie of byte contexts of up to `ORDER` bytes with the counts of what followed
-them in all training documents. A symbol that a context has seen has its share of the count; the
-context's escape share (as many as it has different symbols) goes to the next shorter context,
-where the symbols already excluded are left out of all counts; after the empty context the rest
-of the alphabet is uniform. Counts are gathered from whole training documents; the trie keeps
-the `MAX_CONTEXTS` most frequent contexts, which bounds the model and leaves every distribution
-complete. As all of a context's shares are fixed once the counts are, tasks use the trie as an
-automaton of (context, symbol) code lengths, walked for many stretches of text at a time.
+The model holds every byte context of up to `ORDER` bytes with the counts of what followed it in
+all training documents. A symbol that a context has seen has its share of the count; the context's
+escape share (as many as it has different symbols) goes to the next shorter context, where the
+symbols already excluded are left out of all counts; after the empty context the rest of the
+alphabet is uniform. A symbol's code length depends on the `ORDER` symbols before it only, so it
+is computed once for each n-gram that occurs: n-grams are counted by block of documents, summed
+over blocks, joined level by level to their suffixes, and the code lengths return to the blocks.
+Neither the driver nor a task holds the model, whatever its size. A caller may ask for the
+`max_contexts` most frequent contexts only; `Trie` is that bounded model as an automaton.
 
 The base score is a smoothed unigram model of words, exact over the corpus: documents are dealt
 to blocks of about `BLOCK_BYTES`, each block sends its distinct words once, the counts come back
 to the block, and documents are scored there. Neither a word nor a block is one task's group of
 unbounded size: a word has one row for each block.
 
-Defined cases: null text counts as empty, that is one end token; very long texts are walked in
-stretches; repeated rows are learned from and scored each; without training rows all counts are
+Defined cases: null text counts as empty, that is one end token; very long texts are taken in
+pieces; repeated rows are learned from and scored each; without training rows all counts are
 zero and the models uniform; an empty table gives an empty result. Only doc_id and text are read.
 """
 
@@ -24,23 +25,26 @@ from __future__ import annotations
 import math
 import pickle
 from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm import vocab
+from loomwork.session import cut_lineage
 
 ORDER = 4
-MAX_CONTEXTS = 24_000
 BLOCK_BYTES = 8 << 20
 #: symbols: bytes and the end of a document, which also fills the contexts before its start
 END = 256
 SYMBOLS = 257
 BITS = 9
-#: symbols of one stretch of the walk
+#: symbols of one stretch of an automaton's walk
 STRETCH = 512
 #: characters handled at a time; different n-grams a task holds before it merges and before it sends
 STEP_CHARS = 500_000
@@ -73,8 +77,26 @@ def gram_counts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]
     return np.unique(code, return_counts=True)
 
 
-def train(docs: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> bytes:
-    """The trie of the documents' texts as (contexts, symbols, counts)."""
+def coded(texts: list[bytes], order: int, size: int = STEP_CHARS) -> Iterator[tuple[int, np.ndarray]]:
+    """The n-gram codes of all symbols in order, `size` at a time, and where each part begins."""
+    total = sum(map(len, texts)) + len(texts)
+    flat = np.full(order + total, END, np.int16)
+    flat[order:] = np.frombuffer(b"\x00".join([*texts, b""]), np.uint8)
+    flat[order - 1 + np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)] = END
+    for at in range(0, total, size):
+        end = min(total, at + size)
+        code = flat[order + at : order + end].astype(np.int64)
+        ended = np.zeros(end - at, bool)
+        for k in range(1, order + 1):
+            # before the start of a document there are only ends
+            before = np.where(ended, END, flat[order + at - k : order + end - k])
+            ended = before == END
+            code |= before.astype(np.int64) << (BITS * k)
+        yield at, code
+
+
+def train(docs: DataFrame, order: int = ORDER, max_contexts: int = 24_000) -> bytes:
+    """A bounded trie of the documents' texts as (contexts, symbols, counts)."""
 
     def count(batches):
         vocab.release()
@@ -216,30 +238,119 @@ def _lowered(table) -> list[bytes]:
     return [(t or "").encode().lower() for t in table.column("text").to_pylist()]
 
 
-def _block_words(table: pa.Table) -> pa.Table:
-    """Distinct words of a block and how often its training documents have them."""
-    vocab.release()
-    seen: Counter = Counter()
-    for batch in table.to_batches(max_chunksize=256):
-        held = batch.column("held_out").to_pylist()
-        for text, out in zip(_lowered(batch), held, strict=True):
-            if out:
-                seen.update(dict.fromkeys(text.split(), 0))
-            else:
-                seen.update(text.split())
-    block = table.column("block")[0].as_py()
-    return pa.table(
-        {
-            "block": pa.array([block] * len(seen), pa.int64()),
-            "word": pa.array(list(seen), pa.binary()),
-            "n": pa.array(list(seen.values()), pa.int64()),
-        }
-    )
+def _block_counts(order: int):
+    """Distinct words and n-grams of a block and how often its training documents have them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        vocab.release()
+        seen: Counter = Counter()
+        codes, counts, held = [], [], 0
+        for batch in table.to_batches(max_chunksize=256):
+            out = batch.column("held_out").to_pylist()
+            texts = _lowered(batch)
+            for text, o in zip(texts, out, strict=True):
+                if o:
+                    seen.update(dict.fromkeys(text.split(), 0))
+                else:
+                    seen.update(text.split())
+            for learned in (True, False):
+                chosen = [t for t, o in zip(texts, out, strict=True) if bool(o) != learned]
+                for start, end in vocab.steps(chosen, STEP_CHARS):
+                    for _, grams in coded(chosen[start:end], order):
+                        code, times = np.unique(grams, return_counts=True)
+                        codes.append(code)
+                        counts.append(times * learned)
+                        held += len(code)
+            if held > MERGE_AT:
+                code, times = _merged(codes, counts)
+                codes, counts, held = [code], [times], 0
+        code, times = _merged(codes, counts)
+        block = table.column("block")[0].as_py()
+        words = len(seen)
+        return pa.table(
+            {
+                "block": pa.array([block] * (words + len(code)), pa.int64()),
+                "word": pa.concat_arrays([pa.array(list(seen), pa.binary()), pa.nulls(len(code), pa.binary())]),
+                "gram": pa.concat_arrays([pa.nulls(words, pa.int64()), pa.array(code, pa.int64())]),
+                "n": pa.array(np.concatenate([np.fromiter(seen.values(), np.int64, words), times])),
+            }
+        )
+
+    return run
+
 
+def gram_logs(grams: DataFrame, order: int = ORDER, max_contexts: int | None = None) -> DataFrame:
+    """(gram, log): log10 of the probability of each n-gram's last symbol after its other ones.
 
-def _scorer(shared, id_type: pa.DataType):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        trie = vocab.once(shared, Trie)
+    `grams` has each n-gram that is asked for once, with its count n, 0 where it was not learned.
+    What a context has seen, its suffix has seen too, so the excluded symbols of a context are
+    those of the next longer one, and each level needs the level below only: `log` of a context
+    where the walk begins, and `rest` of the shorter ones after what the context excludes.
+    """
+    levels = [cut_lineage(grams.select("gram", "n"))]
+    for k in range(order - 1, -1, -1):
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k + 1))) - 1))
+        levels.append(cut_lineage(levels[-1].groupBy(suffix.alias("gram")).agg(F.sum("n").alias("n"))))
+    levels.reverse()
+    context = F.shiftright("gram", BITS).alias("context")
+    kept = None
+    if max_contexts is not None:
+        totals = [
+            level.groupBy(F.lit(k).alias("k"), context).agg(F.sum("n").alias("total"))
+            for k, level in enumerate(levels)
+        ]
+        totals = reduce(DataFrame.unionByName, totals).filter("total > 0")
+        # a suffix is at least as frequent and shorter, so kept contexts have kept suffixes
+        kept = cut_lineage(totals.orderBy(F.desc("total"), "k", "context").limit(max_contexts))
+    of_context = Window.partitionBy("context")
+    below = None
+    for k, level in enumerate(levels):
+        rows = level.select("gram", "n", context)
+        if kept is not None:
+            chosen = kept.filter(F.col("k") == k).select("context", F.lit(True).alias("kept"))
+            rows = rows.join(chosen, "context", "left")
+            rows = rows.withColumn("n", F.when(F.col("kept"), F.col("n")).otherwise(0))
+        if below is None:
+            rows = rows.withColumns({c: F.lit(0) for c in ("n0", "total0", "kinds0")})
+            rows = rows.withColumns({"log0": F.lit(-math.log10(SYMBOLS)), "rest0": F.lit(0.0)})
+        else:
+            shorter = below.select(
+                F.col("gram").alias("suffix"),
+                *(F.col(c).alias(f"{c}0") for c in ("n", "total", "kinds", "log", "rest")),
+            )
+            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1)))
+            rows = rows.join(shorter, "suffix")
+        rows = rows.select(
+            "*", F.sum("n").over(of_context).alias("total"),
+            F.count_if(F.col("n") > 0).over(of_context).alias("kinds"),
+            F.sum(F.when(F.col("n") > 0, F.col("n0")).otherwise(0)).over(of_context).alias("gone"),
+        )
+        n, total, kinds = F.col("n"), F.col("total"), F.col("kinds")
+        if below is None:
+            rest = F.when(kinds < SYMBOLS, -F.log10(SYMBOLS - kinds)).otherwise(0.0)
+        else:
+            # the shorter context without the symbols of this one
+            new = F.col("kinds0") - kinds
+            open_ = F.col("kinds0") < SYMBOLS  # else its seen symbols share everything
+            left = F.col("total0") - F.col("gone") + F.when(open_, new).otherwise(0)
+            escape = F.when((new > 0) & open_, F.log10(new) - F.log10(left)).otherwise(0.0)
+            rest = F.when(F.col("n0") > 0, F.log10("n0") - F.log10(left)).otherwise(escape + F.col("rest0"))
+        whole = total + F.when(kinds < SYMBOLS, kinds).otherwise(0)
+        log = F.when(total == 0, F.col("log0")).when(n > 0, F.log10(n) - F.log10(whole)).otherwise(
+            F.log10(kinds) - F.log10(whole) + F.col("rest")
+        )
+        rows = rows.withColumn("rest", rest).withColumn("log", log)
+        below = cut_lineage(rows.select("gram", "n", "total", "kinds", "log", "rest"))
+    return below.select("gram", "log")
+
+
+def _scorer(order: int, id_type: pa.DataType):
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        vocab.release()
+        words, grams = found.filter(pc.is_valid(found["word"])), found.filter(pc.is_valid(found["gram"]))
+        gram = grams.column("gram").to_numpy()
+        by_code = np.argsort(gram)
+        gram, code_logs = gram[by_code], grams.column("log").to_numpy()[by_code]
         counts = words.column("count").to_numpy()
         index = dict(zip(words.column("word").to_pylist(), range(len(counts)), strict=True))
         logs = np.log10(counts + 1.0)
@@ -258,7 +369,11 @@ def _scorer(shared, id_type: pa.DataType):
                 sums[start + full] = np.add.reduceat(logs[at], (ends - lengths)[full])
             known[start:end] = met[ends] - met[ends - lengths]
             tokens[start:end] = lengths + 1
-            scores[start:end] = trie.score(texts[start:end])
+            ends = np.cumsum(np.fromiter(map(len, texts[start:end]), np.int64, end - start) + 1)
+            for at, codes in coded(texts[start:end], order):
+                values = code_logs[np.searchsorted(gram, codes)]
+                owner = np.searchsorted(ends, np.arange(at, at + len(codes)), side="right")
+                scores[start:end] += np.bincount(owner, values, minlength=end - start)
         first = words.column("first").to_numpy(zero_copy_only=False)
         held = docs.column("held_out").to_pylist()
         n = len(texts)
@@ -280,35 +395,45 @@ def _scorer(shared, id_type: pa.DataType):
 
 
 def score(
-    docs: DataFrame, held_out, path: str, order: int = ORDER, max_contexts: int = MAX_CONTEXTS,
+    docs: DataFrame, held_out, path: str, order: int = ORDER, max_contexts: int | None = None,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
-    Both models learn from the documents that are not `held_out`. Scores are written under
-    `path`, a new folder that executors share, together with each block's share of the totals.
+    Both models learn from the documents that are not `held_out`, in all contexts unless the caller
+    gives `max_contexts`. Counts and scores of the blocks are written under `path`, a new folder
+    that executors share, the scores together with each block's share of the totals.
     """
     spark = docs.sparkSession
+    vocab.small_batches(spark)
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    shared = spark.sparkContext.broadcast(train(rows.filter(~F.col("held_out")), order, max_contexts))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = {"int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
-    words = rows.groupBy("block").applyInArrow(_block_words, "block long, word binary, n long")
+    counts = rows.groupBy("block").applyInArrow(
+        _block_counts(order), "block long, word binary, gram long, n long"
+    )
+    counts.write.mode("errorifexists").parquet(f"{path}/counts")
+    counts = spark.read.parquet(f"{path}/counts")
     of_word = Window.partitionBy("word")
-    words = words.select(
+    words = counts.filter(F.col("word").isNotNull()).select(
         "block", "word", "n", F.sum("n").over(of_word).alias("count"),
         (F.min("block").over(of_word) == F.col("block")).alias("first"),
     )
-    scored = rows.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(
-        _scorer(shared, id_type),
+    grams = counts.filter(F.col("gram").isNotNull()).select("block", "gram", "n")
+    logs = gram_logs(grams.groupBy("gram").agg(F.sum("n").alias("n")), order, max_contexts)
+    found = words.unionByName(
+        grams.select("block", "gram").join(logs, "gram"), allowMissingColumns=True
+    )
+    scored = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+        _scorer(order, id_type),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double,"
         " summary boolean",
     )
-    scored.write.mode("errorifexists").parquet(path)
-    scored = spark.read.parquet(path)
+    scored.write.mode("errorifexists").parquet(f"{path}/scores")
+    scored = spark.read.parquet(f"{path}/scores")
     totals = scored.filter("summary").agg(
         F.sum("n_tokens").alias("words"), F.sum("n_known").alias("kinds"), F.sum("logs").alias("docs")
     ).first()

@@ -163,6 +163,48 @@ def test_partial_matching_against_a_naive_version(spark):
         assert value == pytest.approx(want, rel=1e-4)
 
 
+@pytest.mark.parametrize("kept", [None, 400])
+def test_every_counted_context_takes_part_in_the_score(spark, tmp_path, kept):
+    rnd = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789 "
+    rows = [(i, "".join(rnd.choices(letters, k=700)), "en", "s", 1) for i in range(45)]
+    rows += [(45 + i, rows[i][1][:350] + rows[i + 1][1][:350], "en", "s", 1) for i in range(10)]
+    rows += [(60, None, "en", "s", 1), (61, "néw 日本", "en", "s", 1), *((70 + r[0], *r[1:]) for r in corpus(documents=8))]
+    held = F.col("doc_id") >= 40
+    got = lm_scoring.score(frame(spark, rows), held, f"{tmp_path}/lm", max_contexts=kept).collect()
+    order, counts = lm_scoring.ORDER, collections.defaultdict(collections.Counter)
+
+    def symbols(text):
+        return [lm_scoring.END] * order + list((text or "").encode().lower()) + [lm_scoring.END]
+
+    for r in rows:
+        s = symbols(r[1]) if r[0] < 40 else []
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts[tuple(s[i - k : i])][s[i]] += 1
+    assert len(counts) > 24_000
+    if kept:
+        def place(c):
+            return -sum(counts[c].values()), len(c), sum(x << (9 * j) for j, x in enumerate(c[::-1]))
+
+        counts = {c: counts[c] for c in sorted(counts, key=place)[:kept]}
+    want = {
+        r[0]: sum(naive_log10(counts, order, s[i - order : i], s[i]) for i in range(order, len(s)))
+        for r in rows for s in [symbols(r[1])]
+    }
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want, rel=1e-6)
+
+
+def test_codes_of_pieces_are_those_of_the_whole():
+    texts = [b"", b"then there", b"a", b"x" * 50]
+    whole = np.concatenate([c for _, c in lm_scoring.coded(texts, 4)])
+    parts = list(lm_scoring.coded(texts, 4, size=7))
+    assert (np.concatenate([c for _, c in parts]) == whole).all() and len(parts) == 10
+    code, times = np.unique(whole, return_counts=True)
+    want = lm_scoring.gram_counts(texts, 4)
+    assert (code == want[0]).all() and (times == want[1]).all()
+
+
 def test_scores_of_empty_and_unlearned_tables(spark, tmp_path):
     df = frame(spark, corpus(documents=6))
     none = lm_scoring.score(df.limit(0), F.lit(False), f"{tmp_path}/none")
