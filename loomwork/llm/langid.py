@@ -20,6 +20,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ from loomwork.llm.common import hashed_share
 SAMPLE_DOCS = 3_000
 MAX_TERMS = 60_000
 LONGEST = 5
-#: different words a task holds before it sends their counts
+#: different words, and letters of long words, a task holds before it sends their counts
 HELD_WORDS = 150_000
+HELD_LETTERS = 2_000_000
 UNDEFINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -43,16 +45,19 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def grams(word: str, n: int) -> list[str]:
-    """n-grams of a word with marked ends; of its first and last letters where it is long."""
-    marked = f" {word[:64]} "
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word[:64])
+def grams(word: str, n: int) -> Iterator[str]:
+    """All n-grams of a word with marked ends, one after the other however long it is."""
+    if n == 1:
+        return iter(word)
+    marked = f" {word} "
+    return (marked[i : i + n] for i in range(len(marked) - n + 1))
 
 
 def _counts(batches):
     """(lang, n, term, count) of words (n = 0) and n-grams; sent whenever many are held."""
     vocab.release()
     found: dict[str, Counter] = {}
+    letters = 0
 
     def rows():
         for lang, terms in found.items():
@@ -77,7 +82,12 @@ def _counts(batches):
             batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True
         ):
             for piece in vocab.pieces(text):
-                found.setdefault(lang, Counter()).update(words_of(piece))
+                words = words_of(piece)
+                found.setdefault(lang, Counter()).update(words)
+                letters += sum(len(w) for w in words if len(w) > vocab.MEMO_CHARS)
+            if letters > HELD_LETTERS:
+                yield from rows()
+                letters = 0
         if sum(map(len, found.values())) > HELD_WORDS:
             yield from rows()
     yield from rows()
@@ -136,23 +146,35 @@ class Predictor:
             return known
         for n in range(LONGEST, 0, -1):
             table = self.tables[n]
-            found = [table[g] for g in grams(word, n) if g in table]
+            total, found = 0.0, 0
+            for gram in grams(word, n):
+                if gram in table:
+                    total, found = total + table[gram], found + 1
             if found:
-                return sum(found) / len(found)
+                return total / found
         return self.unseen[1]  # letters of no known language
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         langs, scores = [], np.zeros(len(texts))
         for start, end in vocab.steps([t or "" for t in texts]):
-            lists, owner = [], []
+            lists, owner, long = [], [], []
             for i in range(start, end):
                 for piece in vocab.pieces(texts[i] or ""):
-                    lists.append(words_of(piece))
+                    found = words_of(piece)
+                    if max(map(len, found), default=0) > vocab.MEMO_CHARS:
+                        # scored as a whole, but not remembered
+                        long += [(i - start, w) for w in found if len(w) > vocab.MEMO_CHARS]
+                        found = [w for w in found if len(w) <= vocab.MEMO_CHARS]
+                    lists.append(found)
                     owner.append(i - start)
             sums = np.zeros((end - start, max(1, len(self.names))))
             words = np.zeros(end - start, np.int64)
             np.add.at(sums, owner, self.vectors.sums(lists) if self.names else 0.0)
             np.add.at(words, owner, np.fromiter(map(len, lists), np.int64, len(lists)))
+            for i, word in long:
+                words[i] += 1
+                if self.names:
+                    sums[i] += self.vector(word)
             best = sums.argmax(axis=1)
             # posterior with evidence that grows with the root of the number of words
             spread = (sums - sums.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(words, 1))[:, None]

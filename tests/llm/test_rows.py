@@ -126,6 +126,25 @@ def test_language_backs_off_to_shorter_grams(spark):
     assert predictor.predict(["1 2", None, ""])[0] == ["und"] * 3
 
 
+def test_language_reads_long_words_to_their_end(spark):
+    assert list(langid.grams("x" * 100 + "yz", 3))[-2:] == ["xyz", "yz "]
+    assert list(langid.grams("x" * 100 + "y", 1))[-1] == "y"
+    predictor = langid.Predictor(langid.fit(frame(spark, corpus(seed=2, documents=200))))
+    english = "".join(SYLLABLES["en"]) * 40
+    german = "".join(SYLLABLES["de"])
+    texts = [german * 2 + english, "the then", german * 2]
+    assert len(german) * 2 > 64
+    langs, scores = predictor.predict(texts)
+    assert langs == ["en", "en", "de"] and min(scores) > 0.5
+    assert max(map(len, predictor.vectors.index)) <= 64
+
+
+def test_language_counts_long_words_to_their_end(spark):
+    rows = [(i, "x" * 80 + "qqqqq", "en", "s", 1) for i in range(2)] + [(5, "aber", "de", "s", 1)]
+    predictor = langid.Predictor(langid.fit(frame(spark, rows)))
+    assert "qqqqq" in predictor.tables[5] and "qqqq " in predictor.tables[5]
+
+
 def test_language_without_training_rows(spark):
     model = langid.fit(frame(spark, corpus()).limit(0))
     got = langid.predict(frame(spark, corpus(documents=4)), model).collect()
