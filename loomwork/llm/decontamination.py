@@ -3,18 +3,19 @@
 Test items are the indexed side: each term has postings (item, impact) and, for each block of
 items with similar self scores, the largest impact. Every passage of every document is a query:
 overlapping windows that hold any item whole. A passage retrieves an item when its score is at
-least `SHARE` of the item's score for its own text. Bounds skip work without losing a result:
+least `SHARE` of the item's score for its own text, all of it for an item under `EXACT_BELOW`
+words. Bounds skip work without losing a result:
 the sum of a passage's largest impacts must reach the least threshold of all items, then the sum
 of its block maxima that of a block, and only items of blocks that pass are scored. Retrieved
-pairs are verified on word order: five-word runs of the question and words of the answer.
+pairs are verified on word order: five-word runs of the question and words of the answer; short
+items on their whole word sequence, which must occur as it stands.
 
 The index is built on the driver from the items, in parts of at most `PART_ITEMS` items, so what
 is broadcast is bounded; documents are scanned once for each part.
 
 Defined cases: words are runs of letters and digits in lower case; the last sentence of an item
-is its answer and the rest its question, an item of one sentence is cut in the middle; items
-under `MIN_WORDS` words are too short to prove a leak and match nothing; null and empty texts
-match nothing; items with equal texts each match; repeated documents match each; very long texts
+is its answer and the rest its question, an item of one sentence is cut in the middle; null and
+empty texts and texts without a word match nothing; items with equal texts each match; repeated documents match each; very long texts
 are queries as a whole; empty tables give empty results; further columns are left alone.
 """
 
@@ -35,7 +36,9 @@ K1, B = 1.2, 0.75
 #: share of an item's own score that retrieves it; shares of its runs and words that prove it
 SHARE, QUESTION, ANSWER = 0.5, 0.5, 0.6
 RUN = 5
-MIN_WORDS = 8
+#: words an item needs to match anything; items of fewer words than this match as a whole only
+MIN_WORDS = 1
+EXACT_BELOW = 8
 BLOCK_ITEMS = 16
 MOST_BLOCKS = 64
 PART_ITEMS = 5_000
@@ -82,12 +85,14 @@ class Index:
         size = np.array([len(w) for w in texts])
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean))
         own = np.bincount(item, impact, minlength=n)
-        # items in order of their own score: a block's items have similar thresholds
-        rank = np.argsort(own, kind="stable")
+        # a passage with the whole item scores as much as the item, but for rounding
+        needed = own * np.where(size < EXACT_BELOW, 1 - 1e-6, SHARE)
+        # items in order of what they need: a block's items have similar thresholds
+        rank = np.argsort(needed, kind="stable")
         place = np.empty(n, np.int64)
         place[rank] = np.arange(n)
         item = place[item]
-        self.needed = SHARE * own[rank]
+        self.needed = needed[rank]
         per_block = max(BLOCK_ITEMS, -(-n // MOST_BLOCKS))
         self.block_of = np.arange(n) // per_block
         blocks = int(self.block_of[-1]) + 1
@@ -99,12 +104,13 @@ class Index:
         self.item, self.impact = item[order], impact[order]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.terms)))])
         self.ids = [items[i][0] for i in rank]
-        self.question, self.answer = [], []
+        self.question, self.answer, self.exact = [], [], []
         for i in rank:
             q, a = ([self.terms[w] for w in part] for part in split[i])
             run = min(RUN, len(q))
             self.question.append({tuple(q[k : k + run]) for k in range(len(q) - run + 1)})
             self.answer.append(frozenset(a))
+            self.exact.append((*q, *a) if len(q) + len(a) < EXACT_BELOW else None)
         self.stride = max(LEAST_STRIDE, int(size.max()))
 
     def windows(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,6 +173,10 @@ class Index:
         return window[starts[keys[good] // len(self.ids)]], item[good], score[good]
 
     def overlap(self, words: list[int], item: int) -> tuple[float, float]:
+        exact = self.exact[item]
+        if exact is not None:
+            whole = float(exact in zip(*(words[k:] for k in range(len(exact))), strict=False))
+            return whole, whole
         question, answer = self.question[item], self.answer[item]
         run = len(next(iter(question))) if question else 1
         found = question.intersection(zip(*(words[k:] for k in range(run)), strict=False))

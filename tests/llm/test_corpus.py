@@ -248,6 +248,18 @@ def test_leaks_are_found_and_clean_documents_left(spark, part):
     assert all(r.question_overlap == 1 and r.answer_overlap == 1 for r in got)
 
 
+def test_short_items_match_as_a_whole_only(spark):
+    items = [*items_table(), (60, "Who wrote Emma? Jane Austen."), (61, "Two plus two? Four."), (62, "Xylophone")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    texts = [
+        "they asked who wrote emma -- jane austen, of course", "jane austen wrote it, but who knew emma",
+        "so two plus two four", "two plus four two", "a xylophone " * 300, "word " * 127 + "who wrote Emma jane austen",
+    ]
+    got = decontamination.leaks(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), table).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 60), (2, 61), (4, 62), (5, 60)]
+    assert {(r.question_overlap, r.answer_overlap) for r in got} == {(1.0, 1.0)}
+
+
 def test_block_max_pruning_loses_nothing():
     import pickle
 
