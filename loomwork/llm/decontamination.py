@@ -11,7 +11,8 @@ pairs are verified on word order: five-word runs of the question and words of th
 items on their whole word sequence, which must occur as it stands.
 
 The index is built on the driver from the items, in parts of at most `PART_ITEMS` items, so what
-is broadcast is bounded; documents are scanned once for each part.
+is broadcast is bounded; documents are scanned once for each part. Number, lengths and document
+frequencies are those of all items, so results are the same however many parts there are.
 
 Defined cases: words are runs of letters and digits in lower case; the last sentence of an item
 is its answer and the rest its question, an item of one sentence is cut in the middle; null and
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
@@ -61,18 +63,32 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return words[: (len(words) + 1) // 2], words[(len(words) + 1) // 2 :]
 
 
+def statistics(items: list[tuple]) -> tuple[int, float, Counter, int]:
+    """Number of items, their mean length, items by word, and the longest item's words."""
+    df: Counter = Counter()
+    sizes = []
+    for _, text in items:
+        words = [*chain.from_iterable(split_item(text))]
+        sizes.append(len(words))
+        df.update(set(words))
+    return len(items), sum(sizes) / max(1, len(items)), df, max(sizes, default=0)
+
+
 class Index:
-    """Impacts, block maxima and thresholds of test items."""
+    """Impacts, block maxima and thresholds of test items, which may be a part of all items."""
 
     def __init__(self, content: bytes) -> None:
-        items = pickle.loads(content)
+        loaded = pickle.loads(content)
+        items, (total, mean, frequency, longest) = (
+            loaded if isinstance(loaded, tuple) else (loaded, statistics(loaded))
+        )
         split = [split_item(text) for _, text in items]
         texts = [q + a for q, a in split]
         self.terms: dict[str, int] = {}
         for words in texts:
             for w in words:
                 self.terms.setdefault(w, len(self.terms))
-        n, mean = len(texts), sum(map(len, texts)) / max(1, len(texts))
+        n = len(texts)
         item, term, times = [], [], []
         for i, words in enumerate(texts):
             ids, counts = np.unique([self.terms[w] for w in words], return_counts=True)
@@ -80,8 +96,8 @@ class Index:
             term.append(ids)
             times.append(counts)
         item, term, tf = (np.concatenate(x) for x in (item, term, times))
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        df = np.array([frequency[w] for w in self.terms])
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
         size = np.array([len(w) for w in texts])
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean))
         own = np.bincount(item, impact, minlength=n)
@@ -111,7 +127,7 @@ class Index:
             self.question.append({tuple(q[k : k + run]) for k in range(len(q) - run + 1)})
             self.answer.append(frozenset(a))
             self.exact.append((*q, *a) if len(q) + len(a) < EXACT_BELOW else None)
-        self.stride = max(LEAST_STRIDE, int(size.max()))
+        self.stride = max(LEAST_STRIDE, longest)
 
     def windows(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (window, term) of all texts in order, and the first window of each text."""
@@ -225,8 +241,12 @@ def leaks(docs: DataFrame, items: DataFrame, part_items: int = PART_ITEMS) -> Da
     )
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     found = spark.createDataFrame([], schema)
+    total, mean, frequency, longest = statistics(listed)
     for start in range(0, len(listed), part_items):
-        shared = spark.sparkContext.broadcast(pickle.dumps(listed[start : start + part_items]))
+        part = listed[start : start + part_items]
+        words = {w: frequency[w] for _, text in part for w in chain.from_iterable(split_item(text))}
+        content = pickle.dumps((part, (total, mean, words, longest)))
+        shared = spark.sparkContext.broadcast(content)
 
         def run(batches, shared=shared):
             index = vocab.once(shared, Index)
@@ -245,6 +265,6 @@ def leaks(docs: DataFrame, items: DataFrame, part_items: int = PART_ITEMS) -> Da
                             ["doc_id", "h", "item_id", "score", "question_overlap", "answer_overlap"],
                         )
 
-        part = texts.mapInArrow(run, schema)
-        found = part if start == 0 else found.unionByName(part)
+        pairs = texts.mapInArrow(run, schema)
+        found = pairs if start == 0 else found.unionByName(pairs)
     return found

@@ -260,6 +260,16 @@ def test_short_items_match_as_a_whole_only(spark):
     assert {(r.question_overlap, r.answer_overlap) for r in got} == {(1.0, 1.0)}
 
 
+def test_scores_do_not_depend_on_the_parts_of_the_index(spark):
+    items = items_table()
+    table = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, leaking(items)[0])
+    whole, parts = (sorted(map(tuple, decontamination.leaks(docs, table, n).collect())) for n in (5_000, 13))
+    assert len(whole) == len(parts) > 10
+    for a, b in zip(whole, parts, strict=True):
+        assert a == pytest.approx(b)
+
+
 def test_block_max_pruning_loses_nothing():
     import pickle
 
