@@ -185,6 +185,27 @@ def test_toxicity_of_held_out_and_disguised_texts(spark):
     assert max(scorer.score(["", "then there", "book head", "1 2 3"])) < 0.5
 
 
+def test_toxic_words_are_found_anywhere_in_a_token(spark):
+    rows = labelled()
+    scorer = toxicity.Scorer(toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int")))
+    spaced = " ".join("blockhead")
+    tokens = [
+        "then,blockhead", "there.blockhead", "then-numbskull-there", "then,bl0ckh3ad", "numb$kull;then",
+        "b--l--o--c--k--h--e--a--d", "b" * 300 + "lockhead", "there-numb$kull",
+    ]
+    assert [t for t in tokens if not scorer.weight(t)] == []
+    often = collections.Counter(w for r in rows if not r[2] for w in r[1].split() if len(w) == 4)
+    usual = " ".join(" ".join(w) for w, _ in often.most_common(3))
+    assert len(usual) * 60 > 500
+    texts = [
+        " ".join("numbskullblockhead") + " there", "then b  l  o  c  k  h  e  a  d there",
+        " ".join("the") + " " + spaced + ".", f"{usual} " * 60 + spaced + f" {usual}" * 60,
+    ]
+    found = scorer.features(texts)[:, 0]
+    assert [t for t, most in zip(texts, found, strict=True) if not most] == []
+    assert not scorer.features(["there-then,the.re", "a b " * 300, "-" * 5_000, "x-" * 5_000]).any()
+
+
 def test_labelled_sample(spark):
     docs = frame(spark, corpus() + messy(), clash=True)
     labels = [(i, 1, i % 2) for i in range(50)] + [(3, 0, 0), (None, 1, 1), (4, 1, None), (9_999, 1, 1)]
