@@ -5,8 +5,8 @@ from __future__ import annotations
 import uuid
 
 from loomwork.llm import (
-    common, decontamination, langid, lm_scoring, near_duplicates, packing, pieces, quality, sharding,
-    token_counts, toxicity,
+    common, decontamination, langid, lm_scoring, near_duplicates, packing, periods, pieces, quality,
+    sharding, token_counts, toxicity,
 )
 from loomwork.plans.common import Registry
 from loomwork.session import checkpoint_folder
@@ -91,6 +91,11 @@ def op1(spark, sf_dir):
     return pieces.digests(common.documents(spark, sf_dir))
 
 
+@registry.add("op13_periodic_runs")
+def op13(spark, sf_dir):
+    return periods.digests(common.documents(spark, sf_dir))
+
+
 @registry.add("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
