@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from loomwork.llm import (
-    common, decontamination, langid, lm_scoring, near_duplicates, packing, periods, pieces, quality,
+    common, decontamination, langid, lm_scoring, mixing, near_duplicates, packing, periods, pieces, quality,
     sharding, token_counts, toxicity,
 )
 from loomwork.plans.common import Registry
@@ -91,6 +91,11 @@ def op1(spark, sf_dir):
     return pieces.digests(common.documents(spark, sf_dir))
 
 
+@registry.add("op12_source_mix", mixing.SQL)
+def op12(spark, sf_dir):
+    return mixing.Mix(common.documents(spark, sf_dir)).taken()
+
+
 @registry.add("op13_periodic_runs")
 def op13(spark, sf_dir):
     return periods.digests(common.documents(spark, sf_dir))
