@@ -6,7 +6,7 @@ import uuid
 
 from loomwork.llm import (
     common, decontamination, langid, lm_scoring, mixing, near_duplicates, packing, periods, pieces, quality,
-    sharding, token_counts, toxicity,
+    repair, sharding, token_counts, toxicity,
 )
 from loomwork.plans.common import Registry
 from loomwork.session import checkpoint_folder
@@ -91,6 +91,11 @@ def op1(spark, sf_dir):
     return pieces.digests(common.documents(spark, sf_dir))
 
 
+@registry.add("op11_conversation_repair")
+def op11(spark, sf_dir):
+    return repair.digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @registry.add("op12_source_mix", mixing.SQL)
 def op12(spark, sf_dir):
     return mixing.Mix(common.documents(spark, sf_dir)).taken()
