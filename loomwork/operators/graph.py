@@ -1,4 +1,4 @@
-"""Iterative graph operators: connected components and reachability.
+"""Iterative graph operators: connected components and reachability over chains.
 
 Each round is stored with a checkpoint, so lineage stays short and a lost executor costs one
 round at most. Neighbour lists are never collected: every step is a grouped minimum or an
@@ -56,67 +56,154 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
-def _shortcuts(hops: DataFrame, keys: list[str], doublings: int, growth: int) -> DataFrame:
-    """Add the pairs two hops apart, up to `doublings` times.
+class Chains:
+    """A directed graph cut into chains, for reachability in few rounds.
 
-    The number of pairs is known beforehand from the degrees; a doubling that would yield more
-    than `growth` pairs per hop (many calls meeting in one node) is not done.
+    Each node hands on to its nearest successor in id order, and a successor takes its nearest
+    predecessor; these links form vertex-disjoint chains. Pointer doubling gives every node its
+    chain (named by the first node) and its position, in a number of rounds that is logarithmic in
+    the longest chain. All other edges cross between chains. Who reaches a position of a chain
+    reaches all later ones, so a walk keeps the earliest position for each seed and chain, and
+    takes as many rounds as it changes chains, not as it passes nodes. Ids only shape the chains:
+    edges against their order, and cycles, are crossings.
+
+    nodes: (keys..., node, chain, pos); cross: (keys..., chain, i, to, j).
     """
-    for _ in range(doublings):
-        total = hops.count()
-        into = hops.groupBy(*keys, F.col("__next").alias("node")).agg(
-            F.count(F.lit(1)).alias("i"))
-        out = hops.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("o"))
-        pairs = into.join(out, [*keys, "node"]).agg(F.sum(F.col("i") * F.col("o"))).first()[0]
-        if not pairs or pairs > growth * total:
-            break
-        second = hops.select(*keys, "node", F.col("__next").alias("__mid")).join(
-            hops.select(*keys, F.col("node").alias("__mid"), "__next"), [*keys, "__mid"]
+
+    def __init__(self, edges: DataFrame, keys: list[str]) -> None:
+        self.keys = keys
+        e = cut_lineage(edges.select(*keys, "src", "dst").distinct())
+        down, up = e.agg(
+            F.count(F.when(F.col("dst") < F.col("src"), 1)), F.count(F.when(F.col("dst") > F.col("src"), 1))
+        ).first()
+        near_dst, near_src = (F.max, F.min) if down >= up else (F.min, F.max)
+        along = F.col("dst") < F.col("src") if down >= up else F.col("dst") > F.col("src")
+        links = e.filter(along).groupBy(*keys, "src").agg(near_dst("dst").alias("dst"))
+        links = links.groupBy(*keys, "dst").agg(near_src("src").alias("src"))
+        nodes = e.select(*keys, F.col("src").alias("node")).unionByName(
+            e.select(*keys, F.col("dst").alias("node"))
+        ).distinct()
+        first = nodes.join(links.withColumnRenamed("dst", "node"), [*keys, "node"], "left")
+        pointers = first.select(
+            *keys, "node", F.coalesce("src", "node").alias("chain"),
+            F.when(F.col("src").isNull(), 0).otherwise(1).cast("long").alias("pos"),
+        )
+        self.nodes = self._folded(cut_lineage(pointers))
+        a = self.nodes.select(*keys, F.col("node").alias("src"), "chain", F.col("pos").alias("i"))
+        b = self.nodes.select(
+            *keys, F.col("node").alias("dst"), F.col("chain").alias("to"), F.col("pos").alias("j")
+        )
+        crossing = e.join(a, [*keys, "src"]).join(b, [*keys, "dst"]).filter(
+            (F.col("chain") != F.col("to")) | (F.col("j") <= F.col("i"))
         )
-        hops = cut_lineage(
-            hops.unionByName(second.select(*keys, "node", "__next")).distinct()
+        self.cross = self._shortened(
+            cut_lineage(crossing.groupBy(*keys, "chain", "i", "to").agg(F.min("j").alias("j")))
         )
-    return hops
 
+    def _shortened(self, cross: DataFrame, doublings: int = 4, growth: int = 6) -> DataFrame:
+        """Crossings with those that two of them make, up to `doublings` times.
+
+        The degrees of the chains bound the pairs beforehand; a doubling that might yield more than
+        `growth` of them for each crossing is not done, and walks take more rounds instead.
+        """
+        keys = self.keys
+        for _ in range(doublings):
+            out = cross.groupBy(*keys, "chain").agg(F.count(F.lit(1)).alias("o"))
+            into = cross.groupBy(*keys, F.col("to").alias("chain")).agg(F.count(F.lit(1)).alias("n"))
+            pairs, total = out.join(into, [*keys, "chain"], "left").agg(
+                F.sum(F.col("n") * F.col("o")), F.sum("o")
+            ).first()
+            if not pairs or pairs > growth * total:
+                break
+            first = cross.select(
+                *keys, F.col("chain").alias("from"), F.col("i").alias("at"), F.col("to").alias("chain"),
+                F.col("j").alias("by"),
+            )
+            second = first.join(cross, [*keys, "chain"]).filter("i >= by").select(
+                *keys, F.col("from").alias("chain"), F.col("at").alias("i"), "to", "j"
+            )
+            both = cross.unionByName(second.filter("chain <> to or j <= i"))
+            cross = cut_lineage(both.groupBy(*keys, "chain", "i", "to").agg(F.min("j").alias("j")))
+        return cross
+
+    def _folded(self, pointers: DataFrame, hops: int = 3) -> DataFrame:
+        """Pointers followed to the first node of each chain; `hops` self-joins a stored round."""
+        keys = self.keys
+        while True:
+            base = pointers
+            for _ in range(hops):
+                step = base.select(
+                    *keys, F.col("node").alias("chain"), F.col("chain").alias("_to"), F.col("pos").alias("_d")
+                )
+                pointers = pointers.join(step, [*keys, "chain"]).select(
+                    *keys, "node", F.col("_to").alias("chain"), (F.col("pos") + F.col("_d")).alias("pos"),
+                    F.col("_d").alias("_moved"),
+                )
+            pointers = cut_lineage(pointers)
+            if not pointers.agg(F.max("_moved")).first()[0]:
+                return pointers.drop("_moved")
+            pointers = pointers.drop("_moved")
+
+    def crossings(self, against: bool = False) -> DataFrame:
+        """The crossing edges; against=True reverses them, with positions counted downwards."""
+        if not against:
+            return self.cross
+        return self.cross.select(
+            *self.keys, F.col("to").alias("chain"), (-F.col("j")).alias("i"), F.col("chain").alias("to"),
+            (-F.col("i")).alias("j"),
+        )
 
-def hop_table(
-    edges: DataFrame, keys: list[str], doublings: int = 3, growth: int = 6
-) -> DataFrame:
-    """(keys..., node, __next): the edges, stored, with shortcuts where they stay cheap."""
-    hops = cut_lineage(
-        edges.select(
-            *keys, F.col("src").alias("node"), F.col("dst").alias("__next")
-        ).distinct()
-    )
-    return _shortcuts(hops, keys, doublings, growth)
+    def starts(self, seeds: DataFrame, against: bool = False) -> DataFrame:
+        """(keys..., seed, chain, at): what seeds (keys..., seed, node) reach over one edge."""
+        sign = -1 if against else 1
+        at = seeds.join(self.nodes, [*self.keys, "node"]).select(
+            *self.keys, "seed", "chain", (F.lit(sign) * F.col("pos")).alias("at")
+        )
+        return first_steps(at, self.crossings(against), self.keys)
 
+    def expand(self, states: DataFrame, against: bool = False) -> DataFrame:
+        """(keys..., seed, node) of all nodes that states cover."""
+        sign = -1 if against else 1
+        met = states.join(self.nodes, [*self.keys, "chain"])
+        return met.filter(F.lit(sign) * F.col("pos") >= F.col("at")).select(*self.keys, "seed", "node")
 
-def reachable(
-    seeds: DataFrame,
-    edges: DataFrame | None,
-    keys: list[str],
-    hops: DataFrame | None = None,
-) -> DataFrame:
-    """(keys..., seed, node) for all nodes reachable over one or more edges.
 
-    seeds has (keys..., seed, node) where node is the start; edges has (keys..., src, dst).
-    Semi-naive: each round extends only the pairs the previous round found, and a pair that
-    is known already is not followed again, so cycles end. Pass `hops` from `hop_table` to
-    walk the same edges again.
-    """
-    at = [*keys, "seed", "node"]
-    hops = hop_table(edges, keys) if hops is None else hops
+def first_steps(at: DataFrame, cross: DataFrame, keys: list[str]) -> DataFrame:
+    """States behind (keys..., seed, chain, at), which themselves are not counted as reached."""
+    on = at.join(cross, [*keys, "chain"]).filter(F.col("i") == F.col("at"))
+    along = at.withColumn("at", F.col("at") + 1)
+    return along.unionByName(on.select(*keys, "seed", F.col("to").alias("chain"), F.col("j").alias("at")))
 
-    def step(frontier: DataFrame) -> DataFrame:
-        return (
-            frontier.join(hops, [*keys, "node"])
-            .select(*keys, "seed", F.col("__next").alias("node")).distinct()
-        )
 
-    frontier = cut_lineage(step(seeds.select(*at)))
+def walk(starts: DataFrame, cross: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., seed, chain, at): the earliest position that each seed reaches on each chain.
+
+    Semi-naive: a round follows only crossings between a position found in the last round and
+    the earlier best one, so no crossing is followed twice for a seed.
+    """
+    at = [*keys, "seed", "chain"]
+    frontier = cut_lineage(
+        starts.groupBy(*at).agg(F.min("at").alias("at")).withColumn("old", F.lit(None).cast("long"))
+    )
     found = frontier
-    while True:
-        if frontier.isEmpty():
-            return found
-        frontier = cut_lineage(step(frontier).join(found, at, "left_anti"))
+    while not frontier.isEmpty():
+        opened = frontier.join(cross, [*keys, "chain"]).filter(
+            (F.col("i") >= F.col("at")) & (F.col("old").isNull() | (F.col("i") < F.col("old")))
+        )
+        offered = opened.groupBy(*keys, "seed", F.col("to").alias("chain")).agg(F.min("j").alias("at"))
+        known = found.groupBy(*at).agg(F.min("at").alias("old"))
+        better = offered.join(known, at, "left").filter(F.col("old").isNull() | (F.col("at") < F.col("old")))
+        frontier = cut_lineage(better.select(*at, "at", "old"))
         found = found.unionByName(frontier)
+    return found.groupBy(*at).agg(F.min("at").alias("at"))
+
+
+def reachable(seeds: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., seed, node) for all nodes reachable over one or more edges.
+
+    seeds has (keys..., seed, node) where node is the start; edges has (keys..., src, dst). A seed
+    is reached by itself only over a cycle.
+    """
+    chains = Chains(edges, keys)
+    states = walk(chains.starts(seeds), chains.cross, keys)
+    return chains.expand(states).distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwork.functions.ordered import running
 from loomwork.functions.text import last_segment
-from loomwork.operators.graph import hop_table, reachable
+from loomwork.operators.graph import Chains, first_steps, reachable, walk
 from loomwork.session import cut_lineage
 
 TRANSFORM, MODEL, EVAL, OTHER = "T", "M", "E", "O"
@@ -124,56 +124,76 @@ def name_based_tags(calls: DataFrame) -> DataFrame:
     )
 
 
+def _named_first(chains: Chains, states: DataFrame) -> DataFrame:
+    """(script, call_id, first): the smallest (model, way) that covers each call, for both ways."""
+    keys = ["script", "chain"]
+    found = chains.nodes
+    for way, sign in (("b", 1), ("f", -1)):
+        entered = states.filter(F.col("way") == way).groupBy(
+            *keys, (F.lit(sign) * F.col("at")).alias("pos")
+        ).agg(F.min("seed").alias(f"enter_{way}"))
+        found = found.join(entered, [*keys, "pos"], "left")
+    for way, order in (("b", "pos"), ("f", "back")):
+        # a position from which a way goes on may lie behind the chain's last call: no row, no loss
+        found = found.withColumn("back", -F.col("pos"))
+        found = running(found, keys, order, minima={f"least_{way}": F.col(f"enter_{way}")})
+    firsts = [
+        F.when(F.col(f"least_{w}").isNotNull(), F.struct(F.col(f"least_{w}").alias("seed"), F.lit(w).alias("way")))
+        for w in ("b", "f")
+    ]
+    return found.select("script", F.col("node").alias("call_id"), F.least(*firsts).alias("first")).filter(
+        "first is not null"
+    )
+
+
 def propagate(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tags and model ids that spread over dependencies from the model calls.
 
     Returns (script, call_id, tag) for calls that had no tag, and (script, call_id,
     model_id) pairs. Models act in ascending order and the first one to reach a call decides:
-    what it depends on transforms, what depends on it evaluates. Both directions run in one
-    loop. Evaluation calls pass the model id, but no tag, on to what they depend on.
+    what it depends on transforms, what depends on it evaluates. Evaluation calls pass the
+    model id, but no tag, on to what they depend on.
+
+    Models walk chains of calls (`graph.Chains`), both ways in one loop. Tags are running minima
+    along the chains, so no pair of model and call is made for them. On a chain that a model
+    reaches going forward, its evaluation call nearest to the end covers what the others do, so the
+    second walk starts from one call for each model and chain.
     """
     base = named.select("script", "call_id", "tag", "dependencies")
-    links = cut_lineage(edges(base))
-    back = links.select(
-        "script", F.lit("b").alias("way"), F.col("call_id").alias("src"),
-        F.col("dep").alias("dst"),
-    )
-    forward = links.select(
-        "script", F.lit("f").alias("way"), F.col("dep").alias("src"),
-        F.col("call_id").alias("dst"),
-    )
+    links = edges(base).select("script", F.col("call_id").alias("src"), F.col("dep").alias("dst"))
+    chains = Chains(links, ["script"])
     models = base.filter(F.col("tag") == MODEL).select(
         "script", F.col("call_id").alias("seed"), F.col("call_id").alias("node")
     )
-    seeds = models.select("*", F.explode(F.array(F.lit("b"), F.lit("f"))).alias("way"))
-    hops = hop_table(back.unionByName(forward), ["script", "way"])
-    reach = reachable(seeds, None, ["script", "way"], hops=hops)
-    # of equal model ids the backward direction counts first, as 'b' < 'f'
-    first = reach.groupBy("script", F.col("node").alias("call_id")).agg(
-        F.min(F.struct("seed", "way")).alias("first")
+
+    def two_ways(of) -> DataFrame:
+        return of(False).withColumn("way", F.lit("b")).unionByName(of(True).withColumn("way", F.lit("f")))
+
+    states = cut_lineage(
+        walk(two_ways(lambda a: chains.starts(models, a)), two_ways(chains.crossings), ["script", "way"])
     )
-    spread = (
+    first = _named_first(chains, states)
+    spread = cut_lineage(
         base.filter("tag is null").join(first, ["script", "call_id"])
         .select(
             "script", "call_id",
             F.when(F.col("first.way") == "b", TRANSFORM).otherwise(EVAL).alias("tag"),
         )
     )
-    final = cut_lineage(
-        base.filter("tag is not null").select("script", "call_id", "tag").unionByName(spread)
-    )
-    evaluating = final.filter(F.col("tag") == EVAL).select(
-        "script", F.col("call_id").alias("node")
+    evaluating = base.filter(F.col("tag") == EVAL).select("script", "call_id").unionByName(
+        spread.filter(F.col("tag") == EVAL).select("script", "call_id")
     )
-    passing = reach.filter("way = 'f'").join(evaluating, ["script", "node"], "left_semi")
-    passed = reachable(
-        passing.select("script", "seed", "node"), None, ["script"],
-        hops=hops.filter("way = 'b'").drop("way"),
+    nearest = evaluating.withColumnRenamed("call_id", "node").join(chains.nodes, ["script", "node"])
+    nearest = nearest.groupBy("script", "chain").agg(F.min("pos").alias("pos"))
+    back, forward = (states.filter(F.col("way") == w).drop("way") for w in ("b", "f"))
+    passing = forward.join(nearest, ["script", "chain"]).filter(-F.col("pos") >= F.col("at"))
+    starts = first_steps(
+        passing.select("script", "seed", "chain", F.col("pos").alias("at")), chains.cross, ["script"]
     )
+    passed = walk(starts, chains.cross, ["script"])
     pairs = (
-        models.select("script", "seed", "node")
-        .unionByName(reach.select("script", "seed", "node")).unionByName(passed).distinct()
-        .select("script", F.col("node").alias("call_id"), F.col("seed").alias("model_id"))
+        models.unionByName(chains.expand(back.unionByName(passed))).unionByName(chains.expand(forward, against=True))
+        .distinct().select("script", F.col("node").alias("call_id"), F.col("seed").alias("model_id"))
     )
     return spread, pairs
 

@@ -78,22 +78,61 @@ def test_components_twice_change_nothing(spark):
     assert rows(once) == rows(again)
 
 
-@pytest.mark.parametrize("doublings", [0, 3])
-def test_reachable_with_cycle_and_chain(spark, doublings):
-    rng = random.Random(2)
-    edges = {(i, i + 1) for i in range(30)} | {(12, 9)}
-    edges |= {(rng.randrange(40), rng.randrange(40)) for _ in range(20)}
-    e = spark.createDataFrame([("s", a, b) for a, b in edges], "k string, src int, dst int")
-    seeds = spark.createDataFrame([("s", 0, 0), ("s", 20, 20)], "k string, seed int, node int")
-    hops = graph.hop_table(e, ["k"], doublings=doublings)
-    got = {(r["seed"], r["node"]) for r in graph.reachable(seeds, None, ["k"], hops=hops).collect()}
+def closure(seeds, edges):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
     want = set()
-    for s in (0, 20):
+    for s in seeds:
         work = [s]
         while work:
-            for a, b in edges:
-                if a == work[0] and (s, b) not in want:
+            for b in out.get(work.pop(), []):
+                if (s, b) not in want:
                     want.add((s, b))
                     work.append(b)
-            work.pop(0)
-    assert got == want
+    return want
+
+
+def random_graph(seed):
+    rng = random.Random(seed)
+    if seed % 4 == 0:  # a long chain with a cycle and random edges
+        edges = {(i, i + 1) for i in range(30)} | {(12, 9)}
+        return edges | {(rng.randrange(40), rng.randrange(40)) for _ in range(20)}
+    if seed % 4 == 1:  # a ladder: each node leads to the next two
+        return {(i, i + d) for i in range(60) for d in (1, 2)}
+    if seed % 4 == 2:  # descending edges
+        return {(a, rng.randrange(max(0, a - 9), a)) for a in range(1, 80) for _ in range(2)}
+    return {(rng.randrange(25), rng.randrange(25)) for _ in range(40)}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_reachable_both_ways(spark, seed):
+    edges = random_graph(seed)
+    starts = (0, 5, 20, 59)
+    e = spark.createDataFrame([("s", a, b) for a, b in edges], "k string, src int, dst int")
+    seeds = spark.createDataFrame([("s", a, a) for a in starts], "k string, seed int, node int")
+    got = {(r["seed"], r["node"]) for r in graph.reachable(seeds, e, ["k"]).collect()}
+    assert got == closure(starts, edges)
+    chains = graph.Chains(e, ["k"])
+    states = graph.walk(chains.starts(seeds, True), chains.crossings(True), ["k"])
+    got = {(r["seed"], r["node"]) for r in chains.expand(states, True).collect()}
+    assert got == closure(starts, {(b, a) for a, b in edges})
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    stored = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: rounds.append(1) or stored(df))
+    e = spark.range(800).select(
+        F.lit("s").alias("k"), (F.col("id") + 1).alias("src"), F.col("id").alias("dst")
+    )
+    seeds = spark.createDataFrame([("s", 800, 800), ("s", 400, 400)], "k string, seed long, node long")
+    found = graph.reachable(seeds, e, ["k"]).groupBy("seed").count()
+    assert rows(found) == [(400, 400), (800, 800)]
+    assert len(rounds) <= 10
+
+
+def test_reachable_without_edges(spark):
+    none = spark.createDataFrame([], "k string, src int, dst int")
+    seeds = spark.createDataFrame([("s", 1, 1)], "k string, seed int, node int")
+    assert graph.reachable(seeds, none, ["k"]).count() == 0
