@@ -4,6 +4,9 @@ A plain window sends every row of a key to one task. Here the rows of a key are
 chunks of consecutive order values, so one task sees at most `chunk_rows` rows of a key (the
 order column holds distinct integers per key). Chunk summaries, one row per chunk, carry the
 state across chunks. Keys and order values must not be null.
+
+Where order values may lie far apart, `ranked` first replaces them by places in a global sort: then
+a key has about one chunk for each `chunk_rows` of its rows, whatever its values are.
 """
 
 from __future__ import annotations
@@ -16,6 +19,16 @@ CHUNK_ROWS = 1 << 16
 _CHUNK = "__chunk"
 
 
+def ranked(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """Add places by (keys, order), stored: consecutive inside each range of the sort.
+
+    Ranges begin at multiples of 2^33, so chunks of a power of two up to that hold consecutive
+    rows only, and one key has rows / chunk_rows of them, and one more for each range it touches.
+    """
+    placed = df.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order)
+    return cut_lineage(placed.withColumn(name, F.monotonically_increasing_id()))
+
+
 def _chunked(df: DataFrame, order: str, chunk_rows: int) -> DataFrame:
     return df.withColumn(_CHUNK, F.expr(f"`{order}` div {chunk_rows}"))
 

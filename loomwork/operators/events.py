@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomwork.functions.ordered import CHUNK_ROWS, running
+from loomwork.functions.ordered import CHUNK_ROWS, ranked, running
 from loomwork.functions.text import first_segment
 from loomwork.session import cut_lineage
 
@@ -19,14 +19,28 @@ RELEVANT_MODULES = ("sklearn", "xgboost")
 UNKNOWN = -1
 
 
+#: name of the places that `ranked` gives to rows
+PLACE = "__place"
+
+
+def placed(events: DataFrame) -> DataFrame:
+    """The rows with their place in the order of all scripts; sequence numbers may have gaps."""
+    return events if PLACE in events.columns else ranked(events, ["script"], "seq", PLACE)
+
+
+def _finished(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Without the places, unless the caller brought them."""
+    return rows if PLACE in events.columns else rows.drop(PLACE)
+
+
 def number_calls(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add call_id: calls so far, from 0, counted whether recorded later or not.
 
     Other kinds of rows carry the id of the latest call, -1 before the first.
     """
     is_call = (F.col("kind") == "call").cast("long")
-    numbered = running(events, ["script"], "seq", sums={"__n": is_call}, chunk_rows=chunk_rows)
-    return numbered.withColumn("call_id", F.col("__n") - 1).drop("__n")
+    numbered = running(placed(events), ["script"], PLACE, sums={"__n": is_call}, chunk_rows=chunk_rows)
+    return _finished(numbered.withColumn("call_id", F.col("__n") - 1).drop("__n"), events)
 
 
 def filter_relevant(calls: DataFrame, modules=RELEVANT_MODULES) -> DataFrame:
@@ -41,15 +55,16 @@ def balance(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     step = (
         F.when(F.col("kind") == "enter", 1).when(F.col("kind") == "exit", -1).otherwise(0)
     ).cast("long")
-    summed = running(events, ["script"], "seq", sums={"__raw": step}, chunk_rows=chunk_rows)
+    summed = running(placed(events), ["script"], PLACE, sums={"__raw": step}, chunk_rows=chunk_rows)
     floored = running(
-        summed, ["script"], "seq", minima={"__low": F.col("__raw")}, chunk_rows=chunk_rows,
+        summed, ["script"], PLACE, minima={"__low": F.col("__raw")}, chunk_rows=chunk_rows,
         exclusive=True,
     )
     low = F.least(F.coalesce("__low", F.lit(0)), F.lit(0))
     stray = (F.col("kind") == "exit") & (F.col("__raw") < low)
     depth = F.col("__raw") - F.least(low, F.col("__raw"))
-    return floored.withColumns({"depth": depth, "stray": stray}).drop("__raw", "__low")
+    leveled = floored.withColumns({"depth": depth, "stray": stray}).drop("__raw", "__low")
+    return _finished(leveled, events)
 
 
 def loop_context(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -57,18 +72,19 @@ def loop_context(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 
     The innermost open loop is the last one entered at the current depth.
     """
-    leveled = balance(events, chunk_rows)
+    leveled = balance(placed(events), chunk_rows)
     entered = F.when(F.col("kind") == "enter", F.col("loop_id"))
     outermost = ((F.col("kind") == "enter") & (F.col("depth") == 1)).cast("long")
     counted = running(
-        leveled, ["script"], "seq", sums={"episode": outermost}, chunk_rows=chunk_rows
+        leveled, ["script"], PLACE, sums={"episode": outermost}, chunk_rows=chunk_rows
     )
     named = running(
-        counted, ["script", "depth"], "seq", lasts={"__loop": entered}, chunk_rows=chunk_rows
+        counted, ["script", "depth"], PLACE, lasts={"__loop": entered}, chunk_rows=chunk_rows
     )
-    return named.withColumn(
+    context = named.withColumn(
         "current_loop", F.when(F.col("depth") > 0, F.col("__loop"))
     ).drop("__loop")
+    return _finished(context, events)
 
 
 def suppress_loop_repeats(calls: DataFrame) -> DataFrame:
@@ -85,25 +101,26 @@ def suppress_loop_repeats(calls: DataFrame) -> DataFrame:
     return calls.filter("depth = 0").unionByName(kept)
 
 
-def resolve_dependencies(numbered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(script, seq, dependencies) for every call: the call ids its values came from.
+def dependency_pairs(numbered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(script, reader, origin): the call ids that the values of each row came from, -1 unknown.
 
-    A 'dep' row gives its lhs values either the latest call (value_ids null) or whatever the
-    values in value_ids depend on at that moment. The last write before a read is found as a
-    running last value per (script, value). Chains of plain copies are then shortened by
-    pointer doubling, so a chain of length n takes log2(n) rounds.
+    Rows must have places (`placed`); `reader` is the place of the reading row. A 'dep' row gives its lhs
+    values either the latest call (value_ids null) or whatever the values in value_ids depend on
+    at that moment. The last write before a read is found as a running last value per (script,
+    value). Chains of plain copies are then shortened by pointer doubling, so a chain of length n
+    takes log2(n) rounds.
     """
     deps = numbered.filter("kind = 'dep'")
-    writes = deps.select("script", F.explode("lhs_ids").alias("value"), "seq").distinct()
+    writes = deps.select("script", F.explode("lhs_ids").alias("value"), PLACE).distinct()
     reads = (
         numbered.filter("kind in ('call', 'dep') and value_ids is not null")
-        .select("script", F.explode("value_ids").alias("value"), "seq").distinct()
+        .select("script", F.explode("value_ids").alias("value"), PLACE).distinct()
     )
     touches = writes.select(
-        "script", "value", (F.col("seq") * 2 + 1).alias("at"), F.col("seq").alias("write")
+        "script", "value", (F.col(PLACE) * 2 + 1).alias("at"), F.col(PLACE).alias("write")
     ).unionByName(
         reads.select(
-            "script", "value", (F.col("seq") * 2).alias("at"),
+            "script", "value", (F.col(PLACE) * 2).alias("at"),
             F.lit(None).cast("long").alias("write"),
         )
     )
@@ -112,7 +129,7 @@ def resolve_dependencies(numbered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> D
         chunk_rows=2 * chunk_rows,
     ).filter("write is null")
     origins = deps.select(
-        "script", F.col("seq").alias("source"),
+        "script", F.col(PLACE).alias("source"),
         F.when(F.col("value_ids").isNull(), F.col("call_id")).alias("origin"),
     )
     links = (
@@ -141,13 +158,22 @@ def resolve_dependencies(numbered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> D
         state = cut_lineage(
             state.filter("next is null").unionByName(moved).distinct()
         )
-    sets = state.groupBy("script", F.col("reader").alias("seq")).agg(
+    return state.select("script", "reader", "origin")
+
+
+def resolve_dependencies(numbered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(script, seq, dependencies) for every call: the call ids its values came from.
+
+    The array is what a recorded call holds; `dependency_pairs` gives the same in long form.
+    """
+    rows = placed(numbered)
+    sets = dependency_pairs(rows, chunk_rows).groupBy("script", F.col("reader").alias(PLACE)).agg(
         F.sort_array(F.collect_set("origin")).alias("dependencies")
     )
-    return numbered.filter("kind = 'call'").select("script", "seq").join(
-        sets, ["script", "seq"], "left"
-    ).withColumn(
-        "dependencies", F.coalesce("dependencies", F.array().cast("array<bigint>"))
+    calls = rows.filter("kind = 'call'").select("script", "seq", PLACE)
+    return calls.join(sets, ["script", PLACE], "left").select(
+        "script", "seq",
+        F.coalesce("dependencies", F.array().cast("array<bigint>")).alias("dependencies"),
     )
 
 
@@ -155,9 +181,12 @@ def reduce_events(
     events: DataFrame, modules=RELEVANT_MODULES, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Recorded calls with call_id, loop, and dependencies (all rules in order)."""
-    numbered = cut_lineage(number_calls(events, chunk_rows))
-    placed = loop_context(numbered, chunk_rows)
-    recorded = suppress_loop_repeats(filter_relevant(placed.filter("kind = 'call'"), modules))
+    numbered = cut_lineage(number_calls(placed(events), chunk_rows))
+    # values and ids of values take no part in the passes over loops
+    narrow = numbered.drop("value_ids", "lhs_ids")
+    recorded = suppress_loop_repeats(
+        filter_relevant(loop_context(narrow, chunk_rows).filter("kind = 'call'"), modules)
+    )
     return recorded.join(resolve_dependencies(numbered, chunk_rows), ["script", "seq"]).select(
         "script", "seq", "call_id", "static_instr_id",
         F.col("current_loop").alias("static_loop_id"),

@@ -9,7 +9,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomwork.functions.ordered import CHUNK_ROWS, dense_index, previous, running
+from loomwork.functions.ordered import CHUNK_ROWS, dense_index, previous, ranked, running
 from loomwork.operators.tagging import OTHER, component_name
 
 START = "<START>"
@@ -28,48 +28,63 @@ def _padded(before: Column, n: int) -> Column:
     return F.concat(F.array_repeat(F.lit(START), F.lit(n - 1) - F.size(before)), before)
 
 
+PLACE = "__place"
+
+
+def _placed(seqs: DataFrame, keys: list[str], order: str, dense: bool) -> DataFrame:
+    return seqs.withColumn(PLACE, F.col(order)) if dense else ranked(seqs, keys, order, PLACE)
+
+
 def ngrams(
     seqs: DataFrame, n: int, keys: list[str] | None = None, order: str = "pos",
-    value: str = "component", chunk_rows: int = CHUNK_ROWS,
+    value: str = "component", chunk_rows: int = CHUNK_ROWS, dense: bool = False,
 ) -> DataFrame:
-    """Add `ngram`: the n values that end at each row, padded with <START> on the left."""
+    """Add `ngram`: the n values that end at each row, padded with <START> on the left.
+
+    dense=True says that `order` counts on without large gaps, as positions of a program do;
+    otherwise rows get places by one sort first.
+    """
     if n < 1:
         raise ValueError("n must be at least 1")
     if n == 1:
         return seqs.withColumn("ngram", F.array(value))
+    keys = keys or ["prog"]
     rows = previous(
-        seqs, keys or ["prog"], order, F.col(value), n - 1, "__before", chunk_rows
+        _placed(seqs, keys, order, dense), keys, PLACE, F.col(value), n - 1, "__before", chunk_rows
     )
     return rows.withColumn(
         "ngram", F.concat(_padded(F.col("__before"), n), F.array(value))
-    ).drop("__before")
+    ).drop("__before", PLACE)
 
 
 def seq_unique_ngrams(
     seqs: DataFrame, n: int, keys: list[str] | None = None, order: str = "pos",
-    value: str = "component", chunk_rows: int = CHUNK_ROWS,
+    value: str = "component", chunk_rows: int = CHUNK_ROWS, dense: bool = False,
 ) -> DataFrame:
     """As ngrams, over the sequence without consecutive repeats, aligned to every row."""
     keys = keys or ["prog"]
-    near = previous(seqs, keys, order, F.col(value), 1, "__last", chunk_rows)
+    near = previous(
+        _placed(seqs, keys, order, dense), keys, PLACE, F.col(value), 1, "__last", chunk_rows
+    )
     last = F.get("__last", F.lit(0))
     starts = (last.isNull() | (last != F.col(value))).cast("long")
     runs = running(
-        near.withColumn("__start", starts).drop("__last"), keys, order,
+        near.withColumn("__start", starts).drop("__last"), keys, PLACE,
         sums={"__run": F.col("__start")}, chunk_rows=chunk_rows,
-    )
+    ).drop(PLACE)
     heads = runs.filter("__start = 1").select(*keys, "__run", value)
-    grams = ngrams(heads, n, keys, "__run", value, chunk_rows).select(*keys, "__run", "ngram")
-    return runs.join(grams, [*keys, "__run"]).drop("__run", "__start")
+    grams = ngrams(heads, n, keys, "__run", value, chunk_rows, dense=True)
+    return runs.join(grams.select(*keys, "__run", "ngram"), [*keys, "__run"]).drop("__run", "__start")
 
 
 def observations(
-    progs: DataFrame, n: int, keys: list[str] | None = None, chunk_rows: int = CHUNK_ROWS
+    progs: DataFrame, n: int, keys: list[str] | None = None, chunk_rows: int = CHUNK_ROWS,
+    dense: bool = False,
 ) -> DataFrame:
     """Rows (keys..., pos, role, prev, component). Role O is dropped after the n-grams, so
     such calls still appear as context."""
     keys = keys or ["prog"]
-    rows = seq_unique_ngrams(progs, n, keys, chunk_rows=chunk_rows)
+    rows = seq_unique_ngrams(progs, n, keys, chunk_rows=chunk_rows, dense=dense)
     return rows.filter(F.col("tag") != OTHER).select(
         *keys, "pos", F.col("tag").alias("role"),
         F.slice("ngram", 1, n - 1).alias("prev") if n > 1

@@ -215,7 +215,7 @@ def _observations(spark: SparkSession, sf: str) -> DataFrame:
 @registry.add("featurize")
 def featurize(spark: SparkSession, sf: str) -> DataFrame:
     data, _ = pr.featurize(
-        sq.observations(turns(spark, sf), 3), KEYS, arg_features(spark, sf)
+        sq.observations(turns(spark, sf), 3, dense=True), KEYS, arg_features(spark, sf)
     )
     return data.select(
         "prog", "pos", F.size(cl.vector_to_array("features")).alias("width"), "label"

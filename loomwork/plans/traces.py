@@ -520,7 +520,7 @@ def seq_unique_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     f"with {_OBS_SQL} select prog, pos, role, p0 || ' ' || p1 as prev, component from obs",
 )
 def observations(spark: SparkSession, sf: str) -> DataFrame:
-    return sq.observations(turns(spark, sf), 3).select(
+    return sq.observations(turns(spark, sf), 3, dense=True).select(
         "prog", "pos", "role", F.array_join("prev", " ").alias("prev"), "component"
     )
 
@@ -583,7 +583,7 @@ def clean_features(spark: SparkSession, sf: str) -> DataFrame:
     "feature_rows", f"with {_ROWS_SQL} select prog, pos, feature, round(num, 6) as num, str from rows"
 )
 def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
-    obs = sq.observations(turns(spark, sf), 3)
+    obs = sq.observations(turns(spark, sf), 3, dense=True)
     return sq.feature_rows(obs, ["prog", "pos"], arg_features(spark, sf)).withColumn(
         "num", F.round("num", 6)
     )
@@ -595,7 +595,7 @@ def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
 from enc join vocab using (name)""",
 )
 def vectorize(spark: SparkSession, sf: str) -> DataFrame:
-    obs = sq.observations(turns(spark, sf), 3)
+    obs = sq.observations(turns(spark, sf), 3, dense=True)
     rows = sq.feature_rows(obs, ["prog", "pos"], arg_features(spark, sf))
     return sq.vectorize(rows, ["prog", "pos"], sq.vocabulary(rows)).withColumn(
         "value", F.round("value", 6)
@@ -636,4 +636,4 @@ def previous_components(spark: SparkSession, sf: str) -> DataFrame:
     "component_catalog", f"with {_OBS_SQL} select distinct role, component from obs"
 )
 def component_catalog(spark: SparkSession, sf: str) -> DataFrame:
-    return sq.component_catalog(sq.observations(turns(spark, sf), 2))
+    return sq.component_catalog(sq.observations(turns(spark, sf), 2, dense=True))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.functions.ordered import dense_index, previous, running
+from loomwork.functions.ordered import CHUNK_ROWS, dense_index, previous, ranked, running
 from loomwork.operators import graph
 
 from .conftest import rows
@@ -78,6 +78,17 @@ def test_components_twice_change_nothing(spark):
     assert rows(once) == rows(again)
 
 
+def test_sparse_order_values_give_few_chunks(spark):
+    df = spark.range(20_000).select(
+        F.lit("k").alias("k"), (F.col("id") * F.col("id") * 1_000_003).alias("i"), F.lit(1).alias("v")
+    ).repartition(3)
+    placed = ranked(df, ["k"], "i", "place")
+    chunks = placed.select(F.expr(f"place div {CHUNK_ROWS}")).distinct().count()
+    assert chunks <= 4  # one for each range of the sort
+    got = running(placed, ["k"], "place", sums={"n": F.col("v")}).orderBy("i").select("n").collect()
+    assert [r["n"] for r in got] == list(range(1, 20_001))
+
+
 def closure(seeds, edges):
     out = {}
     for a, b in edges:

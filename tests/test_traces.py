@@ -96,6 +96,13 @@ def test_long_copy_chain_takes_few_rounds(spark, monkeypatch):
     assert len(rounds) < 12
 
 
+def test_sequence_numbers_may_have_gaps(spark):
+    events = random_events(7)
+    far = [(e[0], e[1] * 10**12, *e[2:]) for e in events]
+    got = shown(ev.reduce_events(spark.createDataFrame(far, EVENT), False))
+    assert got == replay(far, False)
+
+
 def test_stray_exit_is_flagged(spark):
     kinds = ["exit", "enter", "exit", "exit", "call"]
     df = spark.createDataFrame(
