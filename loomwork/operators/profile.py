@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from loomwork.functions import stats
+from loomwork.session import cut_lineage
 
 NUMERIC = (
     T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -26,6 +27,9 @@ SKETCH_ACCURACY = 20000
 # bracket half-widths with the row counts from which they surely hold the wanted rank
 BRACKETS = ((2e-4, 60000), (1e-2, 2000))
 NOMINAL_SAMPLE_ROWS = 100
+#: different values that a rank is looked for among, and parts that a larger bracket is cut into
+RANK_ROWS = 1 << 16
+RANGES = 1024
 COLUMN_STATS = (
     "mean", "geometric_mean", "median", "min_zscore", "max_zscore", "zscore", "iqr", "std",
     "max", "min", "count_nonzero", "skew", "kurtosis", "missing",
@@ -112,10 +116,37 @@ def _bracketed(
     )
 
 
+def _narrowed(values: DataFrame, wanted: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The values near each wanted rank, and the ranks with the rows that are below them.
+
+    `values` has keys, v and rows, `wanted` keys, below and lower (a rank). The range of values is
+    cut into RANGES equal parts, and the parts that hold the ranks lower and lower + 1 stay.
+    """
+    span = values.groupBy(*keys).agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"))
+    share = F.try_divide(F.col("v") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * RANGES), F.lit(RANGES - 1))
+    cut = values.join(span, keys).withColumn("__part", part).drop("__lo", "__hi")
+    order = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    counts = cut.groupBy(*keys, "__part").agg(F.sum("rows").alias("__rows"))
+    counts = counts.withColumn("__upto", F.sum("__rows").over(order)).join(wanted, keys)
+    end = F.col("below") + F.col("__upto")
+    start = end - F.col("__rows")
+    kept = counts.filter((end > F.col("lower")) & (start <= F.col("lower") + 1)).withColumn("__start", start)
+    kept = cut_lineage(kept)
+    near = cut.join(kept.select(*keys, "__part"), [*keys, "__part"], "left_semi").drop("__part")
+    below = kept.groupBy(*keys, "lower").agg(F.min("__start").alias("below"))
+    return cut_lineage(near), below.select(*keys, "below", "lower")
+
+
 def _ranks(
-    placed: DataFrame, totals: DataFrame, cols: list[str], probs: list[float], by: list[str]
+    placed: DataFrame, totals: DataFrame, cols: list[str], probs: list[float], by: list[str],
+    rank_rows: int = RANK_ROWS,
 ) -> DataFrame:
-    """Interpolated quantiles from rows inside the brackets and counts `__b_i_j` below them."""
+    """Interpolated quantiles from rows inside the brackets and counts `__b_i_j` below them.
+
+    The different values inside the brackets are stored. A bracket with more than `rank_rows` of
+    them is narrowed by counts of value ranges until no rank is looked for among more.
+    """
     pairs = [(i, j) for i in range(len(cols)) for j in range(len(probs))]
     keys = [_q(k) for k in by]
     hits = ", ".join(
@@ -130,8 +161,24 @@ def _ranks(
     below = totals.selectExpr(
         *keys, f"stack({len(pairs)}, {counts}) as (i, j, below, n)"
     )
-    order = Window.partitionBy(*by, "i", "j").orderBy("v")
-    ranked = inside.select(*by, "cell.i", "cell.j", "cell.v", "rows").select(
+    values = cut_lineage(inside.select(*by, "cell.i", "cell.j", "cell.v", "rows"))
+    place = [*by, "i", "j"]
+
+    def most() -> int:
+        return values.groupBy(*place).count().agg(F.max("count")).first()[0] or 0
+
+    many, before = most(), None
+    if many > rank_rows:
+        each = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("j") + 1)
+        below = cut_lineage(below)
+        total = below.select(*place, "n")
+        wanted = below.select(*place, "below", F.floor(each * (F.col("n") - 1)).alias("lower"))
+        while many > rank_rows and many != before:
+            values, wanted = _narrowed(values, wanted, place)
+            many, before = most(), many
+        below = wanted.join(total, place).select(*place, "below", "n")
+    order = Window.partitionBy(*place).orderBy("v")
+    ranked = values.select(
         "*",
         F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
         F.lead("v").over(order).alias("next"),
@@ -162,7 +209,8 @@ def _rank_counts(cols: list[str], probs: list[float]) -> list[Column]:
 
 
 def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None
+    df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None,
+    rank_rows: int = RANK_ROWS,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: rows (by..., column, prob, value).
 
@@ -172,7 +220,7 @@ def exact_quantiles(
     by = by or []
     placed = _bracketed(_numbers(df, by, cols), cols, probs, by)
     totals = placed.groupBy(*by).agg(*_rank_counts(cols, probs))
-    return _ranks(placed, totals, cols, probs, by)
+    return _ranks(placed, totals, cols, probs, by, rank_rows)
 
 
 def numeric_column_stats(

@@ -74,6 +74,18 @@ def test_exact_quantiles_match_numpy(spark, hot):
         assert r["value"] == pytest.approx(want, rel=1e-12)
 
 
+def test_brackets_are_narrowed_until_they_fit(spark):
+    # most values lie close together, so that equal ranges hold very different numbers of them
+    value = F.exp(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 60_000.0)
+    df = spark.range(30_000).select(value.alias("v"), (F.col("id") % 2).alias("g"))
+    local = df.toPandas()
+    for r in p.exact_quantiles(df, ["v"], [0.1, 0.5], by=["g"], rank_rows=3).collect():
+        want = np.quantile(local[local["g"] == r["g"]]["v"], r["prob"])
+        assert r["value"] == pytest.approx(want, rel=1e-12)
+    constant = spark.range(9).select(F.lit(2.5).alias("v"))
+    assert rows(p.exact_quantiles(constant, ["v"], [0.5], rank_rows=0)) == [("v", 0.5, 2.5)]
+
+
 def test_quantiles_of_one_row(spark):
     df = spark.createDataFrame([(3.5,)], "x double")
     assert rows(p.exact_quantiles(df, ["x"], [0.5])) == [("x", 0.5, 3.5)]
@@ -168,10 +180,14 @@ def test_cells_are_sampled_at_any_size(spark):
 
 
 def test_erf(spark):
-    values = [-8.0, -1.5, -1e-3, 0.0, 0.3, 2.7, 6.5]
+    values = [-math.inf, -8.0, -1.5, -1e-3, 0.0, 0.46875, 4.0, 6.5, math.inf]
+    values += [i / 97 for i in range(-700, 700)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = [r[0] for r in df.select(stats.erf("x")).collect()]
+    got = [r[0] for r in df.select(stats.erf(F.col("x"))).collect()]
     assert got == pytest.approx([math.erf(v) for v in values], abs=1e-15)
+    odd = spark.createDataFrame([(math.nan,), (None,)], "x double").select(stats.erf(F.col("x")))
+    plan = odd._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and math.isnan(odd.collect()[0][0]) and odd.collect()[1][0] is None
 
 
 def test_cumulative_curves(spark):
