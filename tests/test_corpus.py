@@ -141,3 +141,44 @@ def test_edit_distance_sample_is_bounded(spark):
     assert got.count() == 2 * 10
     distances = [r["distance"] for r in got.collect()]
     assert distances == sorted(distances)
+
+
+def clustered(spark, clusters, rng):
+    """Texts of about one length; only those of the same cluster share most of their letters."""
+    texts = []
+    for c in range(clusters):
+        letters = [chr(0x4E00 + 40 * c + i) for i in range(8)]
+        for _ in range(12):
+            texts.append("".join(rng.choices(letters, k=rng.randint(90, 110))))
+    rng.shuffle(texts)
+    return spark.createDataFrame(
+        [(i, "g", t) for i, t in enumerate(texts)], "id long, k string, script string"
+    ).repartition(4), texts
+
+
+def test_cells_keep_all_pairs_and_skip_distant_ones(spark):
+    rng = random.Random(3)
+    compared = []
+    for clusters in (12, 48):
+        df, texts = clustered(spark, clusters, rng)
+        items = sim.with_char_counts(df)
+        banded = sim._banded(items, sim.THRESHOLD).withColumn("comp", F.col("id"))
+        spread, pairs = sim.tile_pairs(banded, ["k"], sim.THRESHOLD, 32, forest=False)
+        place = ["__band", "__node", "__tile"]
+        sizes = {tuple(r[c] for c in place): r["count"] for r in spread.groupBy(*place).count().collect()}
+        compared.append(
+            sum(
+                sizes[r["__band1"], r["__node1"], r["__tile1"]] * sizes[r["__band2"], r["__node2"], r["__tile2"]]
+                for r in pairs.collect()
+            )
+        )
+    got = {(r["id1"], r["id2"]) for r in sim.similar_pairs(items, ["k"], tile_rows=32).collect()}
+    counts = [Counter(t) for t in texts]
+    want = {
+        (i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))
+        if 2 * sum((counts[i] & counts[j]).values()) / (len(texts[i]) + len(texts[j])) > sim.THRESHOLD
+    }
+    assert got == want and want
+    # four times the texts: 16 times the pairs, but about four times the compared ones
+    assert compared[1] < 6 * compared[0]
+    assert compared[1] < 0.2 * len(texts) ** 2 / 2
