@@ -8,7 +8,7 @@ from loomwork.functions.stats import neat
 from loomwork.operators import automl, column_loop as cl, predictor as pr, sequences as sq
 from loomwork.operators.tagging import MODEL, TRANSFORM
 from loomwork.plans.common import Registry, table
-from loomwork.plans.traces import arg_features, turns
+from loomwork.plans.traces import ROWS_SQL, arg_features, turns
 from loomwork.schemas import CANDIDATES
 
 registry = Registry()
@@ -34,10 +34,20 @@ def customers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@registry.add("cap_rows")
+# drawn rows, fitted models and searches have no SQL counterpart: their queries return what must
+# hold of the result, row by row where it has rows
+@registry.add(
+    "cap_rows",
+    f"""select least(count(*), {automl.MAX_ROWS}) as drawn, least(count(*), {automl.MAX_ROWS}) as known
+from lineitem""",
+)
 def cap_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return automl.cap_rows(table(spark, sf, "lineitem"), automl.MAX_ROWS).select(
-        "l_orderkey", "l_linenumber"
+    """How many rows are drawn, and how many of them are rows of the table."""
+    lines = table(spark, sf, "lineitem")
+    drawn = automl.cap_rows(lines, automl.MAX_ROWS)
+    found = lines.select(*lines.columns, F.lit(1).alias("found")).distinct()
+    return drawn.join(found, lines.columns, "left").agg(
+        F.count(F.lit(1)).alias("drawn"), F.count("found").alias("known")
     )
 
 
@@ -137,20 +147,37 @@ def column_select(spark: SparkSession, sf: str) -> DataFrame:
     return cl.used_slots(cl.as_vector(rows, "embedding", 64))
 
 
-@registry.add("model_step")
+_HELD_SQL = "('0x' || substr(md5('42|' || vec_id), 1, 8))::bigint % 10000 < 2000"
+
+
+def _known_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Add `known`: the prediction is one of the classes."""
+    names = classes.select(F.col("label").alias("pred"), F.lit(True).alias("known")).distinct()
+    return rows.join(names, "pred", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+@registry.add(
+    "model_step",
+    f"select vec_id as row_id, label::double as label, true as known from embeddings where {_HELD_SQL}",
+)
 def model_step(spark: SparkSession, sf: str) -> DataFrame:
     train, val = automl.train_val_split(vectors(spark, sf))
-    return automl.model_step(train, LOGISTIC).transform(val).select("row_id", "label", "pred")
+    predicted = automl.model_step(train, LOGISTIC).transform(val)
+    return _known_class(predicted, train).select("row_id", "label", "known")
 
 
-@registry.add("score_step")
+@registry.add(
+    "score_step", f"select count(*) as rows, true as in_range from embeddings where {_HELD_SQL}"
+)
 def score_step(spark: SparkSession, sf: str) -> DataFrame:
     train, val = automl.train_val_split(vectors(spark, sf))
     candidate = automl.from_configuration(
         train, [{"role": TRANSFORM, "component": SCALER}, {"role": MODEL, "component": TREE}]
     )
     score = candidate.evaluate(val, "classification", "macro_f1")
-    return val.agg(F.count(F.lit(1)).alias("rows")).withColumn("score", F.lit(score))
+    return val.agg(F.count(F.lit(1)).alias("rows")).withColumn(
+        "in_range", F.lit(score).between(0.0, 1.0)
+    )
 
 
 def _search(spark: SparkSession, sf: str) -> automl.Search:
@@ -161,39 +188,66 @@ def _search(spark: SparkSession, sf: str) -> automl.Search:
     return automl.Search(scorer, train.persist(), val.persist(), depth=1, beam=2)
 
 
-@registry.add("beam_search")
+@registry.add(
+    "beam_search",
+    "select true as found, true as scored, true as ranked, true as ends_in_model, true as within_beam",
+)
 def beam_search(spark: SparkSession, sf: str) -> DataFrame:
-    found = _search(spark, sf).run()
+    """Of the candidates: scores in range and descending, a model last, at most two beams of them."""
+    search = _search(spark, sf)
+    found = search.run()
     rows = [
         (i, [tuple((s.role, s.component, s.wrap, s.log_prob)) for s in c.steps], c.log_prob,
          c.depth, c.score)
         for i, c in enumerate(found)
     ]
-    return spark.createDataFrame(rows, CANDIDATES).select(
-        "cand_id", F.array_join(F.transform("steps", lambda s: s["component"]), " ")
-        .alias("steps"), "log_prob", "depth", "score",
+    listed = spark.createDataFrame(rows, CANDIDATES)
+    before = F.transform(
+        F.sort_array(F.collect_list(F.struct("cand_id", "score"))), lambda c: c["score"]
+    )
+    last = F.element_at("steps", -1)["component"]
+    return listed.agg(
+        (F.count(F.lit(1)) > 0).alias("found"),
+        F.every(F.col("score").between(0.0, 1.0)).alias("scored"),
+        (before == F.sort_array(F.collect_list("score"), asc=False)).alias("ranked"),
+        F.every(last.startswith("pyspark.ml.classification.")).alias("ends_in_model"),
+        (F.count(F.lit(1)) <= 2 * search.beam * (search.depth + 1)).alias("within_beam"),
     )
 
 
-@registry.add("search_log")
+@registry.add(
+    "search_log",
+    """select * from (values ('T', 'pyspark.ml.feature.StandardScaler', false),
+  ('T', 'pyspark.ml.feature.StandardScaler', true), ('T', 'pyspark.ml.feature.PCA', false),
+  ('T', 'pyspark.ml.feature.PCA', true)) as t(role, component, wrap)""",
+)
 def search_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The steps tried; whether a trial ends in time depends on the machine."""
     search = _search(spark, sf)
     search.transforms()
-    return search.search_log().select("seq", "role", "component", "wrap", "success")
+    return search.search_log().select("role", "component", "wrap")
 
 
-@registry.add("fit_and_vote")
+@registry.add("fit_and_vote", "select vec_id as row_id, true as known from embeddings")
 def fit_and_vote(spark: SparkSession, sf: str) -> DataFrame:
     scorer = pr.RandomScorer([SCALER], [LOGISTIC, TREE], seed=3)
     fitted = automl.AutoPipeline(scorer).fit(vectors(spark, sf), depth=1, beam=2)
-    return fitted.predict(vectors(spark, sf), index=None)
+    predicted = fitted.predict(vectors(spark, sf), index=None)
+    return _known_class(predicted, vectors(spark, sf)).select("row_id", "known")
 
 
-@registry.add("fit_and_mean_proba")
+@registry.add(
+    "fit_and_mean_proba",
+    """select c_custkey as row_id, (select count(distinct c_acctbal > 4500) from customer) as classes,
+  1.0 as total, true as in_range from customer""",
+)
 def fit_and_mean_proba(spark: SparkSession, sf: str) -> DataFrame:
     scorer = pr.RandomScorer([SCALER], [LOGISTIC, TREE], seed=3)
     fitted = automl.AutoPipeline(scorer).fit(customers(spark, sf), depth=1, beam=2)
-    return fitted.predict_proba(customers(spark, sf))
+    return fitted.predict_proba(customers(spark, sf)).groupBy("row_id").agg(
+        F.count(F.lit(1)).alias("classes"), neat(F.sum("p")).alias("total"),
+        F.every(F.col("p").between(0.0, 1.0 + 1e-9)).alias("in_range"),
+    )
 
 
 # ---------------------------------------------------------------- predictor
@@ -212,7 +266,13 @@ def _observations(spark: SparkSession, sf: str) -> DataFrame:
     return sq.observations(rows, 3)
 
 
-@registry.add("featurize")
+@registry.add(
+    "featurize",
+    f"""with {ROWS_SQL}, classes as (select component, row_number() over (order by component) - 1 as label
+    from (select distinct component from obs))
+select prog, pos, (select count(*) from vocab) as width, label::double as label
+from obs join classes using (component)""",
+)
 def featurize(spark: SparkSession, sf: str) -> DataFrame:
     data, _ = pr.featurize(
         sq.observations(turns(spark, sf), 3, dense=True), KEYS, arg_features(spark, sf)
@@ -222,14 +282,26 @@ def featurize(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@registry.add("fit_role_model")
+@registry.add(
+    "fit_role_model",
+    """select user_id as prog, event_id as pos, (select count(distinct event_type) from events
+    where event_type in ('view', 'click')) as classes, 1.0 as total
+from events where event_type in ('view', 'click')""",
+)
 def fit_role_model(spark: SparkSession, sf: str) -> DataFrame:
     obs = _observations(spark, sf)
     model = pr.fit_role_model(obs, TRANSFORM, KEYS)
-    return model.rank(obs.filter(F.col("role") == TRANSFORM), None, KEYS)
+    return model.rank(obs.filter(F.col("role") == TRANSFORM), None, KEYS).groupBy(*KEYS).agg(
+        F.count_distinct("component").alias("classes"), neat(F.sum(F.exp("log_prob"))).alias("total")
+    )
 
 
-@registry.add("predict_component")
+@registry.add(
+    "predict_component",
+    """select role, count(*) as classes, string_agg(c, ' ' order by c) as components, 1.0 as total
+from (select distinct event_type as c, case when event_type in ('view', 'click') then 'T' else 'M' end
+    as role from events where event_type <> 'error') group by role""",
+)
 def predict_component(spark: SparkSession, sf: str) -> DataFrame:
     scorer = pr.fit_predictor(_observations(spark, sf), 3, KEYS)
     ranked = [
@@ -240,11 +312,19 @@ def predict_component(spark: SparkSession, sf: str) -> DataFrame:
         )
         for c, p in pairs
     ]
-    return spark.createDataFrame(ranked, "role string, component string, log_prob double")
+    listed = spark.createDataFrame(ranked, "role string, component string, log_prob double")
+    return listed.groupBy("role").agg(
+        F.count(F.lit(1)).alias("classes"),
+        F.array_join(F.sort_array(F.collect_list("component")), " ").alias("components"),
+        neat(F.sum(F.exp("log_prob"))).alias("total"),
+    )
 
 
-@registry.add("random_ranking")
+@registry.add(
+    "random_ranking",
+    "select distinct event_type as component, true as drawn from events where event_type <> 'error'",
+)
 def random_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    return pr.random_ranking(
-        sq.component_catalog(_observations(spark, sf)), seed=11
-    )
+    """Every component once, with the logarithm of a probability."""
+    ranked = pr.random_ranking(sq.component_catalog(_observations(spark, sf)), seed=11)
+    return ranked.select("component", ((F.col("log_prob") <= 0) & (F.col("log_prob") > -100)).alias("drawn"))

@@ -537,7 +537,7 @@ _ARGS_SQL = """args as (
   union all select conv_id, turn, 1, 'num_rows_sampled', 100, null from conversations),
 good as (select * from args where feature <> 'num_rows_sampled'
   and (num is null or (not isnan(num) and not isinf(num))))"""
-_ROWS_SQL = f"""{_OBS_SQL}, {_ARGS_SQL},
+ROWS_SQL = f"""{_OBS_SQL}, {_ARGS_SQL},
 rows as (select prog, pos, 'prev_component_0' as feature, null::double as num, p0 as str from obs
   union all select prog, pos, 'prev_component_1', null, p1 from obs
   union all select prog, pos, 'role', null, role from obs
@@ -580,7 +580,7 @@ def clean_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @registry.add(
-    "feature_rows", f"with {_ROWS_SQL} select prog, pos, feature, round(num, 6) as num, str from rows"
+    "feature_rows", f"with {ROWS_SQL} select prog, pos, feature, round(num, 6) as num, str from rows"
 )
 def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
     obs = sq.observations(turns(spark, sf), 3, dense=True)
@@ -591,7 +591,7 @@ def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @registry.add(
     "vectorize",
-    f"""with {_ROWS_SQL} select prog, pos, idx, round(value, 6) as value
+    f"""with {ROWS_SQL} select prog, pos, idx, round(value, 6) as value
 from enc join vocab using (name)""",
 )
 def vectorize(spark: SparkSession, sf: str) -> DataFrame:
