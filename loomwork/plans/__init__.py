@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "profiles", "corpora", "traces", "sources_code", "search", "automl", "streams",
+    "profiles", "corpora", "traces", "sources_code", "search", "automl", "streams", "files",
 )
 
 

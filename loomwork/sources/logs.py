@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loomwork import schemas
+from loomwork.functions.ordered import dense_index
 
 # fixed values: exit statuses of an executed script
 STATUS_NAMES = {0: "ok", 2: "compile", 3: "exec", 4: "no data", 124: "timeout"}
@@ -14,7 +15,8 @@ OK, TIMEOUT = 0, 124
 def read_status_log(spark: SparkSession, path: str) -> DataFrame:
     """Rows (line_no, script_id, status) of `id:status` lines; blank lines are skipped.
 
-    line_no orders the lines of one file and, after that, files by name.
+    line_no counts the lines that are left from 0, in the order of each file and, before that, of
+    file names; the rows have the types of `schemas.STATUS_LOG`.
     """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
@@ -22,12 +24,15 @@ def read_status_log(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("at"),
     ).filter(F.length(F.trim("value")) > 0)
     parts = F.split("value", ":")
-    return lines.select(
-        F.struct("file", "start", "at").alias("line_no"),
+    known = lines.select(
+        "file", "start", "at",
         F.try_to_number(F.trim(parts[0]), F.lit("S999999999999999999")).cast("long").alias(
             "script_id"),
         F.try_to_number(F.trim(parts[1]), F.lit("S999999999")).cast("int").alias("status"),
     ).filter("script_id is not null")
+    return dense_index(known, ["file", "start", "at"], "line_no").select(
+        "line_no", "script_id", "status"
+    )
 
 
 def latest_status(log: DataFrame) -> DataFrame:

@@ -174,7 +174,10 @@ def test_status_log_and_work(spark, tmp_path):
     path = str(tmp_path / "log")
     lines = spark.createDataFrame([("1:0",), ("",), ("2:124",), ("1:3",)], "v string").coalesce(1)
     lines.write.text(path)
-    status = logs.latest_status(logs.read_status_log(spark, path))
+    read = logs.read_status_log(spark, path)
+    assert [f.dataType.simpleString() for f in read.schema] == ["bigint", "bigint", "int"]
+    assert sorted(r["line_no"] for r in read.collect()) == list(range(read.count()))
+    status = logs.latest_status(read)
     assert rows(status) == [(1, 3), (2, 124)]
     traces = spark.createDataFrame([(7, 1), (7, 2), (7, 3)], "project_id int, script_id long")
     assert rows(logs.select_work(traces, status, 10)) == [(7, 2), (7, 3)]
