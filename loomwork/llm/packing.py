@@ -70,31 +70,42 @@ class Encoder:
         self.memo = vocab.Memo(self.library)
         self.bits = width(self.tokenizer.get_vocab_size())
 
-    def library(self, words: list[str]) -> list[list[int]]:
+    def library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [e.ids for e in got]
+        return vocab.flattened([e.ids for e in got])
 
     def encode(self, texts: list[str], end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with `end`, and the number of ids of each text."""
-        parts, counts = [], []
-        for text in texts:
-            if vocab.whole_only(text, self.special):
-                ids = np.array(self.library([text])[0], np.int32)
-            else:
-                found = []
-                for piece in vocab.pieces(text):
-                    words = piece.split()
-                    if max(map(len, words), default=0) > vocab.MEMO_CHARS:
-                        found.extend(
-                            np.array(i, np.int32) for i in self.library(words)
-                        )
-                    else:
-                        found.append(self.memo.gather(self.memo.look_up(words)))
-                ids = found[0] if len(found) == 1 else np.concatenate(found or [np.zeros(0, np.int32)])
-            parts.append(ids)
-            parts.append(np.array([end], np.int32))
-            counts.append(len(ids) + 1)
-        return np.concatenate(parts or [np.zeros(0, np.int32)]), np.array(counts, np.int64)
+        """Ids of all texts, each with `end`, and the number of ids of each text.
+
+        The words of all texts are looked up together, so new ones reach the library in one call.
+        """
+        whole = [i for i, t in enumerate(texts) if vocab.whole_only(t, self.special)]
+        apart = set(whole)
+        counts, flat, sizes, slots = np.zeros(len(texts), np.int64), [], [], []
+        lists = [(i, t.split()) for i, t in enumerate(texts) if i not in apart]
+        if lists:
+            ids, lengths = self.memo.encoded([w for _, ws in lists for w in ws])
+            ends = np.cumsum([len(ws) for _, ws in lists])
+            upto = np.concatenate([[0], np.cumsum(lengths)])
+            tokens = upto[ends] - upto[ends - np.array([len(ws) for _, ws in lists])]
+            flat.append(ids)
+            sizes.append(tokens)
+            slots.extend(i for i, _ in lists)
+        if whole:
+            ids, tokens = self.library([texts[i] for i in whole])
+            flat.append(ids)
+            sizes.append(tokens)
+            slots.extend(whole)
+        if not texts:
+            return np.zeros(0, np.int32), counts
+        found, sizes = np.concatenate(flat), np.concatenate(sizes)
+        counts[slots] = sizes + 1
+        # texts go to their places: from where they were found to where they start
+        starts = np.cumsum(counts) - counts
+        out = np.full(int(counts.sum()), end, np.int32)
+        shift = np.repeat(starts[slots] - (np.cumsum(sizes) - sizes), sizes)
+        out[np.arange(len(found)) + shift] = found
+        return out, counts
 
 
 def sorted_parts(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:

@@ -45,6 +45,9 @@ GIANT = 65_536
 SPAN = 64
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+#: names of characters without an id begin here, above all ids; names of pairs are left * PAIR + right
+CHARACTER = 1 << 20
+PAIR = 1 << 22
 
 State = tuple[int, int]  # characters before the border and length of the piece across it
 START: State = (0, 0)
@@ -90,8 +93,14 @@ class Model:
         lines = {p for p in self.pairs if "\n" in p}
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n") if not inner | lines else None
         self.may_follow: dict[tuple[str, str], bool] = {}
-        self.memo = vocab.Memo(lambda words: [self.encode_stretch(w) for w in words])
+        self.memo = vocab.Memo(self.encode_stretches)
         self.parts: dict[str, list[int]] = {}
+        if self.merging:
+            self.merges = self._merges()
+            self.of_character = np.full(0x110000, -1, np.int64)
+            for piece, i in self.ids.items():
+                if len(piece) == 1:
+                    self.of_character[ord(piece)] = i
 
     # --- the lattice -----------------------------------------------------------------------
 
@@ -110,6 +119,78 @@ class Model:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def _merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of neighbours that merge (left * PAIR + right), what they give, and the scores.
+
+        Pieces are named by id, single characters without an id by CHARACTER + code point.
+        """
+        def named(part: str) -> int | None:
+            known = self.ids.get(part)
+            return known if known is not None or len(part) > 1 else CHARACTER + ord(part)
+
+        pairs = {}
+        for piece, i in self.ids.items():
+            for k in range(1, len(piece)):
+                left, right = named(piece[:k]), named(piece[k:])
+                if left is not None and right is not None:
+                    pairs[left * PAIR + right] = (i, self.score[piece])
+        keys = np.array(sorted(pairs), np.int64)
+        made = np.array([pairs[k][0] for k in keys.tolist()], np.int64)
+        return keys, made, np.array([pairs[k][1] for k in keys.tolist()])
+
+    def merged_stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the pieces of many texts, by merging as `merge` does, and the text of each name.
+
+        Every round merges the best pair of each text that still has one.
+        """
+        keys, made, scores = self.merges
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        names = self.of_character[codes]
+        names = np.where(names < 0, CHARACTER + codes, names)
+        owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+        done = []
+        while len(names):
+            pair = names[:-1] * PAIR + names[1:]
+            at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+            can = np.flatnonzero((keys[at] == pair) & (owner[:-1] == owner[1:]))
+            active = np.zeros(len(texts), bool)
+            active[owner[can]] = True
+            going = active[owner]
+            done.append((owner[~going], names[~going]))
+            if not len(can):
+                break
+            # candidates are in order, so those of one text are neighbours
+            first = np.flatnonzero(np.diff(owner[can], prepend=-1))
+            value = scores[at[can]]
+            best = np.repeat(np.maximum.reduceat(value, first), np.diff(first, append=len(can)))
+            top = can[value == best]
+            top = top[np.flatnonzero(np.diff(owner[top], prepend=-1))]
+            names[top] = made[at[top]]
+            going[top + 1] = False
+            names, owner = names[going], owner[going]
+        owner = np.concatenate([o for o, _ in done] or [owner])
+        names = np.concatenate([n for _, n in done] or [names])
+        order = np.argsort(owner, kind="stable")
+        return names[order], owner[order]
+
+    def encode_stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many stretches, and the number of ids of each."""
+        if not self.merging:
+            return vocab.flattened([self.encode_stretch(t) for t in texts])
+        names, owner = self.merged_stretches(texts)
+        counts = np.bincount(owner, minlength=len(texts))
+        strange = np.flatnonzero(names >= CHARACTER)
+        if not len(strange):
+            return names.astype(np.int32), counts
+        spelled = [self.to_ids([chr(c)]) for c in (names[strange] - CHARACTER).tolist()]
+        sizes = np.ones(len(names), np.int64)
+        sizes[strange] = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        out = np.repeat(names, sizes)
+        starts = (np.cumsum(sizes) - sizes)[strange]
+        for start, ids in zip(starts.tolist(), spelled, strict=True):
+            out[start : start + len(ids)] = ids
+        return out.astype(np.int32), np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64)
+
     def follows(self, before: str, piece: str) -> bool:
         if not self.merging:
             return True
@@ -289,10 +370,7 @@ class Model:
     def encode_between_cuts(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        words = self.stretch.findall(text) if self.stretch else [text]
-        if max(map(len, words)) > vocab.MEMO_CHARS:
-            return np.array([i for w in words for i in self.encode_stretch(w)], np.int32)
-        return self.memo.gather(self.memo.look_up(words))
+        return self.memo.encoded(self.stretch.findall(text) if self.stretch else [text])[0]
 
     def normalized(self, text: str) -> str:
         return self.prefix + text.replace(" ", SPACE) if text else ""
@@ -300,6 +378,15 @@ class Model:
     def encode(self, text: str) -> np.ndarray:
         return self.encode_between_cuts(self.normalized(text))
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the stretches of all are looked up together."""
+        normal = map(self.normalized, texts)
+        lists = [self.stretch.findall(t) if self.stretch else [t] * bool(t) for t in normal]
+        ids, lengths = self.memo.encoded([w for ws in lists for w in ws])
+        words = np.cumsum([0] + [len(ws) for ws in lists])
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        return np.split(ids, upto[words[1:-1]]) if lists else []
+
     def trace(self, text: str, lo: int, hi: int, entry: State, exit: State) -> np.ndarray:
         """Ids of the pieces that start in the chunk [lo, hi), between two states."""
         o, n = entry
@@ -464,7 +551,7 @@ def encode(
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for start, end in vocab.steps(texts):
-                found = [model.encode(t) for t in texts[start:end]]
+                found = model.encode_all(texts[start:end])
                 part = batch.slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(
                     [

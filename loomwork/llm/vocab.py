@@ -118,52 +118,66 @@ def steps(texts: list[str], size: int = STEP_CHARS) -> Iterator[tuple[int, int]]
 
 
 class Memo:
-    """Ids of words, looked up many at a time; `encode(list of words)` is asked for new ones."""
+    """Ids of words, looked up many at a time; new ones are learned in one call.
+
+    `encode(list of words)` gives all their ids, one word after the other, and the number of ids
+    of each word. When MEMO_WORDS are known, the half that was looked up least goes. Words above
+    MEMO_CHARS are encoded where they stand and not remembered.
+    """
 
     def __init__(self, encode) -> None:
         self.encode = encode
-        self.clear()
-
-    def clear(self) -> None:
         self.index: dict = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
+        self.asked = np.zeros(1 << 14, np.int32)
         self.used = 0
 
     def _grown(self, array, need):
         return array if need <= len(array) else np.resize(array, max(need, 2 * len(array)))
 
+    def _drop_cold(self) -> None:
+        """Keep the half of the words that was asked for most."""
+        n = len(self.index)
+        kept = np.sort(np.argsort(-self.asked[:n], kind="stable")[: MEMO_WORDS // 2])
+        words = list(self.index)
+        flat = self.gather(kept)
+        lengths = self.lengths[kept]
+        self.index = {words[i]: k for k, i in enumerate(kept.tolist())}
+        self.ids[: len(flat)], self.used = flat, len(flat)
+        self.starts[: len(kept)] = np.cumsum(lengths) - lengths
+        self.lengths[: len(kept)] = lengths
+        self.asked[: len(kept)] = self.asked[kept] // 2
+
     def learn(self, words) -> None:
         words = list(words)
-        if len(self.index) + len(words) > MEMO_WORDS:
-            self.clear()
         n = len(self.index)
-        got = self.encode(words)
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(lengths.sum())
-        self.ids = self._grown(self.ids, self.used + total)
-        self.starts = self._grown(self.starts, n + len(words))
-        self.lengths = self._grown(self.lengths, n + len(words))
-        self.ids[self.used : self.used + total] = np.fromiter(
-            chain.from_iterable(got), np.int32, total
-        )
-        self.starts[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[n : n + len(words)] = lengths
-        self.used += total
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+        got, lengths = self.encode(words)
+        need = n + len(words)
+        self.ids = self._grown(self.ids, self.used + len(got))
+        self.starts = self._grown(self.starts, need)
+        self.lengths = self._grown(self.lengths, need)
+        self.asked = self._grown(self.asked, need)
+        self.ids[self.used : self.used + len(got)] = got
+        self.starts[n:need] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n:need] = lengths
+        self.asked[n:need] = 0
+        self.used += len(got)
+        self.index.update(zip(words, range(n, need), strict=True))
 
     def look_up(self, words: list) -> np.ndarray:
-        """Positions of the words in `lengths` and `starts`."""
+        """Positions of the words in `lengths` and `starts`; good until the next look-up."""
         try:
-            return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         except KeyError:
             distinct = set(words)
-            new = distinct.difference(self.index)
-            if len(self.index) + len(new) > MEMO_WORDS:
-                new = distinct
-            self.learn(new)
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            if len(self.index) + len(distinct.difference(self.index)) > MEMO_WORDS:
+                self._drop_cold()
+            self.learn(distinct.difference(self.index))
+            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self.asked[at] += 1
+        return at
 
     def gather(self, at: np.ndarray) -> np.ndarray:
         """Ids of the words at these positions, one after the other."""
@@ -173,6 +187,29 @@ class Memo:
         shift = np.repeat(self.starts[at] - (ends - lengths), lengths)
         return self.ids[shift + np.arange(total)]
 
+    def encoded(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and the number of ids of each."""
+        long = [i for i, w in enumerate(words) if len(w) > MEMO_CHARS]
+        if not long:
+            at = self.look_up(words)
+            return self.gather(at), self.lengths[at]
+        flat, lengths, start = [], [], 0
+        own, sizes = self.encode([words[i] for i in long])
+        ends = np.cumsum(sizes)
+        for k, i in enumerate(long):
+            at = self.look_up(words[start:i])
+            flat += [self.gather(at), own[ends[k] - sizes[k] : ends[k]]]
+            lengths += [self.lengths[at], sizes[k : k + 1]]
+            start = i + 1
+        at = self.look_up(words[start:])
+        return np.concatenate([*flat, self.gather(at)]), np.concatenate([*lengths, self.lengths[at]])
+
+
+def flattened(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids one after the other, and their lengths."""
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum())), lengths
+
 
 class Vectors:
     """One vector for each word, looked up and summed by text; `learn(list of words)` makes new ones."""
