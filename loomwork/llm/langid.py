@@ -7,7 +7,10 @@ words of a text are summed; the prediction is the largest sum, ties go to the fi
 alphabetical order.
 
 The model is fitted on `SAMPLE_DOCS` documents a language at most, chosen by a hash of their id,
-and keeps the `MAX_TERMS` most frequent words and as many n-grams; predictions cover all texts.
+and keeps terms seen at least twice: the `MAX_TERMS` most frequent words and n-grams of five
+letters, and half as many n-grams of each smaller n. Predictions cover all texts.
+
+Letters are characters of the Unicode category L; digits, fractions and numerals like Ⅷ are none.
 
 Defined cases: null text, empty text and text without a letter give `und` with score 0; without
 any training row every text is `und`; very long texts are summed in pieces; repeated rows are
@@ -18,12 +21,12 @@ are read.
 from __future__ import annotations
 
 import pickle
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +41,7 @@ HELD_WORDS = 150_000
 HELD_LETTERS = 2_000_000
 UNDEFINED = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str) -> list[str]:
@@ -100,7 +103,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_terms: int = MAX_TE
     languages = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     names = sorted(languages)
     if not names:
-        return pickle.dumps((names, [{} for _ in range(LONGEST + 1)], []))
+        return pickle.dumps((names, [([], []) for _ in range(LONGEST + 1)], []))
     share = F.lit(False)
     for name, total in languages.items():
         share = share | (
@@ -109,32 +112,32 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_terms: int = MAX_TE
     sample = labelled.filter(share).select("lang", "text")
     counts = sample.mapInArrow(_counts, "lang string, n int, term string, count long")
     counts = counts.groupBy("n", "term", "lang").agg(F.sum("count").alias("count"))
+    # one column of counts for each language
     terms = counts.groupBy("n", "term").agg(
         F.sum("count").alias("total"),
-        F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"),
-    ).persist()
-    kept = []
+        *[
+            F.sum(F.when(F.col("lang") == name, F.col("count")).otherwise(F.lit(0))).alias(f"c{i}")
+            for i, name in enumerate(names)
+        ],
+    ).filter("total > 1").persist()
+    models, unseen = [], []
     for n in range(LONGEST + 1):
-        frequent = terms.filter((F.col("n") == n) & (F.col("total") > 1))
         limit = max_terms if n in (0, LONGEST) else max_terms // 2
-        kept += frequent.orderBy(F.desc("total"), "term").limit(limit).collect()
-    terms.unpersist()
-    tables: list[dict] = [{} for _ in range(LONGEST + 1)]
-    for row in kept:
-        tables[row["n"]][row["term"]] = [row["by"].get(name, 0) for name in names]
-    models, unseen = [], []
-    for table in tables:
-        matrix = np.array(list(table.values()), float).reshape(len(table), len(names))
-        totals = matrix.sum(axis=0) + 0.1 * (len(table) + 1)
-        logs = np.log((matrix + 0.1) / totals)
-        models.append(dict(zip(table, logs, strict=True)))
+        kept = terms.filter(F.col("n") == n).orderBy(F.desc("total"), "term").limit(limit)
+        table = kept.drop("n", "total").toArrow()
+        matrix = np.column_stack([table.column(f"c{i}").to_numpy() for i in range(len(names))]).astype(float)
+        totals = matrix.sum(axis=0) + 0.1 * (len(matrix) + 1)
+        models.append((table.column("term").to_pylist(), np.log((matrix + 0.1) / totals)))
         unseen.append(np.log(0.1 / totals))
+        del table, matrix
+    terms.unpersist()
     return pickle.dumps((names, models, unseen))
 
 
 class Predictor:
     def __init__(self, content: bytes) -> None:
-        self.names, self.tables, self.unseen = pickle.loads(content)
+        self.names, tables, self.unseen = pickle.loads(content)
+        self.tables = [dict(zip(terms, logs, strict=True)) for terms, logs in tables]
         self.vectors = vocab.Vectors(self.learn, max(1, len(self.names)))
 
     def learn(self, words: list[str]) -> list:
