@@ -88,7 +88,7 @@ class Chains:
             *keys, "node", F.coalesce("src", "node").alias("chain"),
             F.when(F.col("src").isNull(), 0).otherwise(1).cast("long").alias("pos"),
         )
-        self.nodes = self._folded(cut_lineage(pointers))
+        self.nodes = self._folded(pointers)
         a = self.nodes.select(*keys, F.col("node").alias("src"), "chain", F.col("pos").alias("i"))
         b = self.nodes.select(
             *keys, F.col("node").alias("dst"), F.col("chain").alias("to"), F.col("pos").alias("j")
