@@ -33,7 +33,9 @@ def op8(spark, sf_dir):
 
 @registry.add("op4_sharding", sharding.sql())
 def op4(spark, sf_dir):
-    return sharding.assign_shards(common.documents(spark, sf_dir))
+    docs, path = common.documents(spark, sf_dir), stage_folder(spark, "shards")
+    sharding.write_shards(docs, path)
+    return sharding.read_digests(spark, path, docs.schema)
 
 
 @registry.add("op6_packed_ids")

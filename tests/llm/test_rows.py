@@ -62,15 +62,27 @@ def test_quality_of_an_empty_table(spark):
     assert quality.judge(frame(spark, corpus()).limit(0)).count() == 0
 
 
-def shards(spark, rows, limit, **options):
-    df = frame(spark, rows, clash=True)
-    return sharding.assign_shards(df, limit, **options).collect()
+def shards(spark, rows, limit, folder, **options):
+    """Rows as the files have them; the plan without files must say the same."""
+    df = frame(spark, rows, clash=True).withColumns({"shard": F.lit("theirs"), "page": F.lit(None)})
+    path = f"{folder}/shards"
+    sharding.write_shards(df, path, limit, **options)
+    back = sharding.read_shards(spark, path, df.schema)
+    written = sorted(map(str, back.select("document.*").collect()))
+    assert written == sorted(map(str, df.collect()))
+    key = options.get("key", "doc_id")
+    got = sharding.read_digests(spark, path, df.schema, limit)
+    if key == "doc_id":
+        planned = sharding.assign_shards(df, limit).select(*got.columns)
+        assert sorted(map(str, planned.collect())) == sorted(map(str, got.collect()))
+        return got.collect()
+    return back.select(f"document.{key}", "n_bytes", "shard", "page").collect()
 
 
 @pytest.mark.parametrize("limit", [1, 500, 3_000, 1 << 20])
-def test_shards_fit_and_match_sql(spark, limit):
-    rows = [r for r in corpus() + messy() if (r[0], r[1]) != (106, "another text of id 106")]
-    got = shards(spark, rows, limit)
+def test_shards_fit_and_match_sql(spark, limit, tmp_path):
+    rows = corpus() + messy() + [(110, "six by ten" * 6, "en", "s3", 1)] * 40
+    got = shards(spark, rows, limit, tmp_path)
     assert sorted((str(r.doc_id), r.n_bytes) for r in got) == sorted(
         (str(r[0]), len((r[1] or "").encode())) for r in rows
     )
@@ -90,9 +102,9 @@ def test_shards_fit_and_match_sql(spark, limit):
     assert sorted(str(tuple(r[c] for c in columns)) for r in got) == sorted(map(str, want))
 
 
-def test_a_hot_key_is_dealt_over_pages(spark):
+def test_a_hot_key_is_dealt_over_pages(spark, tmp_path):
     rows = [(i, "x" * (10 + i % 5), "en", "hot" if i % 3 else f"s{i}", 1) for i in range(300)]
-    got = shards(spark, rows, 200, key="source")
+    got = shards(spark, rows, 200, tmp_path, key="source")
     sizes = collections.Counter()
     for r in got:
         sizes[r.shard, r.page] += r.n_bytes
@@ -100,8 +112,31 @@ def test_a_hot_key_is_dealt_over_pages(spark):
     assert len({r.page for r in got if r.source == "hot"}) > 10
 
 
-def test_shards_of_an_empty_table(spark):
-    assert sharding.assign_shards(frame(spark, corpus()).limit(0)).count() == 0
+def test_copies_of_one_row_come_out_of_many_tasks(spark, tmp_path):
+    df = spark.range(0, 300_000, 1, 4).select(
+        F.when(F.col("id") % 3 < 2, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("x" * 60).alias("text")
+    )
+    sharding.write_shards(df, f"{tmp_path}/shards", 1 << 20)
+    back = sharding.read_shards(spark, f"{tmp_path}/shards", df.schema)
+    pages = back.groupBy("shard", "page").agg(F.sum("n_bytes").alias("n"), F.max("document.doc_id").alias("id"))
+    sizes = pages.collect()
+    assert sum(r.n for r in sizes) == 60 * 300_000 and max(r.n for r in sizes) <= 1 << 20
+    assert back.filter("document.doc_id = 7").count() == 200_000
+    hot = sharding.place(df, 1 << 20).filter("document.doc_id = 7")
+    assert hot.select(F.spark_partition_id().alias("p")).distinct().count() >= 2
+
+
+def test_one_shard_is_one_file(spark, tmp_path):
+    df = frame(spark, corpus(documents=200)).repartition(5)
+    sharding.write_shards(df, f"{tmp_path}/shards", 4_000)
+    files = collections.Counter(f.parent for f in tmp_path.glob("shards/*/*/*.parquet"))
+    assert len(files) > 10 and set(files.values()) == {1}
+
+
+def test_shards_of_an_empty_table(spark, tmp_path):
+    empty = frame(spark, corpus()).limit(0)
+    assert sharding.assign_shards(empty).count() == 0
+    assert shards(spark, [], 100, tmp_path) == []
 
 
 def test_language_of_held_out_texts(spark):
