@@ -30,9 +30,11 @@ from loomwork.session import cut_lineage
 HASH_BITS = 60
 #: bytes of a shard
 LIMIT = 16 << 20
-#: a writing task holds this many shards on average, or this many bytes of small ones
-SHARDS_PER_TASK = 4
+#: a writing task sorts one shard on average, or this many bytes of small ones
 TASK_BYTES = 4 << 20
+#: texts vary in length, so the size of a page is looked at often; zstd compresses it as a stream,
+#: where the default needs buffers outside the heap as large as the page
+PARQUET = {"compression": "zstd", "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "64"}
 #: hot keys that may be broadcast, of four numbers each
 BROADCAST_KEYS = 100_000
 #: copies of a row that one task unfolds
@@ -162,7 +164,7 @@ def place(
         F.sum(F.when(over, F.col("shard_bytes"))),
     ).first()
     coarse, n_hot, hot_bytes = seen[0] or 0, seen[1], seen[2] or 0
-    per_task = max(TASK_BYTES, SHARDS_PER_TASK * limit)
+    per_task = max(TASK_BYTES, limit)
     hot = found.join(shards.filter(over), ["prefix", "depth"]).select("h", "prefix", "depth", "shard_bytes")
     if 0 < n_hot <= BROADCAST_KEYS:
         hot = F.broadcast(hot)
@@ -217,7 +219,7 @@ def write_shards(
     named = placed.select(
         "document", "n_bytes", F.concat(F.lit("b"), "shard").alias("shard"), "page"
     )
-    named.write.mode("errorifexists").partitionBy("shard", "page").parquet(path)
+    named.write.mode("errorifexists").options(**PARQUET).partitionBy("shard", "page").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
