@@ -12,6 +12,10 @@ from loomwork.functions.ordered import dense_index
 from loomwork.operators.tagging import MODEL, TRANSFORM
 from loomwork.schemas import CANDIDATES
 
+#: names up to this size are sent to every executor
+BROADCAST_BYTES = 8 << 20
+
+
 def empty_candidate(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, [], 0.0, 0, None)], CANDIDATES)
 
@@ -72,40 +76,67 @@ def rank_by_score(candidates: DataFrame, tie: str = "cand_id") -> DataFrame:
     return dense_index(scored, [F.desc("score"), tie], "rank", 1)
 
 
+def _numbered(spark: SparkSession, names: DataFrame | list[str]) -> tuple[DataFrame, int]:
+    """(number, component) in order of the names, stored, and how many there are."""
+    if not isinstance(names, DataFrame):
+        names = spark.createDataFrame([(n,) for n in names], "component string")
+    names = names.toDF("component").filter(F.col("component").isNotNull()).distinct()
+    numbered = dense_index(names, ["component"], "number")
+    count, size = numbered.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("component")), F.lit(0))
+    ).first()
+    return F.broadcast(numbered) if size + 8 * count <= BROADCAST_BYTES else numbered, count
+
+
 def enumerate_configs(
-    spark: SparkSession, transforms: list[str], models: list[str], depth: int
+    spark: SparkSession, transforms: DataFrame | list[str], models: DataFrame | list[str],
+    depth: int, first: int = 0, count: int | None = None,
 ) -> DataFrame:
-    """All configurations (steps): 1 to depth transforms, whole or column-wise, then a model.
+    """(config_id, steps) of all configurations, or of `count` of them from number `first`.
 
-    The catalog is a short list of names, so every level is an explode of a literal array
-    and stays distributed; the empty sequence of transforms is not included.
+    A configuration is 1 to depth transforms, whole or column-wise, then a model; the empty
+    sequence of transforms is not included. Its number says which one it is, shorter ones first:
+    the digits of the number, to the base of twice the transforms, name the steps, so every
+    slice is made alone from a range of numbers and the catalogs stay tables of one column.
     """
-    choices = F.array(
-        *[
-            F.struct(F.lit(TRANSFORM).alias("role"), F.lit(t).alias("component"),
-                     F.lit(w).alias("wrap"))
-            for t in sorted(transforms) for w in (False, True)
-        ]
-    )
-    ends = F.array(
-        *[
-            F.struct(F.lit(MODEL).alias("role"), F.lit(m).alias("component"),
-                     F.lit(False).alias("wrap"))
-            for m in sorted(models)
-        ]
-    )
-    level = spark.range(1).select(F.explode(choices).alias("s")).select(
-        F.array("s").alias("steps")
-    )
-    found = level
-    for _ in range(1, depth):
-        level = level.select("steps", F.explode(choices).alias("s")).select(
-            F.concat("steps", F.array("s")).alias("steps")
-        ).repartition("steps")
-        found = found.unionByName(level)
-    return found.select("steps", F.explode(ends).alias("s")).select(
-        F.concat("steps", F.array("s")).alias("steps")
-    )
+    (steps, n_steps), (ends, n_ends) = _numbered(spark, transforms), _numbered(spark, models)
+    base = 2 * n_steps
+    sizes = [base**length * n_ends for length in range(1, depth + 1)]
+    upto = sum(sizes) if count is None else min(sum(sizes), first + count)
+    if upto >= 1 << 63:
+        raise ValueError(f"{upto} configurations cannot be numbered; ask for a slice")
+    found, start = None, 0
+    for length, size in enumerate(sizes, 1):
+        begin, end = max(first, start), min(upto, start + size)
+        # a length outside the slice makes no plan; the last one gives an empty table its columns
+        start_of, start = start, start + size
+        if begin >= end and (length < depth or found is not None):
+            continue
+        if begin >= end:
+            begin, end, start_of, powers = 0, 0, 0, [1] * length
+        else:
+            powers = [base ** (length - 1 - i) for i in range(length)]
+        of, last = max(1, base), max(1, n_ends)
+        level = spark.range(begin, end).withColumnRenamed("id", "config_id")
+        level = level.withColumn("rest", F.col("config_id") - F.lit(start_of)).withColumns(
+            {"end": F.expr(f"rest % {last}L"), "rest": F.expr(f"rest div {last}L")}
+        ).withColumns(
+            {f"digit{i}": F.expr(f"(rest div {p}L) % {of}L") for i, p in enumerate(powers)}
+        )
+        row = []
+        for i in range(length):
+            named = steps.select(
+                F.col("number").alias(f"number{i}"), F.col("component").alias(f"component{i}")
+            )
+            level = level.join(named, F.expr(f"digit{i} div 2 = number{i}"))
+            row.append((F.lit(TRANSFORM), F.col(f"component{i}"), F.col(f"digit{i}") % 2 == 1))
+        level = level.join(ends.select(F.col("number").alias("end"), "component"), "end")
+        row.append((F.lit(MODEL), F.col("component"), F.lit(False)))
+        level = level.select("config_id", F.array(*[
+            F.struct(r.alias("role"), c.alias("component"), w.alias("wrap")) for r, c, w in row
+        ]).alias("steps"))
+        found = level if found is None else found.unionByName(level)
+    return found
 
 
 def search_summary(log: DataFrame) -> DataFrame:

@@ -201,11 +201,7 @@ select c || ' ' || m || ':0' as config from c, m""",
 )
 def enumerate_configs(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
-    names = {
-        c: [r[0] for r in part.select(c).distinct().collect()]
-        for c in ("p_type", "p_name")
-    }
-    configs = cd.enumerate_configs(spark, names["p_type"], names["p_name"], 2)
+    configs = cd.enumerate_configs(spark, part.select("p_type"), part.select("p_name"), 2)
     text = F.transform(
         "steps",
         lambda s: F.concat_ws(":", s["component"], s["wrap"].cast("int").cast("string")),

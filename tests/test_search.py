@@ -57,6 +57,19 @@ def test_enumeration_size(spark):
     assert got.count() == 3 * (4 + 16) and got.distinct().count() == 60
 
 
+def test_any_slice_of_an_enumeration_is_made_alone(spark):
+    names = spark.createDataFrame([("t1",), ("t2",), ("t2",), (None,)], "n string")
+    whole = {r.config_id: r.steps for r in cd.enumerate_configs(spark, names, ["m1", "m2", "m3"], 2).collect()}
+    assert sorted(whole) == list(range(60))
+    got = cd.enumerate_configs(spark, names, ["m1", "m2", "m3"], 2, first=7, count=20).collect()
+    assert {r.config_id: r.steps for r in got} == {i: whole[i] for i in range(7, 27)}
+    far = cd.enumerate_configs(spark, ["t1", "t2"], ["m1"], 8, first=4**7, count=3).collect()
+    assert sorted(r.config_id for r in far) == [4**7, 4**7 + 1, 4**7 + 2]
+    assert cd.enumerate_configs(spark, [], ["m1"], 2).count() == 0
+    with pytest.raises(ValueError):
+        cd.enumerate_configs(spark, ["t1", "t2"], ["m1"], 40)
+
+
 def test_prune(spark):
     df = spark.createDataFrame(
         [(1, 1, -1.0), (2, 1, -0.5), (3, 1, -0.5), (4, 2, -9.0)],
