@@ -68,7 +68,9 @@ def ingest(spark: SparkSession, sf: str) -> DataFrame:
         spark.readStream.schema(schemas.CRAWLED).option("maxFilesPerTrigger", 2)
         .parquet(f"{base}/in")
     )
-    ingest_stream(stream, f"{base}/target", f"{base}/failed", f"{base}/state").awaitTermination()
+    ingest_stream(
+        stream, f"{base}/target", f"{base}/failed", f"{base}/state", contents=False
+    ).awaitTermination()
     return spark.read.parquet(f"{base}/target").select("link", "user", "votes", "language")
 
 
@@ -87,9 +89,7 @@ def ingest_contents(spark: SparkSession, sf: str) -> DataFrame:
         spark.readStream.schema(schemas.CRAWLED).option("maxFilesPerTrigger", 2)
         .parquet(f"{base}/in")
     )
-    ingest_stream(
-        stream, f"{base}/target", f"{base}/failed", f"{base}/state", contents=True
-    ).awaitTermination()
+    ingest_stream(stream, f"{base}/target", f"{base}/failed", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/target").groupBy(F.md5("code").alias("code_md5")).agg(
         F.count(F.lit(1)).alias("records")
     )

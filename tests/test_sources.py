@@ -7,7 +7,7 @@ from loomwork import schemas
 from loomwork.operators import parsing
 from loomwork.sources import logs, notebooks as nb, pages
 from loomwork.streaming.events import latest_status_stream
-from loomwork.streaming.ingest import IngestSink
+from loomwork.streaming.ingest import IngestSink, ingest_stream
 
 from .conftest import rows
 
@@ -235,6 +235,25 @@ def test_ingest_batches_can_run_again(spark, tmp_path):
     assert links("t") == [("l1",), ("l3",)] and links("f") == [("l2",)]
 
 
+def test_ingestion_remembers_links_and_contents_without_reading_history(spark, tmp_path):
+    def arrive(*found):
+        spark.createDataFrame(list(found), schemas.CRAWLED).coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "in"))
+        stream = spark.readStream.schema(schemas.CRAWLED).parquet(str(tmp_path / "in"))
+        at = lambda name: str(tmp_path / name)
+        ingest_stream(stream, at("t"), at("f"), at("state")).awaitTermination()
+
+    links = lambda p, b: rows(
+        spark.read.schema("link string").parquet(str(tmp_path / p / f"batch_id={b}")))
+    arrive(("l1", "u", 1, "Python", "a"), ("l1", "u", 1, "Python", "a"), ("l2", "u", 1, None, "b"))
+    assert links("t", 0) == [("l1",)] and links("f", 0) == [("l2",)]
+    # what is stored may be moved away: the next start knows it all the same
+    (tmp_path / "t").rename(tmp_path / "elsewhere")
+    arrive(("l1", "u", 1, "Python", "z"), ("l2", "u", 1, "Python", "b"), ("l3", "u", 2, "Python", "a"),
+           ("l4", "u", 2, "Python", "b"), ("l5", "u", 2, "Python", None), (None, "u", 2, "Python", "d"))
+    assert sorted(links("t", 1), key=str) == [("l4",), (None,)] and links("f", 1) == [("l5",)]
+
+
 def test_status_stream(spark, tmp_path):
     for i, r in enumerate([(0, 1, 0), (2, 1, 3), (1, 1, 124)]):
         spark.createDataFrame([r], schemas.STATUS_LOG).write.mode("append").parquet(
