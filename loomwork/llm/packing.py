@@ -3,7 +3,7 @@
 Every id takes the fewest bits that hold the vocabulary. The file format is a Parquet table of
 blocks: the packed bytes of whole documents, the documents' ids and the offsets of their first
 token inside the block. A block closes at `BLOCK_IDS` ids and never splits a document, so any
-document is read by unpacking a bit range of one block with numpy. Blocks carry the number of
+document is read by unpacking a bit range of one block with numpy (`read_ids`). Blocks carry the number of
 their part (a range of document ids, in ascending order) and the part's tokens are summed into
 global starts when files are read. Spark's committer writes the files, so a lost task leaves
 nothing behind.
@@ -30,6 +30,7 @@ BLOCK_IDS = 1 << 16
 #: bytes of text in a part of the sorted output
 PART_BYTES = 32 << 20
 END_ID = 1
+_ID_TYPES = {"int": pa.int32(), "string": pa.string()}
 
 BLOCKS = (
     "part int, block long, bits int, n_ids long, doc_ids array<{kind}>,"
@@ -125,7 +126,7 @@ def write_packed(
     """Encode and write `docs` under `path`."""
     shared = vocab.shipped(docs.sparkSession, file)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    field = pa.int32() if kind == "int" else pa.string() if kind == "string" else pa.int64()
+    field = _ID_TYPES.get(kind, pa.int64())
 
     def run(batches):
         encoder = vocab.once(shared, Encoder)
@@ -163,6 +164,54 @@ def write_packed(
     blocks.write.mode("errorifexists").parquet(path)
 
 
+def read_ids(spark: SparkSession, path: str, doc_ids: DataFrame) -> DataFrame:
+    """(doc_id, start_in_block, ids) of the wanted documents in the files under `path`.
+
+    `doc_ids` has a column doc_id; a null asks for the documents without an id, an id that several
+    documents share gives each of them, and one that is not there gives none. Packed bytes are read
+    from the blocks that hold a wanted document only, and of these only its bits are unpacked.
+    """
+    vocab.small_batches(spark)
+    blocks = spark.read.parquet(path)
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    # where each document ends: where the next one starts
+    ends = F.concat(F.slice("offsets", 2, F.size("offsets")), F.array("n_ids"))
+    places = blocks.select(
+        "part", "block", F.inline(F.arrays_zip("doc_ids", "offsets", ends.alias("ends")))
+    ).toDF("part", "block", "doc_id", "offset", "end")
+    wanted = doc_ids.select(F.col("doc_id").alias("_wanted")).distinct()
+    found = places.join(wanted, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
+    # a block has at most as many documents as ids
+    found = found.groupBy("part", "block").agg(
+        F.collect_list(F.struct("offset", "end", "doc_id")).alias("docs")
+    )
+    chosen = blocks.select("part", "block", "bits", "packed").join(found, ["part", "block"])
+
+    def run(batches):
+        for batch in batches:
+            for number in range(batch.num_rows):
+                row = batch.slice(number, 1).to_pylist()[0]
+                docs = row["docs"]
+                for at in range(0, len(docs), 256):
+                    some = docs[at : at + 256]
+                    ids = [
+                        unpack(row["packed"], row["bits"], d["offset"], d["end"] - d["offset"])
+                        for d in some
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([d["doc_id"] for d in some], _ID_TYPES.get(kind, pa.int64())),
+                            pa.array([d["offset"] for d in some], pa.int64()),
+                            pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())),
+                        ],
+                        ["doc_id", "start_in_block", "ids"],
+                    )
+
+    return chosen.select("bits", "packed", "docs").mapInArrow(
+        run, f"doc_id {kind}, start_in_block long, ids array<int>"
+    )
+
+
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files under `path`."""
     blocks = spark.read.parquet(path)

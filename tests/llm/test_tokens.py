@@ -85,9 +85,26 @@ def test_packed_files_read_back_in_order(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/ids").select("part").distinct().count() > 1
 
 
+def test_packed_ids_of_wanted_documents(spark, tmp_path):
+    rows = corpus() + messy()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    packing.write_packed(frame(spark, rows), f"{tmp_path}/ids", part_bytes=40_000, block_ids=500)
+    wanted = [7, 7, 23, 104, 105, 106, 109, None, 999_999]
+    asked = spark.createDataFrame([(i, "theirs") for i in wanted], "doc_id long, ids string")
+    got = packing.read_ids(spark, f"{tmp_path}/ids", asked).collect()
+    want = [
+        (doc_id, library.encode(text or "", add_special_tokens=False).ids + [1])
+        for doc_id, text, *_ in rows if doc_id in wanted
+    ]
+    assert sorted(map(str, ((r.doc_id, r.ids) for r in got))) == sorted(map(str, want))
+    assert packing.read_ids(spark, f"{tmp_path}/ids", asked.limit(0)).count() == 0
+
+
 def test_packed_files_of_an_empty_table(spark, tmp_path):
-    packing.write_packed(frame(spark, corpus()).limit(0), f"{tmp_path}/none")
+    empty = frame(spark, corpus()).limit(0)
+    packing.write_packed(empty, f"{tmp_path}/none")
     assert packing.read_digests(spark, f"{tmp_path}/none").count() == 0
+    assert packing.read_ids(spark, f"{tmp_path}/none", empty).count() == 0
 
 
 def model_bytes(unigram: bool = False) -> bytes:
