@@ -268,3 +268,19 @@ def test_remainder_is_crc32_of_the_id_as_text(spark):
     for r in got:
         assert r.m == zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7
     assert set(SYLLABLES) == {"en", "de"}
+
+
+def test_the_kept_states_read_like_all_states():
+    rnd = random.Random(12)
+    words = [sentence(rnd, 1, rnd.choice(["en", "de"])).strip(".") for _ in range(300)]
+    model = toxicity.CharModel(collections.Counter(words))
+    back = collections.defaultdict(list)
+    for sign, letters in toxicity.LEET.items():
+        for letter in letters:
+            back[letter].append(sign)
+    for _ in range(400):
+        shown = ""
+        for c in rnd.choice(words) + rnd.choice(["", " "]) + rnd.choice(words):
+            c = rnd.choice(back[c]) if c in back and rnd.random() < 0.4 else c
+            shown += c * rnd.choice([1, 1, 1, 2, 5]) + rnd.choice(["", "", "", ".", " ", "-_"])
+        assert toxicity.restore(shown, model) == toxicity.restore(shown, model, None), shown
