@@ -146,9 +146,12 @@ class TableStep(Estimator):
 
 class ColumnLoopModel(Model):
     def __init__(self, fitted: list[tuple[list[str], PipelineModel, dict[str, str]]],
-                 widths: dict[str, int], smudged: set[str], split: bool):
+                 widths: dict[str, int], smudged: set[str], split: bool,
+                 failed: dict[str, str] | None = None):
         super().__init__()
         self.fitted, self.widths, self.smudged, self.split = fitted, widths, smudged, split
+        #: columns that were left alone because their fit failed, and why
+        self.failed = failed or {}
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         df = split_vectors(dataset) if self.split else dataset
@@ -167,6 +170,10 @@ class ColumnLoopModel(Model):
         return merge_columns(df.drop(*extra), results, self.widths)
 
 
+def _reason(error: Exception) -> str:
+    return f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
+
+
 class ColumnLoop(Estimator):
     """Fit a transform on every feature column by itself.
 
@@ -185,7 +192,7 @@ class ColumnLoop(Estimator):
         types = _types(df)
         numbers = [c for c in cols if _is_number(types[c])]
         strings = [c for c in cols if isinstance(types[c], T.StringType)]
-        fitted, widths, smudged = [], {}, set()
+        fitted, widths, smudged, failed = [], {}, set(), {}
         if part.takes == catalog.VECTOR and part.slotwise and numbers:
             fitted.append(self._together(part, df, numbers))
             widths.update({c: 1 for c in numbers})
@@ -206,13 +213,16 @@ class ColumnLoop(Estimator):
             for i, c in enumerate(numbers):
                 try:
                     one = self._single(part, df, c, i)
-                except Exception:
-                    continue  # this column is left alone
+                    width = vector_width(one[1].transform(df), f"__r_{i}")
+                except Exception as error:
+                    failed[c] = _reason(error)  # this column is left alone
+                    continue
                 fitted.append(one)
-                widths[c] = vector_width(one[1].transform(df), f"__r_{i}")
+                widths[c] = width
         if not fitted:
-            raise ValueError(f"{self.component} fits no column")
-        return ColumnLoopModel(fitted, widths, smudged, df is not dataset)
+            why = "; ".join(f"{c}: {reason}" for c, reason in failed.items())
+            raise ValueError(f"{self.component} fits no column{': ' if why else ''}{why}")
+        return ColumnLoopModel(fitted, widths, smudged, df is not dataset, failed)
 
     @staticmethod
     def _many(part, df, cols):

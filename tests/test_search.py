@@ -106,6 +106,24 @@ def test_catalog_refuses_unknown_names():
     assert TREE in catalog.library_catalog("M") and TREE not in catalog.library_catalog("M", "regression")
 
 
+def test_columns_that_fail_are_named(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 4.0)], "row_id long, a double, b double")
+    single, bad = cl.ColumnLoop._single, {"b"}
+
+    def some(part, df, col, i):
+        if col in bad:
+            raise ValueError(f"no {col}")
+        return single(part, df, col, i)
+
+    monkeypatch.setattr(cl.ColumnLoop, "_single", staticmethod(some))
+    loop = cl.ColumnLoop("pyspark.ml.feature.PolynomialExpansion")
+    model = loop.fit(df)
+    assert model.failed == {"b": "ValueError: no b"} and model.transform(df).count() == 2
+    bad.add("a")
+    with pytest.raises(ValueError, match="a: ValueError: no a; b: ValueError: no b"):
+        loop.fit(df)
+
+
 def test_column_loop_in_place_and_appended(spark):
     df = spark.createDataFrame([(1, 0.0, 2.0, "u"), (2, 4.0, 6.0, "v")],
                                "row_id int, a double, b double, s string")
