@@ -64,8 +64,7 @@ def op2(spark, sf_dir):
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     held_out = common.remainder("doc_id", 3) == 1
-    learned = toxicity.labelled_sample(docs, labels.filter(~held_out))
-    scored = toxicity.score(docs, toxicity.fit(learned))
+    scored = toxicity.fit_and_score(docs, labels.filter(~held_out), learn=~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

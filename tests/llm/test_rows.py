@@ -1,6 +1,8 @@
 """Quality rules, sharding, language and toxicity on small tables."""
 
 import collections
+import math
+import pickle
 import random
 import re
 import zlib
@@ -252,6 +254,25 @@ def test_labelled_sample(spark):
     assert toxicity.labelled_sample(docs, table.limit(0)).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    # beyond the 4,000 of a class that a fit once drew: 20 of 9,000 toxic texts have a word of their own
+    rnd = random.Random(8)
+    rows = [(i, f"{sentence(rnd, 6)} {'zorgbat' if i % 450 == 0 else 'blockhead'}", 1) for i in range(9_000)]
+    rows += [(i, sentence(rnd, 7), 0) for i in range(9_000, 9_300)] + [(9_300, "twice", 0)] * 2
+    rows += [(9_301, None, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table)
+    contexts = {r[1].split()[-2] for r in rows if r[1] and r[1].endswith("zorgbat")}
+    assert math.isclose(pickle.loads(model)["weights"]["zorgbat"], math.log((len(contexts) + 0.5) / 0.5))
+    docs = table.select("doc_id", "text")
+    want = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    got = toxicity.fit_and_score(docs, table.select("doc_id", "toxic")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    for r in got:
+        assert math.isclose(r.score, want[r.doc_id].score, rel_tol=1e-6)
+        assert r.predicted == want[r.doc_id].predicted
+
+
 def test_toxicity_defined_cases(spark):
     df = spark.createDataFrame(labelled(60), "doc_id long, text string, toxic int")
     none = toxicity.fit(df.limit(0))
