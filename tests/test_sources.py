@@ -92,6 +92,15 @@ def test_def_use_events(spark):
     ]
 
 
+def test_rows_of_scripts_leave_python_in_bounded_frames(spark):
+    made = ([(k, i) for i in range(7)] for k in range(100))
+    frames = list(parsing._frames(iter([*made, [], [(100, i) for i in range(1_000)]]), ["k", "i"], 50))
+    assert max(map(len, frames)) <= 56 * 2 and sum(map(len, frames)) == 1_700
+    assert [tuple(r) for f in frames for r in f.to_numpy()][-1] == (100, 999)
+    parsing.def_use_events(script(spark, "a = f(1)"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+
+
 def test_def_use_events_keep_wrapper_calls(spark):
     text = "from joblib import Parallel, delayed\ny = Parallel(n_jobs=2)(delayed(f)(x) for x in z)\n"
     got = [
