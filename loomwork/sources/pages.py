@@ -10,6 +10,8 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loomwork.session import small_batches
+
 # fixed values: class name patterns of the page elements that hold each field
 CODE_LINK_CLASS = r"script-code-pane__download.*"
 USER_LINK_CLASS = r"kernel-header__username.*"
@@ -89,26 +91,27 @@ def extract_links_html(pages: DataFrame, base: str, css_class: str | None = None
             }
             yield pd.DataFrame({"link": sorted(found)}, dtype=object)
 
-    return pages.select("html").mapInPandas(links, "link string").distinct()
+    return small_batches(pages.select("html")).mapInPandas(links, "link string").distinct()
+
+
+def _field_rows(htmls) -> Iterator[tuple]:
+    """(code, user, votes, language) of each page; its parser and anchors are dropped at once."""
+    for html in htmls:
+        f = _parsed(html)
+        yield f.code, f.user, f.votes, f.language
 
 
 def extract_page_fields(pages: DataFrame) -> DataFrame:
     """(url, code_link, user, votes, language) of each page; what is missing is null."""
+    names = ["code_link", "user", "votes", "language"]
 
     def fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [_parsed(html) for html in pdf["html"]]
-            yield pd.DataFrame(
-                {
-                    "url": pdf["url"],
-                    "code_link": [f.code for f in found],
-                    "user": [f.user for f in found],
-                    "votes": [f.votes for f in found],
-                    "language": [f.language for f in found],
-                }
-            )
-
-    rows = pages.select("url", "html").mapInPandas(
+            found = pd.DataFrame(list(_field_rows(pdf["html"])), columns=names, dtype=object)
+            found.insert(0, "url", pdf["url"].to_numpy())
+            yield found
+
+    rows = small_batches(pages.select("url", "html")).mapInPandas(
         fields, "url string, code_link string, user string, votes string, language string"
     )
     return rows.withColumn("votes", F.expr("try_cast(trim(votes) as int)"))

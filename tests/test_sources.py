@@ -1,4 +1,5 @@
 import json
+import weakref
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,22 @@ def test_def_use_events(spark):
     ]
 
 
+def test_pages_are_dropped_once_their_fields_are_read(spark, monkeypatch):
+    alive, most = weakref.WeakSet(), []
+
+    class Counted(pages._Fields):
+        def __init__(self):
+            super().__init__()
+            alive.add(self)
+            most.append(len(alive))
+
+    monkeypatch.setattr(pages, "_Fields", Counted)
+    got = list(pages._field_rows(['<a href="/x" class="kernel-header__username">u</a>', None] * 50))
+    assert got == [(None, "x", None, None), (None, None, None, None)] * 50 and max(most) <= 2
+    pages.extract_page_fields(spark.createDataFrame([("u", None)], "url string, html string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+
+
 def test_rows_of_scripts_leave_python_in_bounded_frames(spark):
     made = ([(k, i) for i in range(7)] for k in range(100))
     frames = list(parsing._frames(iter([*made, [], [(100, i) for i in range(1_000)]]), ["k", "i"], 50))
