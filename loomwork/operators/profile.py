@@ -30,6 +30,8 @@ NOMINAL_SAMPLE_ROWS = 100
 #: different values that a rank is looked for among, and parts that a larger bracket is cut into
 RANK_ROWS = 1 << 16
 RANGES = 1024
+#: groups whose bounds are sent to the rows; a shuffle would gather the rows of few groups in few tasks
+BROADCAST_GROUPS = 10_000
 COLUMN_STATS = (
     "mean", "geometric_mean", "median", "min_zscore", "max_zscore", "zscore", "iqr", "std",
     "max", "min", "count_nonzero", "skew", "kurtosis", "missing",
@@ -109,7 +111,9 @@ def _bracketed(
                 )
     limits = sketched.selectExpr(*[_q(k) for k in by], *bounds)
     if by:
-        return data.join(limits, by)
+        limits = cut_lineage(limits)  # sketched once for all passes over the data
+        few = limits.count() <= BROADCAST_GROUPS
+        return data.join(F.broadcast(limits) if few else limits, by)
     row = limits.first()  # one row of columns * (2 * probabilities + 1) numbers
     return data.select(
         "*", *[F.lit(v).cast("double").alias(name) for name, v in row.asDict().items()]

@@ -247,3 +247,17 @@ def test_sparse_matches_dense(spark):
     assert total["colwise_avg_count_nonzero"] == 2.0
     assert total["colwise_avg_mean"] == pytest.approx(dense.mean(axis=0).mean())
     assert "colwise_avg_skew" not in total  # the empty column has none
+
+
+def test_rows_of_few_groups_are_not_gathered(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = spark.range(1000).selectExpr("id % 2 as g", "cast(id as double) as x")
+        plan = p._bracketed(p._numbers(df, ["g"], ["x"]), ["x"], [0.5], ["g"])
+        assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+        got = {r.g: r.value for r in p.exact_quantiles(df, ["x"], [0.5], ["g"]).collect()}
+        assert got == {0: 499.0, 1: 500.0}
+    finally:
+        spark.conf.set(key, before)
