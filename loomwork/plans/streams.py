@@ -11,7 +11,7 @@ from loomwork.functions.ordered import running
 from loomwork.plans.common import Registry, table
 from loomwork.plans.corpora import CRAWLED_SQL, crawled_rows
 from loomwork.plans.traces import _DEPS_SQL, _REPEAT_SQL, raw_events
-from loomwork.session import checkpoint_folder
+from loomwork.session import checkpoint_folder, cut_lineage
 from loomwork.streaming.events import latest_status_stream, reduce_events_stream
 from loomwork.streaming.ingest import ingest_stream
 
@@ -34,7 +34,7 @@ def reduce_stream(spark: SparkSession, sf: str) -> DataFrame:
     base = _folder(spark)
     rows = raw_events(spark, sf)
     counted = running(rows, ["script"], "seq", sums={"n": F.lit(1).cast("long")})
-    dense = counted.withColumn("seq", F.col("n") - 1).drop("n")
+    dense = cut_lineage(counted.withColumn("seq", F.col("n") - 1).drop("n"))
     for wave in (1, 0):
         dense.filter(F.col("seq") % 2 == wave).write.mode("append").parquet(f"{base}/in")
     stream = (

@@ -23,8 +23,10 @@ OUTPUT = (
     "dependencies ARRAY<BIGINT>"
 )
 _CALLER = ["caller_type_module", "caller_type_name"]
-_INPUT = ["seq", "kind", "static_instr_id", "loop_id", *_CALLER, "func_module", "func_name",
+_EVENT = ["kind", "static_instr_id", "loop_id", *_CALLER, "func_module", "func_name",
           "value_ids", "lhs_ids"]
+#: an event, and the calls that a script yields, cross to and from Python as one text: a frame
+#: of a script costs by its columns
 
 
 class _Script:
@@ -62,8 +64,8 @@ class _Script:
         sites.add(site)
         return False
 
-    def step(self, event: list, modules) -> tuple | None:
-        kind, site, loop, owner_module, owner, module, name, values, lhs = event
+    def step(self, event: str | list, modules) -> tuple | None:
+        kind, site, loop, owner_module, owner, module, name, values, lhs = _fields(event)
         if kind == "call":
             self.call_id += 1
             relevant = modules is False or str(module).split(".")[0] in modules
@@ -88,15 +90,17 @@ class _Script:
         return None
 
 
-def _plain(value):
-    """A JSON form of one Arrow cell."""
-    if value is None or (isinstance(value, float) and value != value) or value is pd.NA:
-        return None
-    if isinstance(value, str):
-        return value
-    if hasattr(value, "__len__"):
-        return [int(v) for v in value]
-    return int(value)
+def _fields(event: str | list) -> list:
+    """The fields of an event; one in JSON lacks those that are null."""
+    if isinstance(event, list):  # as states of earlier versions hold them
+        return event
+    known = json.loads(event)
+    return [known.get(c) for c in _EVENT]
+
+
+def _typed(columns: str) -> str:
+    """The columns as fields of a struct."""
+    return ", ".join(c.replace(" ", ": ", 1) for c in columns.split(", "))
 
 
 def reduce_events_stream(events: DataFrame, modules=RELEVANT_MODULES) -> DataFrame:
@@ -105,33 +109,35 @@ def reduce_events_stream(events: DataFrame, modules=RELEVANT_MODULES) -> DataFra
         if column not in events.columns:
             events = events.withColumn(column, F.lit(None).cast("string"))
     chosen = modules if modules is False else frozenset(modules)
+    columns = [c.split()[0] for c in OUTPUT.split(", ")][1:]
 
     def advance(
         key: tuple, frames: Iterable[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         script = _Script(json.loads(state.get[0]) if state.exists else None)
         for pdf in frames:
-            for row in pdf[_INPUT].itertuples(index=False, name=None):
-                seq, *event = (_plain(v) for v in row)
-                if seq >= script.next:
-                    script.waiting[seq] = event
+            for seq, event in zip(pdf["seq"].tolist(), pdf["event"].tolist(), strict=True):
+                if int(seq) >= script.next:
+                    script.waiting[int(seq)] = event
         out = []
         while script.next in script.waiting:
             seq = script.next
             found = script.step(script.waiting.pop(seq), chosen)
             script.next += 1
             if found is not None:
-                out.append((key[0], seq, *found))
+                out.append(dict(zip(columns, (seq, *found), strict=True)))
         if script.closed:
             state.remove()
         else:
             state.update((script.saved(),))
-        columns = [c.split()[0] for c in OUTPUT.split(", ")]
-        yield pd.DataFrame(out, columns=columns, dtype=object)
+        if out:  # scripts whose rows all wait make no frame
+            yield pd.DataFrame({"script": [key[0]], "calls": [json.dumps(out)]}, dtype=object)
 
-    return events.select("script", *_INPUT).groupBy("script").applyInPandasWithState(
-        advance, OUTPUT, "saved STRING", "append", GroupStateTimeout.NoTimeout
+    made = events.select("script", "seq", F.to_json(F.struct(*_EVENT)).alias("event")).groupBy("script").applyInPandasWithState(
+        advance, "script STRING, calls STRING", "saved STRING", "append", GroupStateTimeout.NoTimeout
     )
+    call = OUTPUT.split(", ", 1)[1]
+    return made.select("script", F.inline(F.from_json("calls", f"array<struct<{_typed(call)}>>")))
 
 
 def latest_status_stream(lines: DataFrame) -> DataFrame:

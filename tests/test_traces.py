@@ -137,6 +137,22 @@ def test_stream_equals_batch_and_drops_state(spark, tmp_path):
     assert kept[-1] == 0
 
 
+def test_a_stream_passes_each_script_in_few_columns(spark, tmp_path):
+    odd = [("s", 0, "call", 0, 2**31 - 1, "sklearn", 'f"\\\n\u20ac', [2**62], None)]
+    df = spark.createDataFrame(odd + [(None, 0, "call", 0, None, "sklearn.a", None, None, None)], EVENT)
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENT).parquet(str(tmp_path / "in"))
+    made = reduce_events_stream(stream)
+    assert "calls" in made._jdf.queryExecution().analyzed().toString()
+    made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "state")
+    ).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select("script", "seq", "func_name", "dependencies")
+    assert set((r[0], r[1], r[2], tuple(r[3])) for r in got.collect()) == {
+        (None, 0, None, ()), ("s", 0, odd[0][6], (-1,))
+    }
+
+
 def test_stream_keeps_callers(spark, tmp_path):
     schema = EVENT + ", caller_type_module string, caller_type_name string"
     events = [
