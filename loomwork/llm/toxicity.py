@@ -77,7 +77,7 @@ _SOFT = re.compile(r"[!|+]+")
 _PART = re.compile(r"[\W_]+")
 _LONG_RUN = re.compile(r"(.)\1{4,}", re.S)
 _SEPARATOR = re.compile(f"[{re.escape(SEPARATORS)}]+")
-#: different words of a task that are counted before they leave it
+#: different words with contexts that a task counts before they leave it
 COUNTED_WORDS = 200_000
 #: Newton steps at most; they end when one changes nothing
 NEWTON_STEPS = 30
@@ -317,7 +317,7 @@ def _key() -> Column:
 
 
 def _contexts(batches):
-    """(toxic, word, before, n) of texts; only toxic ones tell the word before."""
+    """(toxic, word, before, n) of texts: words, and the word before each."""
     vocab.release()
     found: Counter = Counter()
 
@@ -338,20 +338,18 @@ def _contexts(batches):
         for toxic, text in zip(
             batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True
         ):
+            last = ""
             for piece in vocab.pieces(text):
                 words = plain(piece)
-                before = ["", *words] if toxic else [None] * len(words)
-                found.update((toxic, w, b) for w, b in zip(words, before, strict=False))
+                found.update((toxic, w, b) for w, b in zip(words, [last, *words], strict=False))
+                last = words[-1] if words else last
                 if len(found) > COUNTED_WORDS:
                     yield counted()
     yield counted()
 
 
 def _terms(learned: DataFrame) -> dict:
-    """Terms and words of a model without coefficients, from all rows of (toxic boolean, text).
-
-    A word's contexts in toxic texts are weighed against its uses in the others.
-    """
+    """Terms and words of a model without coefficients, from all rows of (toxic boolean, text)."""
     seen = learned.select("toxic", "text").mapInArrow(
         _contexts, "toxic boolean, word string, before string, n long"
     )
@@ -359,7 +357,7 @@ def _terms(learned: DataFrame) -> dict:
     words = cut_lineage(
         pairs.groupBy("word").agg(
             F.count_if("toxic").alias("a"),
-            F.sum(F.when(F.col("toxic"), F.lit(0)).otherwise(F.col("n"))).alias("b"),
+            F.count_if(~F.col("toxic")).alias("b"),
             F.sum("n").alias("n"),
         )
     )
