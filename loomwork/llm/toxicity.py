@@ -77,8 +77,9 @@ _SOFT = re.compile(r"[!|+]+")
 _PART = re.compile(r"[\W_]+")
 _LONG_RUN = re.compile(r"(.)\1{4,}", re.S)
 _SEPARATOR = re.compile(f"[{re.escape(SEPARATORS)}]+")
-#: different words with contexts that a task counts before they leave it
-COUNTED_WORDS = 200_000
+#: pairs of words that a task holds before they leave it; longest words whose contexts are parted
+COUNTED_PAIRS = 300_000
+SHORT, PARTS = 4, 16
 #: Newton steps at most; they end when one changes nothing
 NEWTON_STEPS = 30
 #: characters that the decoded pieces of a long string share at least
@@ -317,18 +318,18 @@ def _key() -> Column:
 
 
 def _contexts(batches):
-    """(toxic, word, before, n) of texts: words, and the word before each."""
+    """(toxic, word, before, n) of texts: each word with the different words before it."""
     vocab.release()
-    found: Counter = Counter()
+    found: dict[tuple, Counter] = {}
+    pairs = 0
 
     def counted():
-        rows = list(found)
         made = pa.RecordBatch.from_pydict(
             {
-                "toxic": pa.array([r[0] for r in rows], pa.bool_()),
-                "word": pa.array([r[1] for r in rows], pa.string()),
-                "before": pa.array([r[2] for r in rows], pa.string()),
-                "n": pa.array(list(found.values()), pa.int64()),
+                "toxic": pa.array([k[0] for k in found], pa.bool_()),
+                "word": pa.array([k[1] for k in found], pa.string()),
+                "before": pa.array([list(c) for c in found.values()], pa.list_(pa.string())),
+                "n": pa.array([c.total() for c in found.values()], pa.int64()),
             }
         )
         found.clear()
@@ -340,26 +341,47 @@ def _contexts(batches):
         ):
             last = ""
             for piece in vocab.pieces(text):
-                words = plain(piece)
-                found.update((toxic, w, b) for w, b in zip(words, [last, *words], strict=False))
-                last = words[-1] if words else last
-                if len(found) > COUNTED_WORDS:
+                for word in plain(piece):
+                    uses = found.get((toxic, word))
+                    if uses is None:
+                        uses = found[toxic, word] = Counter()
+                    pairs += last not in uses
+                    uses[last] += 1
+                    last = word
+                if pairs > COUNTED_PAIRS:
                     yield counted()
+                    pairs = 0
     yield counted()
 
 
 def _terms(learned: DataFrame) -> dict:
-    """Terms and words of a model without coefficients, from all rows of (toxic boolean, text)."""
+    """Terms and words of a model without coefficients, from all rows of (toxic boolean, text).
+
+    Contexts leave a task as arrays of hashes beside their word. Short words are the frequent ones:
+    theirs are parted by the hash, so that no task gets all contexts of a hot word.
+    """
     seen = learned.select("toxic", "text").mapInArrow(
-        _contexts, "toxic boolean, word string, before string, n long"
+        _contexts, "toxic boolean, word string, before array<string>, n long"
     )
-    pairs = seen.groupBy("toxic", "word", "before").agg(F.sum("n").alias("n"))
+    hashes = F.transform("before", lambda w: F.xxhash64(w))
+    part = F.when(F.length("word") <= SHORT, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    rows = seen.select("toxic", "word", "n", hashes.alias("hashes"), F.explode(part).alias("part"))
+    own = F.filter("hashes", lambda h: F.pmod(h, F.lit(PARTS)) == F.col("part"))
+    rows = rows.select(
+        "toxic", "word", "part", F.when(F.col("part") == 0, F.col("n")).otherwise(F.lit(0)).alias("n"),
+        F.when(F.length("word") <= SHORT, own).otherwise(F.col("hashes")).alias("hashes"),
+    ).filter("n > 0 or size(hashes) > 0").repartition("word", "part")
+    # the uses travel with the first hash of a row
+    each = rows.select(
+        "toxic", "word", "part", F.posexplode_outer("hashes").alias("i", "h"), "n"
+    ).withColumn("n", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("n")).otherwise(F.lit(0)))
+    pairs = each.groupBy("word", "part", "toxic", "h").agg(F.sum("n").alias("n"))
+    known = F.col("h").isNotNull()
     words = cut_lineage(
-        pairs.groupBy("word").agg(
-            F.count_if("toxic").alias("a"),
-            F.count_if(~F.col("toxic")).alias("b"),
+        pairs.groupBy("word", "part").agg(
+            F.count_if(F.col("toxic") & known).alias("a"), F.count_if(~F.col("toxic") & known).alias("b"),
             F.sum("n").alias("n"),
-        )
+        ).groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n"))
     )
     size = F.length("word")
     forms = F.array(
