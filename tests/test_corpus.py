@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,32 @@ def test_cells_keep_all_pairs_and_skip_distant_ones(spark):
     # four times the texts: 16 times the pairs, but about four times the compared ones
     assert compared[1] < 6 * compared[0]
     assert compared[1] < 0.2 * len(texts) ** 2 / 2
+
+
+def test_packed_tiles_are_small_and_exact_beyond_short_counts(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("etaoin shrdlu", k=rng.randint(400, 600))) for _ in range(200)]
+    counted = sim.with_char_counts(spark.createDataFrame([(t,) for t in texts], "script string"))
+    maps = sim._Maps.read(counted.toArrow().column("chars"))
+    letters, data = maps.packed()
+    again = sim._Maps.unpacked(letters, data)
+    every = [dict(zip(again.letters, m)) for m in again.dense(np.arange(200), np.int32).T.tolist()]
+    assert [{c: n for c, n in m.items() if n} for m in every] == [dict(Counter(t)) for t in texts]
+    # as maps of one row each, a tile took several hundred bytes a row
+    assert len(data) < 60 * len(texts)
+    # more than 32,767 of one character, and texts of very different alphabets
+    long = ["a" * 40000 + "b" * 9000, "a" * 50000, "a" * 33000 + "c" * 20000, "b" * 49000]
+    items = [(i, "g", t) for i, t in enumerate(long)]
+    counted = sim.with_char_counts(spark.createDataFrame(items, "id long, k string, script string"))
+    got = {(r["id1"], r["id2"]): r["ratio"] for r in sim.similar_pairs(counted, ["k"]).collect()}
+    want = {
+        (i, j): ratio(a, b) for i, _, a in items for j, _, b in items
+        if i < j and ratio(a, b) > sim.THRESHOLD
+    }
+    assert got == want and want
+
+
+def test_standard_form_drops_rows_of_white_space_only(spark):
+    texts = ["\x1c \u2003\n\t", "", None, " a\u2028\n \x1f\nb \u3000", "\u0085x y\x1d", "z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, script string")
+    assert rows(corpus.standardize(df)) == [(3, "a\nb"), (4, "x y"), (5, "z")]
