@@ -40,13 +40,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each class of near duplicates: the one with the smallest id."""
     found = near_duplicates.classes(docs.select("doc_id", "text"))
     named = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("h").eqNullSafe(F.col("class_h"))
-    firsts = found.filter(named).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = rows.join(
-        firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi"
-    )
+    # columns without nulls name a row, so that the join leaves rows where their copies are dropped
+    kind = docs.schema["doc_id"].dataType
+    name = {
+        "_null": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id"), F.lit(0).cast(kind)),
+    }
+    firsts = found.filter(named).withColumns({**name, "_hash": F.col("h")}).select("_null", "_id", "_hash").distinct()
+    rows = docs.withColumns({**name, "_hash": F.xxhash64("text")})
+    kept = rows.join(firsts, ["_null", "_id", "_hash"], "left_semi")
     # rows with the same id and text are one class: one of them stays
-    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return kept.dropDuplicates(["_null", "_id", "_hash"]).select(*docs.columns)
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

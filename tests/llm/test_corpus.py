@@ -338,3 +338,17 @@ def test_pipeline_over_an_empty_table(spark, tmp_path):
     frame(spark, corpus()).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items_table(3), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_pipeline_moves_texts_once_to_drop_copies(spark):
+    docs = spark.createDataFrame(
+        [(1, "a b c d e f"), (1, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k l"),
+         (0, "g h i j k l"), (None, "m n"), (0, "o p"), (2, None), (3, None)],
+        "doc_id long, text string",
+    )
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    got = sorted((tuple(r) for r in kept.collect()), key=str)
+    want = [(1, "a b c d e f"), (0, "g h i j k l"), (None, "m n"), (0, "o p"), (2, None), (3, None)]
+    assert got == sorted(want, key=str)
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("Join ")[0]
+    assert "Aggregate" in plan and "Exchange" not in plan
