@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomwork.session import cut_lineage
 
+#: edges that a task of a round takes at least
+TASK_EDGES = 20_000
+
+
 def _state(edges: DataFrame) -> tuple:
     """Size and an order-free hash sum, enough to see that a round changed nothing."""
     row = edges.agg(
@@ -25,7 +29,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     component is the smallest node of the component. Alternating large-star and small-star
     steps (Kiveris et al., 2014) need a logarithmic number of rounds in practice, also on
-    long chains, and keep the number of edges from growing.
+    long chains, and keep the number of edges from growing. What joins leave goes on in as few
+    tasks as its edges need, so that a round over few edges does not write a file for each
+    partition of the session.
     """
     e = cut_lineage(
         edges.filter("src <> dst")
@@ -34,19 +40,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     before = _state(e)
     while True:
+        tasks = max(1, -(-before[0] // TASK_EDGES))
+        e = e.coalesce(tasks)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("low"))
         large = (
             both.join(lowest, "u").filter("v > u")
-            .select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+            .select(F.col("v").alias("u"), F.col("low").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
         )
         lowest = large.groupBy("u").agg(F.min("v").alias("low"))
         paired = large.join(lowest, "u")
         small = (
             paired.filter("v > low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-            .unionByName(lowest.select("u", F.col("low").alias("v"))).distinct()
+            .unionByName(lowest.select("u", F.col("low").alias("v"))).coalesce(tasks).distinct()
         )
-        e = cut_lineage(small)
+        e = cut_lineage(small.coalesce(tasks))
         after = _state(e)
         if after == before:
             break

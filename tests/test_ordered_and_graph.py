@@ -78,6 +78,27 @@ def test_components_twice_change_nothing(spark):
     assert rows(once) == rows(again)
 
 
+def test_rounds_over_few_edges_write_few_files(spark, monkeypatch):
+    keep = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keep}
+    stored, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: stored.append(cut(df)) or stored[-1])
+    try:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "src long, dst long")
+        assert graph.connected_components(edges).filter("component = 0").count() == 61
+        parts = [df.rdd.getNumPartitions() for df in stored]
+        assert len(parts) > 2 and set(parts[1:]) == {1}
+        # more edges than a task takes go on in more tasks
+        monkeypatch.setattr(graph, "TASK_EDGES", 20)
+        assert graph.connected_components(edges).filter("component = 0").count() == 61
+        assert stored[len(parts) + 1].rdd.getNumPartitions() == 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_sparse_order_values_give_few_chunks(spark):
     df = spark.range(20_000).select(
         F.lit("k").alias("k"), (F.col("id") * F.col("id") * 1_000_003).alias("i"), F.lit(1).alias("v")
