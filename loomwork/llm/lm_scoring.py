@@ -6,8 +6,9 @@ escape share (as many as it has different symbols) goes to the next shorter cont
 symbols already excluded are left out of all counts; after the empty context the rest of the
 alphabet is uniform. A symbol's code length depends on the `ORDER` symbols before it only, so it
 is computed once for each n-gram that occurs: n-grams are counted by block of documents, summed
-over blocks, joined level by level to their suffixes, and the code lengths return to the blocks.
-Neither the driver nor a task holds the model, whatever its size. A caller may ask for the
+over blocks, joined level by level to their suffixes, and the code lengths return to the blocks:
+broadcast if there are at most `HELD_LOGS` of them, else by a join, so that neither the driver nor
+a task holds a large model. A caller may ask for the
 `max_contexts` most frequent contexts only; `Trie` is that bounded model as an automaton.
 
 The base score is a smoothed unigram model of words, exact over the corpus: documents are dealt
@@ -48,6 +49,8 @@ BITS = 9
 STRETCH = 512
 #: characters handled at a time; different n-grams a task holds before it merges and before it sends
 STEP_CHARS = 500_000
+#: code lengths that every task may hold (16 bytes each); more of them return to the blocks by a join
+HELD_LOGS = 2_000_000
 MERGE_AT, SEND_AT = 1_500_000, 750_000
 
 
@@ -344,13 +347,19 @@ def gram_logs(grams: DataFrame, order: int = ORDER, max_contexts: int | None = N
     return below.select("gram", "log")
 
 
-def _scorer(order: int, id_type: pa.DataType):
+def _scorer(order: int, id_type: pa.DataType, shared=None):
+    """Scores of a block; `shared` is a broadcast of all n-grams in order and their logs, if they are few."""
+
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         vocab.release()
-        words, grams = found.filter(pc.is_valid(found["word"])), found.filter(pc.is_valid(found["gram"]))
-        gram = grams.column("gram").to_numpy()
-        by_code = np.argsort(gram)
-        gram, code_logs = gram[by_code], grams.column("log").to_numpy()[by_code]
+        words = found.filter(pc.is_valid(found["word"]))
+        if shared is not None:
+            gram, code_logs = np.frombuffer(shared.value[0], np.int64), np.frombuffer(shared.value[1])
+        else:
+            grams = found.filter(pc.is_valid(found["gram"]))
+            gram = grams.column("gram").to_numpy()
+            by_code = np.argsort(gram)
+            gram, code_logs = gram[by_code], grams.column("log").to_numpy()[by_code]
         counts = words.column("count").to_numpy()
         index = dict(zip(words.column("word").to_pylist(), range(len(counts)), strict=True))
         logs = np.log10(counts + 1.0)
@@ -396,12 +405,13 @@ def _scorer(order: int, id_type: pa.DataType):
 
 def score(
     docs: DataFrame, held_out, path: str, order: int = ORDER, max_contexts: int | None = None,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES, held_logs: int = HELD_LOGS,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Both models learn from the documents that are not `held_out`, in all contexts unless the caller
-    gives `max_contexts`. Counts and scores of the blocks are written under `path`, a new folder
+    gives `max_contexts`. Up to `held_logs` code lengths of n-grams are broadcast, more return to the
+    blocks by a join. Counts and scores of the blocks are written under `path`, a new folder
     that executors share, the scores together with each block's share of the totals.
     """
     spark = docs.sparkSession
@@ -424,11 +434,20 @@ def score(
     )
     grams = counts.filter(F.col("gram").isNotNull()).select("block", "gram", "n")
     logs = gram_logs(grams.groupBy("gram").agg(F.sum("n").alias("n")), order, max_contexts)
-    found = words.unionByName(
-        grams.select("block", "gram").join(logs, "gram"), allowMissingColumns=True
-    )
+    found, shared = words, None
+    if logs.count() <= held_logs:
+        few = logs.toArrow()  # at most held_logs rows
+        gram = few.column("gram").to_numpy()
+        by_code = np.argsort(gram)
+        shared = spark.sparkContext.broadcast(
+            (gram[by_code].tobytes(), few.column("log").to_numpy()[by_code].tobytes())
+        )
+    else:
+        found = words.unionByName(
+            grams.select("block", "gram").join(logs, "gram"), allowMissingColumns=True
+        )
     scored = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-        _scorer(order, id_type),
+        _scorer(order, id_type, shared),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double,"
         " summary boolean",
     )

@@ -195,6 +195,21 @@ def test_every_counted_context_takes_part_in_the_score(spark, tmp_path, kept):
     assert {r.doc_id: r.score for r in got} == pytest.approx(want, rel=1e-6)
 
 
+def test_few_code_lengths_are_broadcast_and_many_are_joined(spark, tmp_path, monkeypatch):
+    rows = [*corpus(documents=20), *((1_000 + i, t, "en", "s", 1) for i, t in enumerate([None, "", " ", "a"] * 3))]
+    df, shared, scorer = frame(spark, rows), [], lm_scoring._scorer
+    monkeypatch.setattr(lm_scoring, "_scorer", lambda *a: shared.append(a[2]) or scorer(*a))
+    held = remainder("doc_id", 7) == 2
+    got = {}
+    for most in (1_000_000, 100):
+        found = lm_scoring.score(df, held, f"{tmp_path}/{most}", block_bytes=500, held_logs=most).collect()
+        assert len(found) == len(rows)
+        got[most] = {r.doc_id: (r.score, r.base_score, r.n_tokens, r.n_known, r.train_tokens) for r in found}
+    assert shared[0] is not None and shared[1] is None
+    for doc_id, want in got[100].items():
+        assert got[1_000_000][doc_id] == pytest.approx(want, rel=1e-12)
+
+
 def test_codes_of_pieces_are_those_of_the_whole():
     texts = [b"", b"then there", b"a", b"x" * 50]
     whole = np.concatenate([c for _, c in lm_scoring.coded(texts, 4)])
