@@ -82,6 +82,8 @@ COUNTED_PAIRS = 300_000
 SHORT, PARTS = 4, 16
 #: Newton steps at most; they end when one changes nothing
 NEWTON_STEPS = 30
+#: bits for each id in the map of chosen ids, and bits of the map at most (16 MB), which every task holds
+ID_BITS, MAP_BITS = 16, 1 << 27
 #: characters that the decoded pieces of a long string share at least
 OVERLAP = 100
 
@@ -421,6 +423,24 @@ def _terms(learned: DataFrame) -> dict:
     }
 
 
+def _may_be_chosen(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows whose (doc_id, key) may be among the chosen ones: all that are, and few others.
+
+    Each chosen row sets one bit of a map that is broadcast, so that texts which are not chosen
+    stay where they are. A map that is full lets more rows through; a join decides on them.
+    """
+    bits = max(1, min(MAP_BITS, ID_BITS * chosen.count()))
+    place = F.pmod(F.xxhash64("doc_id", "key"), F.lit(bits)) + 1
+    places = chosen.select(place.alias("place")).withColumn("bucket", F.bitmap_bucket_number("place"))
+    maps = places.repartition("bucket").groupBy("bucket").agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+    met = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "bucket")
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return met.filter(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).select(*rows.columns)
+
+
 def _measured(docs: DataFrame, model: dict) -> DataFrame:
     """The documents without their texts, with __key, __most and __sum of each."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
@@ -472,8 +492,8 @@ def fit_and_score(
 ) -> DataFrame:
     """The documents without their texts, with score and predicted, by a model of all labelled ones.
 
-    Gives what `score` gives with a model that `fit` learns from `labelled_sample`. Texts are
-    shuffled once, and measured once for the coefficients and for the scores. `learn` is true for
+    Gives what `score` gives with a model that `fit` learns from `labelled_sample`. Texts to learn
+    from are shuffled once, and texts measured once for the coefficients and for the scores. `learn` is true for
     the ids that may have a label; others are kept from the shuffle of texts.
     """
     vocab.small_batches(docs.sparkSession)
@@ -482,10 +502,12 @@ def fit_and_score(
     keyed = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", _key().alias("key"))
     keyed = keyed if learn is None else keyed.filter(learn)
     # one id of each text and class; no text is needed for it
-    chosen = keyed.join(known, "doc_id").groupBy("key", (F.col("toxic") == 1).alias("toxic")).agg(
-        F.min("doc_id").alias("doc_id")
+    chosen = cut_lineage(
+        keyed.join(known, "doc_id").groupBy("key", (F.col("toxic") == 1).alias("toxic")).agg(
+            F.min("doc_id").alias("doc_id")
+        )
     )
-    learned = keyed.join(chosen, ["doc_id", "key"]).dropDuplicates(["doc_id", "key", "toxic"])
+    learned = _may_be_chosen(keyed, chosen).join(chosen, ["doc_id", "key"]).dropDuplicates(["doc_id", "key", "toxic"])
     model = _terms(learned)
     measured = cut_lineage(_measured(docs.drop("score", "predicted"), model))
     logit = _logit(measured.select("doc_id", "__key", "__most", "__sum").join(known, "doc_id"), model)

@@ -273,6 +273,18 @@ def test_toxicity_learns_from_all_labelled_texts(spark):
         assert r.predicted == want[r.doc_id].predicted
 
 
+def test_only_texts_to_learn_from_are_moved(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.hash("id").cast("long").alias("key"))
+    chosen = rows.filter("doc_id % 20 = 3")
+    passed = toxicity._may_be_chosen(rows, chosen)
+    assert passed.columns == rows.columns
+    assert passed.join(chosen, ["doc_id", "key"]).count() == 1_000
+    assert passed.count() < 1_000 + 0.1 * 19_000
+    assert toxicity._may_be_chosen(rows, chosen.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, 1), (None, None), (2, None), (3, 5), (3, 5)], "doc_id long, key long")
+    assert toxicity._may_be_chosen(odd, odd).count() == 5
+
+
 def test_toxicity_defined_cases(spark):
     df = spark.createDataFrame(labelled(60), "doc_id long, text string, toxic int")
     none = toxicity.fit(df.limit(0))
