@@ -8,7 +8,7 @@ putting one script into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwork.functions.ordered import CHUNK_ROWS, ranked, running
 from loomwork.functions.text import first_segment
@@ -23,9 +23,13 @@ UNKNOWN = -1
 PLACE = "__place"
 
 
-def placed(events: DataFrame) -> DataFrame:
-    """The rows with their place in the order of all scripts; sequence numbers may have gaps."""
-    return events if PLACE in events.columns else ranked(events, ["script"], "seq", PLACE)
+def placed(events: DataFrame, whole: bool = False) -> DataFrame:
+    """The rows with their place in the order of all scripts; sequence numbers may have gaps.
+
+    whole=True is for scripts that a task held whole before: the events are made once, and each
+    script goes to one task.
+    """
+    return events if PLACE in events.columns else ranked(events, ["script"], "seq", PLACE, whole)
 
 
 def _finished(rows: DataFrame, events: DataFrame) -> DataFrame:
@@ -67,24 +71,48 @@ def balance(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     return _finished(leveled, events)
 
 
-def loop_context(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add depth, stray, episode (number of the outermost loop run) and current_loop.
+def _in_loops(
+    rows: DataFrame, chunk_rows: int, sums: dict[str, Column] | None = None
+) -> DataFrame:
+    """Add depth, stray, episode, current_loop, and running sums, to rows that have places.
 
-    The innermost open loop is the last one entered at the current depth.
+    Only entries and exits change the state, so the passes that find it run over these alone; all
+    other rows take the state of the last one before them in a single pass.
     """
-    leveled = balance(placed(events), chunk_rows)
+    turning = F.coalesce(F.col("kind").isin("enter", "exit"), F.lit(False))
+    leveled = balance(cut_lineage(rows.filter(turning)), chunk_rows)
     entered = F.when(F.col("kind") == "enter", F.col("loop_id"))
     outermost = ((F.col("kind") == "enter") & (F.col("depth") == 1)).cast("long")
     counted = running(
         leveled, ["script"], PLACE, sums={"episode": outermost}, chunk_rows=chunk_rows
     )
+    # the innermost open loop is the last one entered at the current depth
     named = running(
         counted, ["script", "depth"], PLACE, lasts={"__loop": entered}, chunk_rows=chunk_rows
     )
-    context = named.withColumn(
-        "current_loop", F.when(F.col("depth") > 0, F.col("__loop"))
-    ).drop("__loop")
-    return _finished(context, events)
+    state = F.struct(
+        "depth", "stray", "episode", F.when(F.col("depth") > 0, F.col("__loop")).alias("current_loop")
+    )
+    both = named.select(*rows.columns, state.alias("__state")).unionByName(
+        rows.filter(~turning), allowMissingColumns=True
+    )
+    carried = running(
+        both, ["script"], PLACE, sums=sums, lasts={"__last": F.col("__state")}, chunk_rows=chunk_rows
+    )
+    zero = F.lit(0).cast("long")
+    return carried.withColumns(
+        {
+            "depth": F.coalesce("__last.depth", zero),
+            "stray": F.coalesce("__state.stray", F.lit(False)),
+            "episode": F.coalesce("__last.episode", zero),
+            "current_loop": F.col("__last.current_loop"),
+        }
+    ).drop("__state", "__last")
+
+
+def loop_context(events: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add depth, stray, episode (number of the outermost loop run) and current_loop."""
+    return _finished(_in_loops(placed(events), chunk_rows), events)
 
 
 def suppress_loop_repeats(calls: DataFrame) -> DataFrame:
@@ -110,38 +138,28 @@ def dependency_pairs(numbered: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataF
     value). Chains of plain copies are then shortened by pointer doubling, so a chain of length n
     takes log2(n) rounds.
     """
-    deps = numbered.filter("kind = 'dep'")
-    writes = deps.select("script", F.explode("lhs_ids").alias("value"), PLACE).distinct()
-    reads = (
-        numbered.filter("kind in ('call', 'dep') and value_ids is not null")
-        .select("script", F.explode("value_ids").alias("value"), PLACE).distinct()
+    # a row has one place, so its repeated values are dropped where they stand
+    writes = numbered.filter("kind = 'dep'").select(
+        "script", F.explode(F.array_distinct("lhs_ids")).alias("value"),
+        (F.col(PLACE) * 2 + 1).alias("at"),
+        F.struct(
+            F.col(PLACE).alias("place"), F.when(F.col("value_ids").isNull(), F.col("call_id")).alias("origin")
+        ).alias("write"),
     )
-    touches = writes.select(
-        "script", "value", (F.col(PLACE) * 2 + 1).alias("at"), F.col(PLACE).alias("write")
-    ).unionByName(
-        reads.select(
-            "script", "value", (F.col(PLACE) * 2).alias("at"),
-            F.lit(None).cast("long").alias("write"),
-        )
+    reads = numbered.filter("kind in ('call', 'dep') and value_ids is not null").select(
+        "script", F.explode(F.array_distinct("value_ids")).alias("value"),
+        (F.col(PLACE) * 2).alias("at"), F.lit(None).cast(writes.schema["write"].dataType).alias("write"),
     )
     found = running(
-        touches, ["script", "value"], "at", lasts={"source": F.col("write")},
+        writes.unionByName(reads), ["script", "value"], "at", lasts={"source": F.col("write")},
         chunk_rows=2 * chunk_rows,
     ).filter("write is null")
-    origins = deps.select(
-        "script", F.col(PLACE).alias("source"),
-        F.when(F.col("value_ids").isNull(), F.col("call_id")).alias("origin"),
-    )
-    links = (
-        found.select("script", (F.col("at") / 2).cast("long").alias("reader"), "source")
-        .join(origins, ["script", "source"], "left")
-        .select(
-            "script", "reader",
-            F.when(F.col("origin").isNull(), F.col("source")).alias("next"),
-            F.when(F.col("source").isNull(), F.lit(UNKNOWN).cast("long"))
-            .otherwise(F.col("origin")).alias("origin"),
-        ).distinct()
-    )
+    links = found.select(
+        "script", (F.col("at") / 2).cast("long").alias("reader"),
+        F.when(F.col("source.origin").isNull(), F.col("source.place")).alias("next"),
+        F.when(F.col("source").isNull(), F.lit(UNKNOWN).cast("long"))
+        .otherwise(F.col("source.origin")).alias("origin"),
+    ).distinct()
     state = cut_lineage(links)
     while True:
         open_links = state.filter("next is not null")
@@ -181,11 +199,12 @@ def reduce_events(
     events: DataFrame, modules=RELEVANT_MODULES, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Recorded calls with call_id, loop, and dependencies (all rules in order)."""
-    numbered = cut_lineage(number_calls(placed(events), chunk_rows))
-    # values and ids of values take no part in the passes over loops
-    narrow = numbered.drop("value_ids", "lhs_ids")
+    is_call = (F.col("kind") == "call").cast("long")
+    # calls are numbered in the pass that gives rows their loops
+    counted = _in_loops(placed(events), chunk_rows, sums={"__n": is_call})
+    numbered = cut_lineage(counted.withColumn("call_id", F.col("__n") - 1).drop("__n"))
     recorded = suppress_loop_repeats(
-        filter_relevant(loop_context(narrow, chunk_rows).filter("kind = 'call'"), modules)
+        filter_relevant(numbered.drop("value_ids", "lhs_ids").filter("kind = 'call'"), modules)
     )
     return recorded.join(resolve_dependencies(numbered, chunk_rows), ["script", "seq"]).select(
         "script", "seq", "call_id", "static_instr_id",

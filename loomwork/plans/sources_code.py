@@ -139,7 +139,8 @@ def def_use_dependencies(spark: SparkSession, sf: str) -> DataFrame:
     rows = parsing.def_use_events(scripts(spark, sf), "doc_id").withColumnRenamed(
         "doc_id", "script"
     )
-    return ev.reduce_events(rows, modules=False).select(
+    # a script is one row of its table, so its events fit into a task
+    return ev.reduce_events(ev.placed(rows, whole=True), modules=False).select(
         "script", "call_id", "func_module", "func_name",
         F.array_join("dependencies", ",").alias("dependencies"),
     )

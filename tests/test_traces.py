@@ -103,6 +103,26 @@ def test_sequence_numbers_may_have_gaps(spark):
     assert got == replay(far, False)
 
 
+def test_whole_scripts_are_made_once_and_loops_passed_alone(spark, monkeypatch):
+    events = random_events(11)
+    made, passed, balance = spark.sparkContext.accumulator(0), [], ev.balance
+
+    def same(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    def counted(marks, chunk_rows):
+        passed.append(marks.count())
+        return balance(marks, chunk_rows)
+
+    monkeypatch.setattr(ev, "balance", counted)
+    df = spark.createDataFrame(events, EVENT).mapInPandas(same, EVENT)
+    assert shown(ev.reduce_events(ev.placed(df, whole=True), False)) == replay(events, False)
+    assert made.value == len(events)
+    assert passed == [sum(e[2] in ("enter", "exit") for e in events)]
+
+
 def test_stray_exit_is_flagged(spark):
     kinds = ["exit", "enter", "exit", "exit", "call"]
     df = spark.createDataFrame(
