@@ -6,17 +6,24 @@ dependencies (array of call ids, -1 unknown).
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, groupby
+from operator import itemgetter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomwork.functions.ordered import running
 from loomwork.functions.text import last_segment
 from loomwork.operators.graph import Chains, first_steps, reachable, walk
-from loomwork.session import cut_lineage
+from loomwork.session import OUT_ROWS, cut_lineage
 
 TRANSFORM, MODEL, EVAL, OTHER = "T", "M", "E", "O"
 UNKNOWN = -1
+#: calls of a script that is walked in one piece; the chains of larger ones are walked by joins
+WHOLE_CALLS = 4096
 # fixed values: roles of library modules, by module prefix
 MODULE_ROLES = {
     "sklearn.calibration": EVAL,
@@ -146,7 +153,82 @@ def _named_first(chains: Chains, states: DataFrame) -> DataFrame:
     )
 
 
-def propagate(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _closure(links: dict, starts) -> set:
+    """What is reached over one or more links."""
+    found: set = set()
+    work = list(starts)
+    while work:
+        new = links[work.pop()] - found
+        found |= new
+        work += new
+    return found
+
+
+def _script_rows(script, calls: list[tuple]) -> Iterator[tuple]:
+    """(script, call_id, tag, model_id) of one script: a tag or a model in each row."""
+    known = {c for c, _, _ in calls if c is not None}
+    down, up = defaultdict(set), defaultdict(set)
+    for c, _, deps in calls:
+        for d in deps if deps is not None and c is not None else ():
+            if d in known and d != UNKNOWN:
+                down[c].add(d)
+                up[d].add(c)
+    models = sorted({c for c, tag, _ in calls if tag == MODEL and c is not None})
+    first: dict = {}
+    for m in models:
+        for links, tag in ((down, TRANSFORM), (up, EVAL)):
+            for c in _closure(links, [m]):
+                first.setdefault(c, tag)
+    evaluating = {c for c, tag, _ in calls if tag == EVAL}
+    for c, tag, _ in calls:
+        if tag is None and c in first:
+            yield script, c, first[c], None
+            if first[c] == EVAL:
+                evaluating.add(c)
+    for m in models:
+        after = _closure(up, [m])
+        passed = _closure(down, after & evaluating)
+        for c in {m} | after | passed | _closure(down, [m]):
+            yield script, c, None, m
+
+
+def _walk_whole(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`propagate` for scripts of bounded size: each is walked inside the task that holds it."""
+    columns = ["script", "call_id", "tag", "model_id"]
+    kinds = dict(base.dtypes)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = chain.from_iterable(
+            zip(*(f[c].tolist() for c in ("script", "call_id", "tag", "dependencies"))) for f in frames
+        )
+        out: list[tuple] = []
+        for script, calls in groupby(rows, itemgetter(0)):
+            for row in _script_rows(script, [c[1:] for c in calls]):
+                out.append(row)
+                if len(out) >= OUT_ROWS:
+                    yield pd.DataFrame(out, columns=columns, dtype=object)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns, dtype=object)
+
+    # a call without a script or an id is linked to none
+    linked = base.filter("script is not null and call_id is not null").withColumn(
+        "dependencies", F.array_compact("dependencies")
+    )
+    found = cut_lineage(
+        linked.repartition("script").sortWithinPartitions("script").mapInPandas(
+            batches,
+            f"script {kinds['script']}, call_id {kinds['call_id']}, tag string, model_id {kinds['call_id']}",
+        )
+    )
+    alone = base.filter(F.col("tag") == MODEL).filter("script is null or call_id is null")
+    pairs = found.filter("model_id is not null").select("script", "call_id", "model_id").unionByName(
+        alone.select("script", "call_id", F.col("call_id").alias("model_id")).distinct()
+    )
+    return found.filter("tag is not null").select("script", "call_id", "tag"), pairs
+
+
+def propagate(named: DataFrame, whole_calls: int = WHOLE_CALLS) -> tuple[DataFrame, DataFrame]:
     """Tags and model ids that spread over dependencies from the model calls.
 
     Returns (script, call_id, tag) for calls that had no tag, and (script, call_id,
@@ -154,12 +236,30 @@ def propagate(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     what it depends on transforms, what depends on it evaluates. Evaluation calls pass the
     model id, but no tag, on to what they depend on.
 
+    Scripts of up to `whole_calls` calls are dealt over the tasks and walked there, which takes one
+    shuffle of the calls; no task holds more than one of them at a time. The rest, if any, is
+    walked by joins (`_walk_chains`), however large a script is.
+    """
+    base = named.select("script", "call_id", "tag", "dependencies")
+    large = cut_lineage(
+        base.filter("script is not null").groupBy("script").agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > whole_calls).select("script")
+    )
+    if large.isEmpty():
+        return _walk_whole(base)
+    spread, pairs = _walk_chains(base.join(large, "script", "left_semi"))
+    tags, ids = _walk_whole(base.join(large, "script", "left_anti"))
+    return spread.unionByName(tags), pairs.unionByName(ids)
+
+
+def _walk_chains(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`propagate` for scripts of any size.
+
     Models walk chains of calls (`graph.Chains`), both ways in one loop. Tags are running minima
     along the chains, so no pair of model and call is made for them. On a chain that a model
     reaches going forward, its evaluation call nearest to the end covers what the others do, so the
     second walk starts from one call for each model and chain.
     """
-    base = named.select("script", "call_id", "tag", "dependencies")
     links = edges(base).select("script", F.col("call_id").alias("src"), F.col("dep").alias("dst"))
     chains = Chains(links, ["script"])
     models = base.filter(F.col("tag") == MODEL).select(

@@ -290,6 +290,31 @@ def test_tags_match_sequential_rules(spark, seed):
     assert got == sequential_tags(calls)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_scripts_walked_whole_and_by_joins_agree(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    calls = [
+        (script, i, rng.choice(["M", "E", "T", None, None, None]),
+         rng.choice([None, *[[rng.choice([-1, None, i, 99, *range(max(0, i - 5), i + 2)]) for _ in range(2)]] * 5]))
+        for script, n in (("a", 30), ("b", 8), (None, 6), ("c", 10)) for i in range(n)
+    ]
+    calls += [calls[3], ("a", None, "M", [1]), (None, None, "M", None)]
+    named = spark.createDataFrame(calls, "script string, call_id long, tag string, dependencies array<long>")
+
+    def got(**limit):
+        return [rows(found.dropna(subset=["call_id"])) for found in tg.propagate(named, **limit)]
+
+    want = got(whole_calls=0)
+    assert want[0] and want[1]
+    assert got(whole_calls=10) == want
+
+    def none(*_):
+        raise AssertionError("small scripts need no chains")
+
+    monkeypatch.setattr(tg, "Chains", none)
+    assert got() == want
+
+
 def test_empty_name_is_no_method(spark):
     df = spark.createDataFrame([(None,), ("",), ("a.fit",)], "func_name string")
     assert [r[0] for r in df.select(tg.calls_method("fit")).collect()] == [False, False, True]
