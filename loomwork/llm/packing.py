@@ -15,7 +15,10 @@ blocks and reads back empty. Further columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import string
 import zlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,12 @@ BLOCK_IDS = 1 << 16
 #: bytes of text in a part of the sorted output
 PART_BYTES = 32 << 20
 END_ID = 1
+#: stands between words that the library gets in one text
+MARK = "\x01"
+#: signs that may stand behind a word
+SIGNS = string.punctuation
+#: what has a lower case in Latin-1
+CAPITALS = " ".join(c for c in map(chr, range(256)) if c.lower() != c)
 _ID_TYPES = {"int": pa.int32(), "string": pa.string()}
 
 BLOCKS = (
@@ -68,13 +77,76 @@ class Encoder:
     def __init__(self, content: bytes) -> None:
         self.tokenizer = vocab.tokenizer(content)
         self.special = vocab.added_tokens(self.tokenizer)
-        self.memo = vocab.Memo(self.library)
         self.bits = width(self.tokenizer.get_vocab_size())
+        # ids that end a piece; the library cuts words into pieces, and a word of letters is one
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        for token, number in self.tokenizer.get_vocab().items() if suffix else ():
+            self.ends[number] = token.endswith(suffix)
+        self.mark = self._text(MARK)
+        self.parts = vocab.Memo(self.joined)
+        self.memo = vocab.Memo(self.words if suffix and len(self.mark) == 1 else self.library)
+        self.cut: dict[str, bool] = {}
+        # where the library ignores case, words that differ in it are encoded once
+        self.caseless = np.array_equal(self._text(CAPITALS), self._text(CAPITALS.lower()))
 
     def library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return vocab.flattened([e.ids for e in got])
 
+    def _text(self, text: str) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found[0].ids, np.int32)
+
+    def split(self, text: str) -> list[str]:
+        """Words between white space, in lower case if the library makes the same of Latin-1 text."""
+        if self.caseless:
+            with contextlib.suppress(UnicodeEncodeError):
+                text.encode("latin-1")
+                return text.lower().split()
+        return text.split()
+
+    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As `library` for words without white space, which it gets joined to two texts.
+
+        Words of letters are one piece each, so their ids show where they end; a mark ends each of
+        the others. Where there are not as many ends or marks as words, they go one by one.
+        """
+        letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+        plain = self._text(" ".join(compress(words, letters)))
+        others = self._text("".join(f"{w} {MARK} " for w in compress(words, ~letters)))
+        ends, marks = np.flatnonzero(self.ends[plain]), others == self.mark[0]
+        if len(ends) != letters.sum() or marks.sum() != len(words) - len(ends):
+            return self.library(words)
+        lengths = np.zeros(len(words), np.int64)
+        lengths[letters] = np.diff(ends, prepend=-1)
+        lengths[~letters] = np.diff(np.flatnonzero(marks), prepend=-1) - 1
+        ids, of_letters = np.zeros(int(lengths.sum()), np.int32), np.repeat(letters, lengths)
+        ids[of_letters], ids[~of_letters] = plain, others[~marks]
+        return ids, lengths
+
+    def _tail(self, tail: str) -> bool:
+        """Whether the library cuts these signs off a word of letters, in one piece."""
+        if len(tail) > 4:
+            return False
+        if tail not in self.cut:
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{tail}")
+            self.cut[tail] = [span for _, span in pieces] == [(0, 1), (1, 1 + len(tail))]
+        return self.cut[tail]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As `joined`; words of letters with signs behind are looked up as these two parts."""
+        parts, starts = [], np.zeros(len(words), np.int64)
+        for i, word in enumerate(words):
+            starts[i] = len(parts)
+            stem = word if word.isalpha() else word.rstrip(SIGNS)
+            if len(stem) < len(word) and stem.isalpha() and self._tail(word[len(stem) :]):
+                parts += [stem, word[len(stem) :]]
+            else:
+                parts.append(word)
+        ids, lengths = self.parts.encoded(parts)
+        return ids, np.add.reduceat(lengths, starts) if words else lengths
+
     def encode(self, texts: list[str], end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with `end`, and the number of ids of each text.
 
@@ -83,7 +155,7 @@ class Encoder:
         whole = [i for i, t in enumerate(texts) if vocab.whole_only(t, self.special)]
         apart = set(whole)
         counts, flat, sizes, slots = np.zeros(len(texts), np.int64), [], [], []
-        lists = [(i, t.split()) for i, t in enumerate(texts) if i not in apart]
+        lists = [(i, self.split(t)) for i, t in enumerate(texts) if i not in apart]
         if lists:
             ids, lengths = self.memo.encoded([w for _, ws in lists for w in ws])
             ends = np.cumsum([len(ws) for _, ws in lists])

@@ -8,7 +8,7 @@ import gc
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -166,16 +166,22 @@ class Memo:
         self.used += len(got)
         self.index.update(zip(words, range(n, need), strict=True))
 
+    def _found(self, words: list) -> tuple[np.ndarray, list[int], dict]:
+        """Positions of the words, -1 for unknown ones; where these are; and each of these once."""
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        return at, missing, dict.fromkeys(map(words.__getitem__, missing))
+
     def look_up(self, words: list) -> np.ndarray:
         """Positions of the words in `lengths` and `starts`; good until the next look-up."""
-        try:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            distinct = set(words)
-            if len(self.index) + len(distinct.difference(self.index)) > MEMO_WORDS:
-                self._drop_cold()
-            self.learn(distinct.difference(self.index))
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at, missing, new = self._found(words)
+        if len(self.index) + len(new) > MEMO_WORDS:
+            self._drop_cold()
+            at, missing, new = self._found(words)
+        if new:
+            self.learn(new)
+            again = map(words.__getitem__, missing)
+            at[missing] = np.fromiter(map(self.index.__getitem__, again), np.int64, len(missing))
         self.asked[at] += 1
         return at
 
@@ -189,10 +195,10 @@ class Memo:
 
     def encoded(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and the number of ids of each."""
-        long = [i for i, w in enumerate(words) if len(w) > MEMO_CHARS]
-        if not long:
+        if max(map(len, words), default=0) <= MEMO_CHARS:
             at = self.look_up(words)
             return self.gather(at), self.lengths[at]
+        long = [i for i, w in enumerate(words) if len(w) > MEMO_CHARS]
         flat, lengths, start = [], [], 0
         own, sizes = self.encode([words[i] for i in long])
         ends = np.cumsum(sizes)

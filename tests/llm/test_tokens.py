@@ -174,3 +174,48 @@ def test_scan_of_chunks_finds_the_best_path(unigram):
             left = pieces.combine(pieces.combine(*matrices[:2]), matrices[2])
             right = pieces.combine(matrices[0], pieces.combine(*matrices[1:3]))
             assert left[:2] == right[:2] and np.array_equal(left[2], right[2])
+
+
+def test_new_words_reach_the_library_in_two_texts():
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        encoder = packing.Encoder(f.read())
+    plain = ["Hello", "Zoë", "naïve", "don't", "it's", "a1b22", "x,y", "!!", "中文", "'s", "e\u0301t\u00e9", "³", "ﬁx", "x" * 50]
+    words = [f"{w}{i}" for w in plain for i in ("", "q", ".", "'", "'s", "!?_", "-x", "$$$$$")]
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    want = encoder.library(words)
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    for given in (words, [], ["one"], ["!!"]):
+        ids, lengths = encoder.joined(given)
+        library = encoder.library(given)
+        assert ids.tolist() == library[0].tolist() and lengths.tolist() == library[1].tolist()
+    encoder.cut |= dict.fromkeys([".", "'", "!?_"], True)  # the library's cutting is not counted
+    encoder.tokenizer.texts = 0
+    got = encoder.memo.encoded(words)
+    assert encoder.tokenizer.texts == 2
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+    # a mark inside a word, or a letter that lower case makes several pieces, sends them one by one
+    for odd in (packing.MARK, f"a{packing.MARK}b", "İstanbul"):
+        ids, lengths = encoder.joined([*words, odd])
+        library = encoder.library([*words, odd])
+        assert ids.tolist() == library[0].tolist() and lengths.tolist() == library[1].tolist()
+
+
+def test_words_that_differ_in_case_are_encoded_once():
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        encoder = packing.Encoder(f.read())
+    texts = ["Ärger ÄRGER ärger, ÄRGER, naïve NAÏVE ß µ ÿ Ÿ", "ODD odd Odd. odd.", "ΣΑΣ Σας İ", ""]
+    ids, counts = encoder.encode(texts)
+    want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    assert {"odd", "odd."} <= set(encoder.memo.index) and "ODD" not in encoder.memo.index
+    every = "".join(map(chr, range(256))).split()
+    ids, _ = encoder.encode([" ".join(every)])
+    assert ids[:-1].tolist() == encoder.tokenizer.encode(" ".join(every), add_special_tokens=False).ids
