@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,61 @@ def test_packed_tiles_are_small_and_exact_beyond_short_counts(spark):
     assert got == want and want
 
 
+def shuffle_files(spark):
+    """Sizes of the session's shuffle files by name."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = manager.getAllFiles()
+    found = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_")}
+
+
+def test_all_pairs_write_little_to_disk(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("etaoin shrdlucmfwyp", k=rng.randint(300, 360))) for _ in range(1500)]
+    items = spark.createDataFrame(
+        [(i, "g", t) for i, t in enumerate(texts)], "id long, k string, script string"
+    ).repartition(4)
+    counted = sim.cut_lineage(sim.with_char_counts(items))
+    before = shuffle_files(spark)
+    # one large band, whose cells are all near each other: nearly all pairs match
+    got = sim.similar_pairs(counted, ["k"], tile_rows=96).count()
+    counts = [Counter(t) for t in texts]
+    some = range(0, 1500, 50)
+    assert got > 0.9 * 1500 * 1499 / 2
+    assert all(
+        2 * sum((counts[i] & counts[j]).values()) > 0.75 * (len(texts[i]) + len(texts[j])) for i in some for j in some
+    )
+    written = sum(n for name, n in shuffle_files(spark).items() if name not in before)
+    # each tile to each partner took several kilobytes a row
+    assert written < 1200 * len(texts)
+
+
+def test_equal_texts_fill_many_tiles_and_repeated_ids_stay(spark):
+    items = [(i // 2, "g", "abc" * 5) for i in range(60)] + [(100 + i, "h", "xyz") for i in range(3)]
+    counted = sim.with_char_counts(spark.createDataFrame(items, "id long, k string, script string"))
+    got = Counter((r["id1"], r["id2"]) for r in sim.similar_pairs(counted, ["k"], tile_rows=4).collect())
+    want = Counter(
+        (min(i, j), max(i, j)) for a, (i, k, _) in enumerate(items) for j, m, _ in items[:a] if k == m
+    )
+    assert got == want
+    every = sim.similar_pairs(counted.drop("k"), [], tile_rows=4)
+    assert every.count() == 60 * 59 // 2 + 3
+
+
+def test_maps_as_bytes_are_exact(spark):
+    texts = ["", "a", "é" * 300 + "z", "\u4e2d\u6587\U0001F600" * 70000, None, "b" * 256, "plain text"]
+    column = sim.with_char_counts(spark.createDataFrame([(t,) for t in texts], "script string")).toArrow()["chars"]
+    maps = sim._Maps.read(column)
+    coded = pa.chunked_array([maps.row_bytes()])
+    # a slice begins within its buffers
+    for chars, some in ((coded, texts), (coded.slice(2, 4), texts[2:6])):
+        again = sim._Maps.read(chars)
+        assert [dict(x) for x in again.row_maps().to_pylist()] == [dict(Counter(t or "")) for t in some]
+    assert len(coded[6].as_py()) == 1 + 2 * len(set("plain text"))
+    large = sim._Maps(np.array(["a"], object), np.array([1]), np.array([0]), np.array([2**30 + 5]))
+    assert sim._Maps.read(pa.chunked_array([large.row_bytes()])).counts.tolist() == [2**30 + 5]
+
+
 def test_standard_form_drops_rows_of_white_space_only(spark):
     texts = ["\x1c \u2003\n\t", "", None, " a\u2028\n \x1f\nb \u3000", "\u0085x y\x1d", "z"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, script string")
